@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilmark.llm.language_id import op6_language_id
 from veilmark.llm.ngram_join import op3_ngram_jaccard_join
 from veilmark.llm.packing import op1_best_fit_packing
+from veilmark.llm.quality import op10_quality_classifier
 from veilmark.llm.token_files import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
     "op9_token_files": op9_token_files,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilmark.llm.ann import op7_nearest_neighbours
+from veilmark.llm.embedding_dedup import op5_embedding_near_dedup
 from veilmark.llm.language_id import op6_language_id
 from veilmark.llm.ngram_join import op3_ngram_jaccard_join
 from veilmark.llm.packing import op1_best_fit_packing
@@ -15,7 +17,9 @@ from veilmark.llm.token_files import op9_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -4,9 +4,9 @@ Vectors lie in coarse lists (spherical k-means on a bounded sample).  Within a
 probed list, rotated vectors stand in blocks of columns.  After each block the rest
 of an inner product is normal with deviation |q_rest| * |x_rest| / sqrt(rest); a
 candidate is abandoned when even ``SIGMAS`` of them don't lift its partial product
-to the query's k-th best so far.  What survives is scored exactly on the original
-vectors.  A query begins with the k-th best of those sample rows that lie in the
-lists it probes as its bound, which most candidates don't reach.
+to the query's bound.  What survives is scored exactly on the original
+vectors.  The bound is the 2k-th best of those sample rows that lie in the
+lists it probes, so enough candidates reach it and most don't.
 """
 
 from __future__ import annotations
@@ -134,13 +134,13 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
                 probing = probe(own[part], score[part])
                 main = [n for n, r in enumerate(part) if own[r] >= 0]
                 bound = {}
-                if main and len(shared.value[1]) > k:  # one more than k: the query may be among them
+                if main and len(shared.value[1]) > 2 * k:  # more than k: the query is among them, tests may err
                     got = np.array([x[part[n]] for n in main]) @ shared.value[1].astype(np.float64).T
                     open_ = np.zeros((len(main), len(lists)), dtype=bool)
                     for m, n in enumerate(main):
                         open_[m, probing[n]] = True
                     got[~open_[:, shared.value[2]]] = -np.inf
-                    kth = -np.partition(-got, k, axis=1)[:, k]
+                    kth = -np.partition(-got, 2 * k, axis=1)[:, 2 * k]
                     bound = dict(zip((int(part[n]) for n in main), kth.tolist(), strict=True))
                 for r, cells in zip(part, probing, strict=True):
                     i = int(b["id"].iloc[r])

@@ -131,7 +131,7 @@ def mix(
     return whole.select(*columns).union(inside.select(*columns)).union(crossing.select(*columns))
 
 
-def _document_tree(docs: DataFrame) -> DataFrame:
+def document_tree(docs: DataFrame) -> DataFrame:
     number = F.coalesce(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("long"), F.lit(0))
     return docs.select(
         "doc_id", F.concat(F.lit("d"), (number % 4).cast("int").cast("string")).alias("domain"),
@@ -145,7 +145,7 @@ SHARE, EPOCHS = 0.7, 2
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains are the sources' numbers modulo 4."""
-    tree = stash(_document_tree(table(spark, sf_dir, "documents")), "mix-documents")
+    tree = stash(document_tree(table(spark, sf_dir, "documents")), "mix-documents")
     return mix(tree, LEVELS, SHARE, EPOCHS, WEIGHTS)
 
 

@@ -13,6 +13,7 @@ from veilmark.llm.language_id import op6_language_id
 from veilmark.llm.mixing import OP8_SQL, op8_mixing
 from veilmark.llm.ngram_join import op3_ngram_jaccard_join
 from veilmark.llm.packing import op1_best_fit_packing
+from veilmark.llm.pii import op4_personal_data
 from veilmark.llm.quality import op10_quality_classifier
 from veilmark.llm.token_files import op9_token_files
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_personal_data": op4_personal_data,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_nearest_neighbours": op7_nearest_neighbours,

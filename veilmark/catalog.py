@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from veilmark.plans import fixtures
+from veilmark.plans.queries import ORACLES as _ORACLES
+from veilmark.plans.queries import QUERIES as _QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = _QUERIES | fixtures.QUERIES
+ORACLES = _ORACLES | fixtures.ORACLES

@@ -6,7 +6,9 @@ of an inner product is normal with deviation |q_rest| * |x_rest| / sqrt(rest); a
 candidate is abandoned when even ``SIGMAS`` of them don't lift its partial product
 to the query's bound.  What survives is scored exactly on the original
 vectors.  The bound is the 2k-th best of those sample rows that lie in the
-lists it probes, so enough candidates reach it and most don't.
+lists it probes, so enough candidates reach it and most don't.  It rises with what a
+task finds: a task has several lists of a shard, scans those a query probes from the
+nearest on, and returns the query's best of them all.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ SIGMAS = 3.5
 MAX_LISTS = 1_024
 #: Share of the lists that a query probes.
 PROBED = 0.75
-LIST_BLOCK = 8_192
-QUERY_BLOCK = 1_024
+#: Lists lie together in shards of about so many rows; queries meet them in blocks.
+SHARD_ROWS = 40_000
+QUERY_BLOCK = 512
 COLUMNS = 16
 
 
@@ -67,6 +70,30 @@ class ListBlock:
         return self.ids[alive][best], score[best]
 
 
+def lay_shards(counted: dict[int, tuple[int, int]]) -> tuple[dict[int, tuple[int, int]], list[int]]:
+    """Puts lists with (rows, queries) into shards of about ``SHARD_ROWS`` rows.
+
+    Returns each list's first shard and number of shards (a large list has several of
+    its own), and for each shard in how many blocks its queries come.  Lists of one
+    dimension share shards; others stay apart.
+    """
+    place: dict[int, tuple[int, int]] = {}
+    rows: list[int] = []
+    queries: list[int] = []
+    for cell in sorted(counted):
+        n, q = counted[cell]
+        parts = max(1, -(-n // SHARD_ROWS))
+        if parts == 1 and rows and cell > 0 and rows[-1] + n <= SHARD_ROWS:
+            place[cell] = (len(rows) - 1, 1)
+            rows[-1] += n
+            queries[-1] = max(queries[-1], q)
+            continue
+        place[cell] = (len(rows), parts)
+        rows += [n if parts == 1 else SHARD_ROWS] * parts
+        queries += [q] * parts
+    return place, [max(1, -(-q // QUERY_BLOCK)) for q in queries]
+
+
 def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, probed: float = PROBED) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` best candidates found.
 
@@ -80,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     good = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"), is_query.alias("ask")).where(usable("v"))
     n = good.count()
     ids, some = sample(good, "id", "v")
-    lists = centroids(some, min(MAX_LISTS, max(1, int(np.sqrt(n) / 2)))) if len(some) else np.zeros((1, 1))
+    lists = centroids(some, min(MAX_LISTS, max(1, int(np.sqrt(n) / 4)))) if len(some) else np.zeros((1, 1))
     probes = len(lists) if len(lists) < 8 else max(8, int(np.ceil(len(lists) * probed)))
     home = (unit(some) @ lists.T).argmax(axis=1) if len(some) else np.zeros(0, dtype=np.int64)
     shared = spark.sparkContext.broadcast((lists, np.asarray(some, dtype=np.float32), home))
@@ -112,22 +139,27 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
             qcell, qrows = np.unique(np.asarray(asked, dtype=np.int64), return_counts=True)
             yield pd.DataFrame({"cell": [*cell, *qcell], "rows": [*rows, *[0] * len(qcell)], "asks": [*[0] * len(cell), *qrows]})
 
-    sizes = {
-        r["cell"]: (max(1, -(-r["n"] // LIST_BLOCK)), max(1, -(-r["q"] // QUERY_BLOCK)))
+    counted = {
+        r["cell"]: (r["n"], r["q"])
         for r in good.mapInPandas(count, "cell long, rows long, asks long")
         .groupBy("cell").agg(F.sum("rows").alias("n"), F.sum("asks").alias("q")).collect()  # one row a list
     }
+    place, asks = lay_shards(counted)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["cell", "i", "j", "id", "bound", "x"]
+        columns = ["shard", "block", "id", "cell", "bound", "cells", "x"]
         for b in batches:
             own, score = own_list(b)
             ask = b["ask"].to_numpy(bool)
             x = [np.asarray(v, dtype=np.float64) for v in b["v"]]
             rows = []
             for r, (i, c) in enumerate(zip(b["id"].tolist(), own.tolist(), strict=True)):
-                cs, qs = sizes[c]
-                rows += [(c, i * 2654435761 % 4294967291 % cs, j, i, None, x[r].tobytes()) for j in range(qs)]
+                first, parts = place[c]
+                shard = first + i * 2654435761 % 4294967291 % parts
+                rows += [(shard, k, i, c, None, None, x[r].tobytes()) for k in range(asks[shard])]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
             asking = np.flatnonzero(ask)
             for a in range(0, len(asking), 256):
                 part = asking[a : a + 256]
@@ -144,31 +176,46 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
                     bound = dict(zip((int(part[n]) for n in main), kth.tolist(), strict=True))
                 for r, cells in zip(part, probing, strict=True):
                     i = int(b["id"].iloc[r])
+                    by_shard: dict[int, list[int]] = {}
                     for c in cells:
-                        cs, qs = sizes.get(c, (1, 1))
-                        j = i * 2654435761 % 4294967279 % qs
-                        rows += [(c, s, j, i, bound.get(int(r), -np.inf), x[r].tobytes()) for s in range(cs)]
+                        first, parts = place.get(c, (0, 0))
+                        for shard in range(first, first + parts):
+                            by_shard.setdefault(shard, []).append(c)
+                    for shard, cs in by_shard.items():
+                        block = i * 2654435761 % 4294967279 % asks[shard]
+                        rows.append((shard, block, i, None, bound.get(int(r), -np.inf), np.array(cs, dtype=np.int32).tobytes(), x[r].tobytes()))
                     if len(rows) > 20_000:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = rows["bound"].notna()
-        c, q = rows[~asks], rows[asks]
+        asked = rows["bound"].notna()
+        c, q = rows[~asked], rows[asked]
         found: list[tuple] = []
         if len(c) and len(q):
-            block = ListBlock(c["id"].to_numpy(np.int64), np.array([np.frombuffer(v) for v in c["x"]]))
-            turn = rotation(block.dim)
-            for i, bound, raw in zip(q["id"].tolist(), q["bound"].tolist(), q["x"], strict=True):
+            blocks = {
+                int(cell): ListBlock(g["id"].to_numpy(np.int64), np.array([np.frombuffer(v) for v in g["x"]]))
+                for cell, g in c.groupby("cell")
+            }
+            for i, bound, cells, raw in zip(q["id"].tolist(), q["bound"].tolist(), q["cells"], q["x"], strict=True):
                 v = np.frombuffer(raw)
-                got, score = block.search(i, v, turn @ v, bound, k)
-                found += [(i, int(g), float(s)) for g, s in zip(got, score, strict=True)]
+                turned = rotation(len(v)) @ v
+                ids, scores = np.empty(0, np.int64), np.empty(0)
+                for cell in np.frombuffer(cells, np.int32).tolist():
+                    if cell in blocks:
+                        got, score = blocks[cell].search(i, v, turned, bound, k)
+                        ids, scores = np.concatenate([ids, got]), np.concatenate([scores, score])
+                        best = np.lexsort((ids, -scores))[:k]
+                        ids, scores = ids[best], scores[best]
+                        if len(ids) == k:
+                            bound = max(bound, float(scores[-1]))
+                found += [(i, int(g), float(s)) for g, s in zip(ids, scores, strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    hits = good.mapInPandas(deal, "cell long, i int, j int, id long, bound double, x binary").groupBy(
-        "cell", "i", "j"
-    ).applyInPandas(scan, "query_id long, vec_id long, score double")
+    hits = good.mapInPandas(
+        deal, "shard long, block long, id long, cell long, bound double, cells binary, x binary"
+    ).groupBy("shard", "block").applyInPandas(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = stash(hits, "hits").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

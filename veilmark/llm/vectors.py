@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ def usable(column: str) -> Column:
     return F.coalesce(c.isNotNull() & finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+@functools.lru_cache(maxsize=16)
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     """A random orthogonal matrix, the same for each dimension and seed."""
     q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))

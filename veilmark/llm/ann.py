@@ -110,7 +110,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     lists = centroids(some, min(MAX_LISTS, max(1, int(np.sqrt(n) / 4)))) if len(some) else np.zeros((1, 1))
     probes = len(lists) if len(lists) < 8 else max(8, int(np.ceil(len(lists) * probed)))
     home = (unit(some) @ lists.T).argmax(axis=1) if len(some) else np.zeros(0, dtype=np.int64)
-    shared = spark.sparkContext.broadcast((lists, np.asarray(some, dtype=np.float32), home))
+    shared = spark.sparkContext.broadcast((lists, some, home))
     dim = lists.shape[1]
 
     def own_list(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
                 main = [n for n, r in enumerate(part) if own[r] >= 0]
                 bound = {}
                 if main and len(shared.value[1]) > 2 * k:  # more than k: the query is among them, tests may err
-                    got = np.array([x[part[n]] for n in main]) @ shared.value[1].astype(np.float64).T
+                    got = np.array([x[part[n]] for n in main]) @ shared.value[1].T
                     open_ = np.zeros((len(main), len(lists)), dtype=bool)
                     for m, n in enumerate(main):
                         open_[m, probing[n]] = True

@@ -128,8 +128,9 @@ class Model:
         owner = np.repeat(np.arange(len(texts)), segments)
         out = np.full((len(texts), len(self.languages)), np.nan)
         for k, moves in enumerate(self.tables):
-            state = np.zeros(len(flat), dtype=np.int32)
-            phrases = np.ones(len(flat), dtype=np.int32)
+            # from the state after a lost character the first one begins a phrase
+            state = np.full(len(flat), len(moves) // self.size - 1, dtype=np.int32)
+            phrases = np.zeros(len(flat), dtype=np.int32)
             for column in columns:
                 state = moves[state * self.size + column]
                 phrases += state >> 30

@@ -59,9 +59,9 @@ def _fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     steps = children.withColumn("level", F.when(F.col("weight") > 0, level))
     open_ = (F.col("weight") > 0) & (F.col("capacity") > F.col("level") * F.col("weight"))
     steps = steps.withColumn("line", F.max(F.when(open_, F.col("level"))).over(whole))
-    share = F.when(F.col("weight") <= 0, F.lit(0.0)).otherwise(
-        F.coalesce(F.least(F.col("capacity"), F.greatest(F.col("line"), F.lit(0.0)) * F.col("weight")), F.col("capacity"))
-    )
+    # without a line every child falls short (least and greatest would skip the null)
+    held = F.least(F.col("capacity"), F.greatest(F.col("line"), F.lit(0.0)) * F.col("weight"))
+    share = F.when(F.col("weight") <= 0, F.lit(0.0)).when(F.col("line").isNull(), F.col("capacity")).otherwise(held)
     return steps.withColumn("share", share).drop("level", "line")
 
 
@@ -162,9 +162,10 @@ n_{name} AS (
   SELECT n.*, budget, (budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM n_{name} n {source} WINDOW w AS ({part} ORDER BY capacity / weight, {name})
+), t_{name} AS (
+  SELECT *, max(level) FILTER (capacity > level * weight) OVER ({part}) AS line FROM l_{name}
 ), f_{name} AS (
-  SELECT {keys}, coalesce(least(capacity, greatest(max(level) FILTER (capacity > level * weight) OVER ({part}), 0) * weight),
-    capacity) AS budget FROM l_{name}
+  SELECT {keys}, CASE WHEN line IS NULL THEN capacity ELSE least(capacity, greatest(line, 0) * weight) END AS budget FROM t_{name}
 )"""
 
 

@@ -41,6 +41,8 @@ PATTERNS: list[tuple[str, str]] = [
 ENTITY = "|".join(f"(?:{p})" for k, p in PATTERNS if k != "card") + r"|(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)"
 #: A text without these holds no entity; cheap to test.
 HINT = rf"[\d@]|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
+#: Columns added for a join; no column of documents should be called so.
+_ROW, _NEW = "__entity_row", "__entity_new"
 NUMBERS = ["phone", "ssn", "card"]
 
 
@@ -201,19 +203,19 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, text: str = "text", d
     new = parts.join(forms, ["kind", "canon"], "left").withColumn(
         "new", F.when(F.col("form").isNull(), F.col("surface")).otherwise(_lay(F.col("form"), F.col("surface"), F.col("kind")))
     )
-    by_row = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "i", "new"))).alias("news"))
+    by_row = new.withColumnRenamed("row", _ROW).groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("at", "i", "new"))).alias(_NEW))
     gaps = F.split(t, ENTITY, -1)
     filled = F.array_join(
         F.transform(
             gaps,
             lambda gap, g: F.concat(
-                gap, F.array_join(F.transform(F.filter("news", lambda n: n["i"] == g), lambda n: n["new"]), "")
+                gap, F.array_join(F.transform(F.filter(_NEW, lambda n: n["i"] == g), lambda n: n["new"]), "")
             ),
         ),
         "",
     )
     columns = docs.columns
-    done = docs.where(held).withColumn("row", row).join(by_row, "row").select(
+    done = docs.where(held).withColumn(_ROW, row).join(by_row, _ROW).select(
         *[filled.alias(text) if c == text else F.col(f"`{c}`") for c in columns]
     )
     return clean.select(*[F.col(f"`{c}`") for c in columns]).union(done)

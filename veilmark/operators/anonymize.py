@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import spans
 from veilmark.functions.recognizers import recognize
+from veilmark.operators.headings import fuzzy_heading_end
 from veilmark.operators.rules import Rules, compose, heading_end, mask_after_heading
 
 #: Titles that are no part of a passenger's name (fixed values).
@@ -60,8 +61,14 @@ def anonymize_text(
     changed = spans.transform_text(t, F.col("entities"))
     hit = F.lit(0)
     if rules.headings:
-        hit = heading_end(t, rules.headings).isNotNull().cast("int")
-        changed = mask_after_heading(t, changed, rules.headings)
+        end = heading_end(t, rules.headings)
+        if rules.fuzzy_headings:
+            out = out.withColumn("_heading_end", fuzzy_heading_end(t, rules.headings))
+            end = F.col("_heading_end")
+        hit = end.isNotNull().cast("int")
+        changed = mask_after_heading(t, changed, rules.headings, end)
+        done = out.withColumn("masked", changed).withColumn("entity_count", F.size("entities") + hit)
+        return done.drop("_heading_end")
     return out.withColumn("masked", changed).withColumn("entity_count", F.size("entities") + hit)
 
 

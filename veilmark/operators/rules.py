@@ -38,6 +38,8 @@ class Rules:
     headings: tuple[str, ...] = field(default=())
     fuzzy: bool = False
     max_errors: int = 1
+    #: Headings also in spite of reading errors; runs Python on every text.
+    fuzzy_headings: bool = False
 
     def __post_init__(self) -> None:
         if self.mode is not None and self.mode not in MODES:
@@ -199,13 +201,13 @@ def heading_end(text: Column, headings: tuple[str, ...]) -> Column:
     return -F.array_min(F.array_compact(F.array(*hits)))["b"] if hits else F.lit(None).cast("int")
 
 
-def mask_after_heading(text: Column, changed: Column, headings: tuple[str, ...]) -> Column:
+def mask_after_heading(text: Column, changed: Column, headings: tuple[str, ...], end: Column | None = None) -> Column:
     """Everything behind a heading masked in the changed text.
 
-    The heading is looked for in the original; the cut is where it stands in the
-    changed text, or else where it stood.
+    The heading is looked for in the original (or its ``end`` there is given); the cut
+    is where it stands in the changed text, or else where it stood.
     """
-    end = heading_end(text, headings)
+    end = heading_end(text, headings) if end is None else end
     cut = F.coalesce(heading_end(changed, headings), F.least(F.length(changed), end))
     masked = F.concat(F.substring(changed, 1, cut), spans.mask(F.substring(changed, cut + 1, F.length(changed))))
     return F.when(end.isNotNull(), masked).otherwise(changed)

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ BATCH_ROWS = 64
 #: Text of about so many characters goes into a file.
 FILE_CHARS = 24_000_000
 READ_CHARS = 4_000_000
+#: Files are counted in runs of so many, so that no task orders all of them.
+RUN_FILES = 1_000
 
 
 class SequenceWriter:
@@ -102,7 +105,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) into files under ``folder``.
 
-    Returns the index, a table: file, first_doc (of the file), doc_id, start (in
+    Returns the index, a table: file, part (its place in order), doc_id, start (in
     the file), n_tokens.  A null text counts as empty; every document ends with
     ``end_id``.  Rows repeating a doc_id are written in order of their text.  A
     task that runs again writes a file of another name, and the index names
@@ -117,11 +120,10 @@ def write_token_files(
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         name = f"{uuid.uuid4().hex}.arrows"
-        place, first, sink, writer, rows = 0, None, None, None, []
+        part, place, sink, writer, rows = TaskContext.get().partitionId(), 0, None, None, []
         for b in batches:
             texts, doc_ids = b["text"].fillna("").tolist(), b["doc_id"].tolist()
             if writer is None and texts:
-                first = doc_ids[0]
                 sink = fs.open_output_stream(f"{base}/{name}")
                 writer = SequenceWriter(sink, size, enc.tok.get_vocab_size() > 1 << 16)
             begin = 0
@@ -134,28 +136,30 @@ def write_token_files(
                 ends = np.cumsum(counts)
                 writer.add(np.insert(ids, ends, end_id))
                 for doc_id, n in zip(doc_ids[begin:stop], (counts + 1).tolist(), strict=True):
-                    rows.append((name, first, doc_id, place, n))
+                    rows.append((name, part, doc_id, place, n))
                     place += n
                 begin = stop
         if writer is not None:
             writer.close()
             sink.close()
-            yield pd.DataFrame(rows, columns=["file", "first_doc", "doc_id", "start", "n_tokens"])
+            yield pd.DataFrame(rows, columns=["file", "part", "doc_id", "start", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInPandas(run, f"file string, first_doc {kind}, doc_id {kind}, start long, n_tokens long")
+    made = ordered.mapInPandas(run, f"file string, part int, doc_id {kind}, start long, n_tokens long")
     return stash(made, "token-index")
 
 
 def read_token_files(index: DataFrame, folder: str) -> DataFrame:
     """Reads each document's ids back: doc_id, start (over all files), n_tokens,
     ids_crc32 (of unsigned 32-bit little-endian ids)."""
-    files = index.groupBy("file", "first_doc").agg(F.sum("n_tokens").alias("tokens"))
-    before = F.sum("tokens").over(
-        Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
-    )  # one row per file
-    offsets = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    files = index.groupBy("file", "part").agg(F.sum("n_tokens").alias("tokens")).withColumn(
+        "run", F.floor(F.col("part") / RUN_FILES)
+    )
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = files.groupBy("run").agg(F.sum("tokens").alias("tokens")).select("run", earlier(Window.orderBy("run")).alias("base"))
+    within = files.withColumn("within", earlier(Window.partitionBy("run").orderBy("part")))
+    offsets = within.join(runs, "run").select("file", (F.col("base") + F.col("within")).alias("before"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -168,7 +172,7 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
         return out[["doc_id", "start", "n_tokens", "ids_crc32"]]
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    return index.join(F.broadcast(offsets), "file").groupBy("file").applyInPandas(
+    return index.join(offsets, "file").groupBy("file").applyInPandas(
         run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
     )
 

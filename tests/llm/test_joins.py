@@ -148,6 +148,26 @@ def test_neighbours(vectors, monkeypatch, small):
     assert hit / total >= 0.9
 
 
+def test_neighbours_among_copies(spark):
+    """Groups of near and exact copies lift the bound; their members still find all of the best."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1000, 64))
+    for g in range(3):
+        x[60 * g : 60 * g + 60] = x[999 - g] + rng.standard_normal((60, 64)) * 0.15
+    x[180:240] = x[900]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 6 == 0, probed=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score))
+    every = x @ x.T
+    for q in range(0, 1000, 6):
+        want = np.sort(np.delete(every[q], q))[::-1][:20]
+        own = sorted(got.get(q, []))
+        assert [r for r, _ in own] == list(range(1, 21))
+        assert np.allclose([s for _, s in own], want, atol=1e-12, rtol=0)
+
+
 def test_neighbours_of_nothing(vectors):
     df, _ = vectors
     assert nearest(df.limit(0), F.lit(True)).count() == 0

@@ -2,11 +2,11 @@
 
 Vectors lie in coarse lists (spherical k-means on a bounded sample).  Within a
 probed list, rotated vectors stand in blocks of columns.  After each block the rest
-of an inner product is normal with deviation |q_rest| * |x_rest| / sqrt(rest); a
-candidate is abandoned when even ``SIGMAS`` of them don't lift its partial product
-to the query's bound.  What survives is scored exactly on the original
-vectors.  The bound is the 2k-th best of those sample rows that lie in the
-lists it probes, so enough candidates reach it and most don't.  It rises with what a
+of an inner product is at most |q_rest| * |x_rest| (Cauchy-Schwarz); a candidate is
+abandoned when even that doesn't lift its partial product to the query's bound, so
+none of the best ``k`` in the probed lists is lost.  What survives is scored exactly
+on the original vectors.  The bound is the 2k-th best of those sample rows that lie in
+the lists it probes, so enough candidates reach it and most don't.  It rises with what a
 task finds: a task has several lists of a shard, scans those a query probes from the
 nearest on, and returns the query's best of them all.
 """
@@ -24,7 +24,6 @@ from veilmark.llm.shared import stash, table
 from veilmark.llm.vectors import centroids, matrix, rotation, sample, unit, usable
 
 NEAREST = 20
-SIGMAS = 3.5
 MAX_LISTS = 1_024
 #: Share of the lists that a query probes.
 PROBED = 0.75
@@ -44,22 +43,18 @@ class ListBlock:
         self.cuts = [*range(0, self.dim, COLUMNS), self.dim]
         self.parts = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
         squares = [(p * p).sum(axis=1) for p in self.parts]
+        self.size = np.sqrt(sum(squares, np.zeros(len(x))))
         self.rest = [np.sqrt(sum(squares[k + 1 :], np.zeros(len(x)))) for k in range(len(squares))]
 
     def search(self, query_id: int, q: np.ndarray, turned: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the block's candidates for the best ``k``."""
         alive = np.arange(len(self.ids))
         partial = np.zeros(len(alive))
+        slack = 1e-9 * np.sqrt((turned * turned).sum()) * self.size  # of rounding
         for n, part in enumerate(self.parts):
             a, b = self.cuts[n], self.cuts[n + 1]
             partial = partial + (part @ turned[a:b] if len(alive) == len(part) else part[alive] @ turned[a:b])
-            left = self.dim - b
-            slack = 1e-9 * (1 + abs(bound)) if np.isfinite(bound) else 0.0
-            if left:
-                tail = np.sqrt((turned[b:] ** 2).sum()) / np.sqrt(left) * SIGMAS
-                keep = partial + tail * self.rest[n][alive] >= bound - slack
-            else:
-                keep = partial >= bound - slack
+            keep = partial + np.sqrt((turned[b:] ** 2).sum()) * self.rest[n][alive] + slack[alive] >= bound
             if not keep.all():
                 alive, partial = alive[keep], partial[keep]
             if not len(alive):
@@ -166,7 +161,7 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
                 probing = probe(own[part], score[part])
                 main = [n for n, r in enumerate(part) if own[r] >= 0]
                 bound = {}
-                if main and len(shared.value[1]) > 2 * k:  # more than k: the query is among them, tests may err
+                if main and len(shared.value[1]) > 2 * k:  # more than k: the query is among them
                     got = np.array([x[part[n]] for n in main]) @ shared.value[1].T
                     open_ = np.zeros((len(main), len(lists)), dtype=bool)
                     for m, n in enumerate(main):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.llm.ann import lay_shards, nearest
-from veilmark.llm.embedding_dedup import embedding_near_duplicates
+from veilmark.llm.embedding_dedup import embedding_near_duplicates, lay_cells
 from veilmark.llm.ngram_join import link_forest, ngram_jaccard_join
 from veilmark.llm.shared import components
 
@@ -126,6 +126,30 @@ def test_near_duplicate_vectors_equal_brute_force(vectors, monkeypatch, small):
     assert got == {i: (links[i], found[i], found[i] == i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("rank", [4, 6])
+def test_near_duplicates_near_a_subspace(spark, monkeypatch, rank):
+    """Where vectors differ in few dimensions only, links cross cell borders far."""
+    for name, value in (("CELL_ROWS", 50), ("HOME_BLOCK", 300), ("POSTED_BLOCK", 700)):
+        monkeypatch.setattr(f"veilmark.llm.embedding_dedup.{name}", value)
+    rng = np.random.default_rng(rank)
+    x = rng.standard_normal((2000, rank)) @ np.linalg.qr(rng.standard_normal((64, rank)))[0].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    found = roots(range(2000), zip(a.tolist(), b.tolist(), strict=True))
+    links = np.bincount(np.concatenate([a, b]), minlength=2000)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_duplicates(df).collect()}
+    assert got == {k: (links[k], found[k]) for k in range(2000)}
+
+
+def test_cells_share_shards(monkeypatch):
+    monkeypatch.setattr("veilmark.llm.embedding_dedup.HOME_BLOCK", 10)
+    monkeypatch.setattr("veilmark.llm.embedding_dedup.POSTED_BLOCK", 20)
+    place, sizes = lay_cells({-3: (4, 4), 0: (6, 30), 1: (4, 25), 2: (25, 35), 3: (0, 10), 4: (3, 5)})
+    assert place == {-3: -3, 0: 0, 1: 0, 2: 1, 3: 2, 4: 2}
+    assert sizes == {-3: (1, 1), 0: (1, 2), 1: (3, 2), 2: (1, 1)}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_neighbours(vectors, monkeypatch, small):
     if small:

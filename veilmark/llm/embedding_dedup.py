@@ -8,10 +8,11 @@ above so lies above a known bound but with a tiny probability (``SIGMAS``
 standard errors); pairs below it are dropped, the rest recomputed exactly.
 
 Pairs to estimate come from coarse cells: each vector has a home cell and is posted
-to all cells whose border it is near enough, so that a vector linked with one of
-them would hardly lie further in.  A vector's links are counted in its home cell.
-Cells are cut into blocks on both sides; tasks return counts a vector and edges that
-span what is linked, never the pairs.  Equal vectors are one class.
+to all cells whose border it is so near that a vector linked with it could lie
+beyond (Cauchy-Schwarz: no link is lost, however the vectors lie).  A vector's links
+are counted in its home cell.  Small cells lie together in shards, which a vector is
+posted to once; shards are cut into blocks on both sides.  Tasks return counts a vector
+and edges that span what is linked, never the pairs.  Equal vectors are one class.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from veilmark.llm.vectors import centroids, matrix, rotation, sample, unit, usab
 
 THRESHOLD = 0.9
 SIGMAS = 6.0
-#: Standard deviations that a border may be passed by a linked vector.
-BORDER = 4.0
 CELL_ROWS = 1_024
 MAX_CELLS = 256
 HOME_BLOCK = 8_192
@@ -81,6 +80,33 @@ def count_links(home: np.ndarray, posted: np.ndarray, weights: np.ndarray, same:
     return links, edges
 
 
+def lay_cells(counted: dict[int, tuple[int, int]]) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """Puts cells with (home rows, posted rows) into shards of up to ``HOME_BLOCK`` home rows.
+
+    Returns each cell's shard, consecutive cells in consecutive shards, and for each
+    shard the numbers of its home blocks and posted blocks.  Cells below 0, of other
+    dimensions, stay apart.
+    """
+    place: dict[int, int] = {}
+    homes: dict[int, int] = {}
+    posts: dict[int, int] = {}
+    total = sum(h for cell, (h, _) in counted.items() if cell >= 0)
+    last = -1
+    for cell in sorted(counted):
+        h, p = counted[cell]
+        if cell < 0:
+            shard = cell
+        elif last >= 0 and homes[last] + h <= HOME_BLOCK:
+            shard = last
+        else:
+            shard = last = last + 1
+        place[cell] = shard
+        homes[shard] = homes.get(shard, 0) + h
+        posts[shard] = posts.get(shard, 0) + p
+    most = {s: p if s < 0 else min(p, total) for s, p in posts.items()}
+    return place, {s: (max(1, -(-homes[s] // HOME_BLOCK)), max(1, -(-most[s] // POSTED_BLOCK))) for s in homes}
+
+
 def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """Per vector: key, n_links, component_id, kept.
 
@@ -98,7 +124,7 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", column: s
     n = classes.count()
     cells = centroids(some, min(MAX_CELLS, max(1, n // CELL_ROWS))) if len(some) else np.zeros((1, 1))
     dim = cells.shape[1]
-    reach = BORDER * np.sqrt(max(0.0, 2 - 2 * threshold)) / np.sqrt(dim)
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold))  # the distance of linked vectors, at most
     apart = np.sqrt(np.maximum(2 - 2 * cells @ cells.T, 1e-12))
     shared = spark.sparkContext.broadcast(cells)
 
@@ -120,7 +146,7 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", column: s
 
     def near(home: np.ndarray, score: np.ndarray) -> np.ndarray:
         own = np.take_along_axis(score, np.maximum(home, 0)[:, None], axis=1)
-        return ((own - score) <= reach * apart[np.maximum(home, 0)]) & (home >= 0)[:, None]
+        return ((own - score) <= reach * apart[np.maximum(home, 0)] + 1e-9) & (home >= 0)[:, None]
 
     def count_posts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,16 +161,20 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", column: s
                 }
             )
 
-    sizes = {
-        r["cell"]: (max(1, -(-r["h"] // HOME_BLOCK)), max(1, -(-r["p"] // POSTED_BLOCK)))
+    cell_rows = {
+        r["cell"]: (r["h"], r["p"])
         for r in classes.select("v").mapInPandas(count_posts, "cell long, homes long, posts long")
         .groupBy("cell").agg(F.sum("homes").alias("h"), F.sum("posts").alias("p")).collect()  # one row a cell
     }
+    place, sizes = lay_cells(cell_rows)
+    main_place = np.array([place[c] for c in sorted(place) if c >= 0], dtype=np.int64)
+    first = np.flatnonzero(np.diff(main_place, prepend=-1))  # a shard's first cell
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             home, score, units = homes(b)
             close = near(home, score)
+            close = np.logical_or.reduceat(close, first, axis=1) if len(first) else close
             rows = []
             for k, (head, copies) in enumerate(zip(b["head"], b["copies"], strict=True)):
                 raw = units[k].tobytes()
@@ -152,13 +182,14 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", column: s
                     hs, ps = sizes[c]
                     j = hash(int(head)) * 2654435761 % 4294967296 % ps
                     rows += [(c, i, j, head, copies, False, raw) for i in range(hs)]
-                hs, ps = sizes[int(home[k])]
+                own = place[int(home[k])]
+                hs, ps = sizes[own]
                 i = hash(int(head)) * 2654435761 % 4294967291 % hs
-                rows += [(int(home[k]), i, j, head, copies, True, raw) for j in range(ps)]
+                rows += [(own, i, j, head, copies, True, raw) for j in range(ps)]
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["cell", "i", "j", "head", "copies", "home", "u"])
+                    yield pd.DataFrame(rows, columns=["shard", "i", "j", "head", "copies", "home", "u"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["cell", "i", "j", "head", "copies", "home", "u"])
+            yield pd.DataFrame(rows, columns=["shard", "i", "j", "head", "copies", "home", "u"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         h, p = rows[rows["home"]], rows[~rows["home"]]
@@ -174,8 +205,8 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", column: s
         return pd.DataFrame(out, columns=["head", "links", "other"]).astype({"links": "Int64", "other": "Int64"})
 
     found = stash(
-        classes.mapInPandas(post, "cell long, i int, j int, head long, copies long, home boolean, u binary")
-        .groupBy("cell", "i", "j").applyInPandas(compare, "head long, links long, other long"),
+        classes.mapInPandas(post, "shard long, i int, j int, head long, copies long, home boolean, u binary")
+        .groupBy("shard", "i", "j").applyInPandas(compare, "head long, links long, other long"),
         "vector-links",
     )
     counted = found.where("links is not null").groupBy("head").agg(F.sum("links").alias("links"))

@@ -155,13 +155,14 @@ def learn(labelled: DataFrame, chars: int = TRAIN_CHARS, doc_chars: int = TRAIN_
     """Text by language from a bounded sample of ``labelled`` (doc_id, text, lang).
 
     About ``chars`` characters a language, ``doc_chars`` at most of a document,
-    documents in an order fixed by a hash of doc_id.  Rows with a null text or
-    language are left out.
+    documents in an order fixed by a hash of doc_id (of the text where that is
+    null).  Rows with a null text or language are left out.
     """
     wanted = -(-4 * chars // doc_chars)
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("text"))  # drawn by its text
+    drawn = F.pmod(F.xxhash64("doc_id", unnamed, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = (
         usable.join(F.broadcast(sizes), "lang")  # one row per language
         .where(drawn < F.lit(2.0 * wanted) / F.col("rows"))

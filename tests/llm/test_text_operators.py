@@ -50,6 +50,20 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, texts).count() == 0 and language_id.learn(empty) == {}
 
 
+def test_language_is_learnt_from_all_of_a_text(spark):
+    """Texts that begin with the same long header: their bodies tell the languages."""
+    header = "this notice must be retained in all copies of the work " * 30
+    body = {"fr": "le chat est sur la table avec une souris ", "de": "der hund sitzt unter dem tisch mit einer maus "}
+    df = spark.createDataFrame([(k, header + body[x] * 200 + f"end{x}", x) for k in range(40) for x in body], "doc_id long, text string, lang string")
+    texts = language_id.learn(df)
+    for x, other in (("fr", "de"), ("de", "fr")):
+        assert texts[x].count(body[x]) > 200 and body[other] not in texts[x] and len(texts[x]) <= language_id.TRAIN_CHARS + 1
+    assert texts == language_id.learn(df.repartition(7))
+    assert set(language_id.learn(df, chars=100_000, doc_chars=100_000)) == {"fr", "de"}
+    asked = spark.createDataFrame([(1, body["fr"]), (2, body["de"])], "id int, text string")
+    assert {r.id: r.lang_pred for r in language_id.identify(asked, texts).collect()} == {1: "fr", 2: "de"}
+
+
 def test_quality_learns_and_scores(spark, empty):
     good, bad = "The cat sat on the mat, and the dog slept.", "BUY!!! NOW!!! CHEAP!!! CLICK!!!"
     rows = [(k, (good if k % 3 else bad) + f" word{k % 7}") for k in range(240)] + [(900, None), (901, "")]

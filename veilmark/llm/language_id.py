@@ -154,8 +154,9 @@ def _model(texts: dict[str, str]) -> Model:
 def learn(labelled: DataFrame, chars: int = TRAIN_CHARS, doc_chars: int = TRAIN_DOC_CHARS) -> dict[str, str]:
     """Text by language from a bounded sample of ``labelled`` (doc_id, text, lang).
 
-    About ``chars`` characters a language, ``doc_chars`` at most of a document,
-    documents in an order fixed by a hash of doc_id (of the text where that is
+    About ``chars`` characters a language, ``doc_chars`` at most of a document: of a
+    longer text a window whose place a hash of doc_id and text draws from all of it.
+    Documents come in an order fixed by a hash of doc_id (of the text where that is
     null).  Rows with a null text or language are left out.
     """
     wanted = -(-4 * chars // doc_chars)
@@ -163,10 +164,13 @@ def learn(labelled: DataFrame, chars: int = TRAIN_CHARS, doc_chars: int = TRAIN_
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     unnamed = F.when(F.col("doc_id").isNull(), F.col("text"))  # drawn by its text
     drawn = F.pmod(F.xxhash64("doc_id", unnamed, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    places = F.greatest(F.length("text") - F.lit(doc_chars - 1), F.lit(1))
+    start = F.pmod(F.xxhash64("doc_id", "text", F.lit("window")), places) + 1
+    window = F.col("text").substr(start.cast("int"), F.lit(doc_chars))
     few = (
         usable.join(F.broadcast(sizes), "lang")  # one row per language
         .where(drawn < F.lit(2.0 * wanted) / F.col("rows"))
-        .select("lang", "doc_id", F.substring("text", 1, doc_chars).alias("text"), drawn.alias("drawn"))
+        .select("lang", "doc_id", window.alias("text"), drawn.alias("drawn"))
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id", "text"))
     out: dict[str, str] = {}

@@ -11,6 +11,7 @@ from veilmark.llm.ann import lay_shards, nearest
 from veilmark.llm.embedding_dedup import embedding_near_duplicates, lay_cells
 from veilmark.llm.ngram_join import link_forest, ngram_jaccard_join
 from veilmark.llm.shared import components
+from veilmark.llm.texthash import shingle_sets
 
 
 def roots(nodes, pairs):
@@ -72,6 +73,15 @@ def test_join_of_nothing(empty):
         ngram_jaccard_join(empty, ratio=(1, 2))
 
 
+def test_join_of_few_words(spark):
+    """Blocks of fewer words in all than a shingle has."""
+    for n in range(1, 7):
+        assert [len(x) for x in shingle_sets(["a b c d e f"[: 2 * n - 1]])] == [max(1, n - 4)]
+    for rows in ([(7, "one two three")], [(7, None), (8, "one  Two three"), (9, "")]):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+        assert got == brute(rows)
+
+
 def test_link_forest_is_exact():
     rng = np.random.default_rng(6)
     for _ in range(20):

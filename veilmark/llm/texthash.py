@@ -85,7 +85,7 @@ def shingle_sets(texts: Sequence[str], size: int = 5) -> list[np.ndarray]:
         hashes, at = words(texts[a:b])
         n = len(hashes)
         rolled = np.zeros(max(0, n - size + 1), dtype=U64)
-        for k in range(size):
+        for k in range(size if n >= size else 0):
             rolled += hashes[k : n - size + 1 + k] * odd[k]
         rolled = mix(rolled)
         for i in range(b - a):

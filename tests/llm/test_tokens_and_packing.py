@@ -28,6 +28,32 @@ def test_encoder_equals_library(name, drops):
     assert len(enc.encode([])[0]) == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_that_collide_in_polynomial_hashes(name, drops):
+    """The Thue-Morse word and its complement, in one block and one after the other."""
+    tok, enc = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name), drops)
+    for n in (128, 1024, 2048):
+        word = thue_morse(n)
+        pair = [word, word.translate(str.maketrans("ab", "ba"))]
+        for texts in (pair, pair[:1], pair[1:]):
+            want = [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
+            assert enc.encode(texts)[0].tolist() == want
+
+
+def test_colliding_pieces_go_to_the_library(monkeypatch):
+    """Were all pieces to hash alike, ids would still be the library's."""
+    monkeypatch.setattr("veilmark.llm.tokens.slice_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    enc, tok = Encoder(vocabulary("byte_bpe_50k.json"), False), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["one two", "one", "", "three " * 90 + "x" * 300, "x" * 300, "y" * 300]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = enc.encode(texts)
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr("veilmark.llm.tokens.MEMO_WORDS", 50)
     enc = Encoder(vocabulary("byte_bpe_50k.json"), False)
@@ -35,7 +61,7 @@ def test_memo_is_bounded(monkeypatch):
     for k in range(20):
         text = " ".join(f"word{chr(97 + (k * j) % 26)}{chr(97 + j)}" for j in range(20))
         assert enc.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
-    assert len(enc.keys) < 120
+    assert len(enc.place) < 120
 
 
 def test_fullest_is_the_best_sum():

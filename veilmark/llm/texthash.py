@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLES: list[np.ndarray] = []
+#: The key of all word hashes.
+KEY = b"veilmark words 1"
+#: Longer slices are hashed one by one; shorter ones together, eight bytes at a time.
+LONG_BYTES = 256
+_SEED = U64(int.from_bytes(hashlib.blake2b(KEY, digest_size=8).digest(), "little"))
+_STEP = U64(0x9E3779B97F4A7C15)
 #: Texts are handled in blocks of about so many characters.
 BLOCK_CHARS = 1_500_000
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _TABLES or len(_TABLES[0]) < n:
-        size = max(n, BLOCK_CHARS + 300_000)
-        found = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, dtype=U64)
-            t[0] = 1
-            found.append(np.multiply.accumulate(t))
-        if n > 4 * BLOCK_CHARS:  # for one very long text; not kept
-            return found[0], found[1]
-        _TABLES[:] = found
-    return _TABLES[0], _TABLES[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit."""
     x = x ^ (x >> U64(30))
@@ -37,14 +27,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """At each place of ``data`` the eight bytes from there as a number, zeros behind."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lane(window: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``left`` (at most eight) bytes from each start, as numbers."""
+    found = window[starts]
+    short = left < 8
+    found[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+    return found
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]`` (non-empty slices of bytes)."""
-    power, inverse = _powers(len(data))
-    total = np.empty(len(data) + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * inverse[starts]
-    return mix(value + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """Keyed 64-bit hashes of ``data[starts[i]:ends[i]]`` (non-empty slices of bytes).
+
+    Each step mixes eight bytes into the state by a bijection that isn't linear, so
+    no words collide by their form.  Slices over ``LONG_BYTES`` get BLAKE2b.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) * _STEP + _SEED)
+    window, here = lanes(data), np.flatnonzero(size <= LONG_BYTES)
+    done = 0
+    while len(here):
+        out[here] = mix((out[here] ^ lane(window, starts[here] + done, size[here] - done)) + _STEP)
+        done += 8
+        here = here[size[here] > done]
+    for k in np.flatnonzero(size > LONG_BYTES).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=KEY).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
+
+
+def same_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether slice i has the very bytes of slice ``like[i]``."""
+    size = ends - starts
+    same = size == size[like]
+    window, here = lanes(data), np.flatnonzero(same & (size <= LONG_BYTES) & (like != np.arange(len(like))))
+    done = 0
+    while len(here):
+        left = size[here] - done
+        same[here] &= lane(window, starts[here] + done, left) == lane(window, starts[like[here]] + done, left)
+        done += 8
+        here = here[size[here] > done]
+    for k in np.flatnonzero(same & (size > LONG_BYTES)).tolist():
+        m = like[k]
+        same[k] = np.array_equal(data[starts[k] : ends[k]], data[starts[m] : ends[m]])
+    return same
 
 
 def blocks(texts: Sequence[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

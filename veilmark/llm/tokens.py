@@ -1,9 +1,10 @@
 """Encoding with the tokenizers library, memoised word by word.
 
 The library needs about a microsecond a character here, while words repeat.  So
-each worker process keeps the ids of the pre-tokens it has met in sorted arrays
-keyed by a 64-bit hash, and looks a whole block of texts up at once; only new
-pre-tokens go to the library's model.  This holds for texts of Latin-1
+each worker process keeps the ids of the pre-tokens it has met, keyed by their
+bytes; only new pre-tokens go to the library's model.  Within a block of texts equal
+pre-tokens are found by a 64-bit hash and then compared byte by byte: a text
+with a pre-token that only hashes like another one is given to the library whole.  This holds for texts of Latin-1
 characters without apostrophes and unusual blanks, where the pre-tokeniser's cuts
 are simple rules on character classes; any other text is given to the library
 whole.  A full memo keeps what was used since it was last full, which bounds a
@@ -14,13 +15,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import regex
 
-from veilmark.llm.texthash import blocks, slice_hashes
+from veilmark.llm.texthash import blocks, same_slices, slice_hashes
 
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 800_000
 BLANK, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
@@ -68,22 +70,24 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys = np.empty(0, dtype=np.uint64)
+        self.place: dict[bytes, int] = {}
         self.first = np.empty(0, dtype=np.int64)
         self.count = np.empty(0, dtype=np.int64)
         self.used = np.empty(0, dtype=bool)
         self.pool = np.empty(0, dtype=np.uint32)
 
     def _trim(self) -> None:
-        keep = np.flatnonzero(self.used)
-        if len(self.keys) < MEMO_WORDS:
+        if len(self.place) < MEMO_WORDS:
             return
+        keep = np.flatnonzero(self.used)
         if len(keep) > MEMO_WORDS // 2:
             self._empty()
             return
         count = self.count[keep]
         self.pool = _gather(self.pool, self.first[keep], count)
-        self.keys, self.count = self.keys[keep], count
+        pieces = list(self.place)  # in the order of their places
+        self.place = {pieces[k]: n for n, k in enumerate(keep.tolist())}
+        self.count = count
         self.first = np.cumsum(count) - count
         self.used = np.zeros(len(keep), dtype=bool)
 
@@ -117,49 +121,48 @@ class Encoder:
         starts = np.flatnonzero(opens)
         return starts[:-1], starts[1:]
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         ids: list[int] = []
         count = np.empty(len(pieces), dtype=np.int64)
         tokenize = self.model.tokenize
         for k, p in enumerate(pieces):
-            shown = p.decode("latin-1").encode().decode("latin-1").translate(_BYTE_CHARS)
+            shown = (p if p.isascii() else p.decode("latin-1").encode()).decode("latin-1").translate(_BYTE_CHARS)
             found = [t.id for t in tokenize(shown)]
             count[k] = len(found)
             ids += found
+            self.place[p] = len(self.place)
         first = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, np.asarray(ids, dtype=np.uint32)])
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.first = np.insert(self.first, at, first)
-        self.count = np.insert(self.count, at, count)
-        self.used = np.insert(self.used, at, True)
+        self.first = np.concatenate([self.first, first])
+        self.count = np.concatenate([self.count, count])
+        self.used = np.concatenate([self.used, np.ones(len(pieces), dtype=bool)])
 
-    def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids, their number for each text, and the texts that must be encoded whole."""
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         if self.drops_space:
             data = _LOWER[data]
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         if not len(data):
-            return np.empty(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+            return np.empty(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64), []
         starts, ends = self._cut(data, bounds)
-        keys, first, back = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        _, head, back = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~same_slices(data, starts, ends, head[back]))
         self._trim()
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        fresh = np.ones(len(keys), dtype=bool) if not len(self.keys) else self.keys[at] != keys
-        if fresh.any():
-            raw = data.tobytes()
-            new = first[fresh]
-            self._learn(keys[fresh], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[head].tolist(), ends[head].tolist(), strict=True)]
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        fresh = np.flatnonzero(at < 0)
+        at[fresh] = len(self.place) + np.arange(len(fresh))
+        self._learn([pieces[k] for k in fresh.tolist()])
         self.used[at] = True
         at = at[back]
         count = self.count[at]
         ids = _gather(self.pool, self.first[at], count)
         upto = np.concatenate([[0], np.cumsum(count)])
         edge = upto[np.searchsorted(starts, bounds)]
-        return ids, np.diff(edge)
+        return ids, np.diff(edge), np.unique(np.searchsorted(bounds, starts[other], side="right") - 1).tolist()
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
@@ -176,7 +179,8 @@ class Encoder:
                 if raw is None or _WHOLE.search(t) or any(s in t for s in self.special):
                     whole[k], raw = self.whole(t), b""
                 block.append(raw)
-            ids, count = self._block(block)
+            ids, count, odd = self._block(block)
+            whole |= {k: self.whole(texts[a + k]) for k in odd}
             if whole:
                 at = np.concatenate([[0], np.cumsum(count)])
                 pieces = [whole.get(k, ids[at[k] : at[k + 1]]) for k in range(len(block))]

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.ann import lay_shards, nearest
 from veilmark.llm.embedding_dedup import embedding_near_duplicates, lay_cells
-from veilmark.llm.ngram_join import link_forest, ngram_jaccard_join
+from veilmark.llm.ngram_join import index_entries, ngram_jaccard_join
 from veilmark.llm.shared import components
-from veilmark.llm.texthash import shingle_sets
+from veilmark.llm.texthash import mix, shingle_sets
 
 
 def roots(nodes, pairs):
@@ -43,9 +43,9 @@ def brute(rows):
     return {i: (len(s), found[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 2}, {"frequent": 2, "in_block": 2}, {"group_tokens": 120}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 2}, {"frequent": 1, "share": 100}])
 def test_join_equals_brute_force(docs, options):
-    """With small limits every frequent-class, hot-token and block-pair branch runs."""
+    """With small limits tokens are of the frequent class, and pairs of them are indexed."""
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, **options).collect()}
     assert got == brute(rows)
@@ -62,7 +62,7 @@ def test_join_of_a_hot_group(spark):
         rows.append((k, " ".join(w)))
     rows += [(500 + k, " ".join(base[:30] + [f"o{k}-{j}" for j in range(40)])) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for options in ({}, {"frequent": 5, "in_block": 5}, {"group_tokens": 1500}):
+    for options in ({}, {"frequent": 5}, {"frequent": 1}):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, **options).collect()}
         assert got == brute(rows)
 
@@ -82,17 +82,57 @@ def test_join_of_few_words(spark):
         assert got == brute(rows)
 
 
-def test_link_forest_is_exact():
+def test_linked_sets_share_an_entry():
+    """Whatever tokens are frequent, the index loses no link, and it is linear."""
     rng = np.random.default_rng(6)
-    for _ in range(20):
-        base = rng.permutation(400)[:60]
+    for _ in range(300):
+        size = int(rng.integers(2, 60))
+        base = rng.permutation(400)[:size]
         sets = []
-        for _ in range(40):
-            keep = base[rng.random(60) < rng.choice([0.7, 0.9, 0.97])]
-            sets.append(np.unique(np.concatenate([keep, rng.integers(400, 420, 3)])).astype(np.uint64))
-        sizes = [len(s) for s in sets]
-        pairs = [(a, b) for a in range(40) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
-        assert roots(range(40), link_forest(sets, sizes, (75, 100))) == roots(range(40), pairs)
+        for _ in range(12):
+            keep = base[rng.random(size) < rng.choice([0.8, 0.9, 0.97])]
+            sets.append(mix(np.unique(np.concatenate([keep, rng.integers(400, 420, rng.integers(0, 4))])).astype(np.uint64)))
+            sets[-1].sort()
+        every = np.unique(np.concatenate(sets))
+        frequent = every[rng.random(len(every)) < rng.choice([0, 0.3, 0.6, 0.9, 1])]
+        entry, owner, _ = index_entries(sets, frequent, (75, 100))
+        own = [set(entry[owner == k].tolist()) for k in range(len(sets))]
+        assert all(len(e) <= len(s) for e, s in zip(own, sets, strict=True))
+        for a in range(12):
+            for b in range(a):
+                both, union = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
+                if union and 100 * both >= 75 * union and both < union:
+                    assert own[a] & own[b]
+
+
+def test_join_finds_links_between_other_sets_than_leaders(spark):
+    """One passage in many sets, of which some are linked with each other only."""
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for k in range(40):
+        own = [f"o{k // 2}-{j}" for j in range(40)]
+        rows.append((k, " ".join(passage + own[: 40 - k % 2])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"frequent": 3}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, **options).collect()}
+        assert got == brute(rows)
+        assert len({c for _, c in got.values()}) == 20
+
+
+def test_words_that_collide_in_polynomial_hashes_are_no_copies(spark):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    rows = [(1, f"{word} one two three four five"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} one two three four five"), (3, word), (4, word.translate(str.maketrans("ab", "ba")))]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_join_of_rows_without_or_with_repeated_ids(spark):
+    """Null doc_ids stay alone; a repeated doc_id joins the classes of its rows."""
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    rows = [(None, a), (5, a), (7, b), (5, b), (None, None), (9, None), (9, "z"), (2, "z")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_shingles int, token string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_jaccard_join(df).collect())
+    assert got == [(0, 0, 0), (0, 4, 0), (2, 1, 2), (5, 4, 5), (5, 4, 5), (7, 4, 5), (9, 0, 9), (9, 1, 2)]
 
 
 def test_components(spark):

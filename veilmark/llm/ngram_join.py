@@ -1,55 +1,59 @@
 """Similarity join on word shingles with token-combination prefixes.
 
 Two documents link when the Jaccard similarity of their shingle sets reaches the
-threshold.  Sets that are equal are one class; only a class's smallest document goes
-on.  Shingles ("tokens") are ordered by class and then by rising document
-frequency: rare ones first, frequent ones last.  A set x that links with another
-shares at least a = ceil(threshold * |x|) tokens with it.  So only tokens of two
-or more sets matter, and a set with fewer than ``a`` of them is out.
-
-Of the others, the first |x| - a + e tokens (the prefix) share at least e tokens
-with the prefix of any set linked with x.  Single rare tokens are indexed, so e = 1
-where the prefix holds only those.  Where it reaches into the frequent class, it is
-extended by one (e = 2): then either a rare token or a pair of frequent ones is
-shared, and pairs of frequent tokens are indexed.  One very common token alone
+threshold.  Sets that are equal are one class; only a class's smallest document (its
+head) is compared.  Shingles ("tokens") are ordered by class and then by their hash:
+rare ones first, frequent ones last.
+
+The index.  Of two linked sets x and y, the first |x| - ceil(t|x|) + 1 tokens of x (its
+prefix) and those of y share a token.  A set whose prefix holds rare tokens only
+posts these, one by one.  A set whose prefix reaches into the frequent class holds all
+its rare tokens there and posts them; and the prefix is extended over its frequent
+tokens, of which neighbours in the order are posted as pairs.  Either a rare token is
+shared, or all that x and y share is frequent.  Then at most U = |x| + |y| - 2 * overlap
+tokens of either stand between the shared ones, so among the first U + 2 shared ones two
+are neighbours in both sets; they lie within the first 2 (1 - t) |x| + 2 tokens less
+twice the rare ones.  The index is linear in the tokens, and one very common token alone
 makes no candidates.
 
-Candidates sharing an index entry are joined into candidate groups (a superset of
-the link components, found with edges linear in the index).  A group is then
-verified exactly in one task, by its own prefix index and a union-find that skips
-pairs already connected; groups too large for a task are cut into blocks, and pairs of
-blocks are verified.  Shingle identities are hashes of 64 bits, cut to 48 in the
-index and in verification.
+Verification.  Sets that share an index entry are candidates.  Each is first compared
+with one leader of each of its entries, which is linear in the index and joins large
+groups of near copies.  Entries whose sets are by then in one component are done; of
+the others, only pairs of sets in different components are left.  A few more rounds
+of leaders run while such entries are large, then all pairs left are compared.  Every
+comparison is an exact one of whole sets.  Shingles are known by keyed hashes of 64
+bits, sets by two sums of 64 bits and their size.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veilmark.llm.shared import components, discard, stash, table
+from veilmark.llm.shared import components, discard, release, stash, table
 from veilmark.llm.texthash import mix, shingle_sets
 
 SIZE = 5
 #: The similarity as a ratio of integers.
 THRESHOLD = (75, 100)
-#: Tokens of more sets than this are of the frequent class.
-FREQUENT = 10_000
-#: A token in so many sets of one block of texts is of the frequent class, too.
-FREQUENT_IN_BLOCK = 2_000
-#: Characters of a block of texts, postings of a bucket, tokens verified in a task.
-BLOCK_CHARS = 12_000_000
-BUCKET_POSTINGS = 1_500_000
-GROUP_TOKENS = 4_000_000
-BITS = np.uint64(48)
-LOW = np.uint64((1 << 48) - 1)
+#: A token of more sets than this is of the frequent class ...
+FREQUENT = 64
+#: ... at least if it makes up more than this share (one in so many) of all tokens,
+#: which bounds the number of frequent tokens, too: 8 MB of hashes.
+SHARE = 1_000_000
+#: Characters of a block of texts.
+BLOCK_CHARS = 6_000_000
+#: Pairs that may be compared at once, by postings; above it, leaders come first.
+PAIRS_PER_POSTING = 2
+LEADER_ROUNDS = 6
+#: Candidates' ids are broadcast up to this number (16 MB), joined by a shuffle beyond.
+BROADCAST_IDS = 500_000
+KEY = ["mark_a", "mark_b", "n_shingles"]
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
@@ -57,7 +61,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]
     for b in batches:
         for i, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
             t = t or ""
-            if chars + len(t) > BLOCK_CHARS and ids or len(ids) >= 60_000:
+            if chars + len(t) > BLOCK_CHARS and ids:
                 yield ids, texts
                 ids, texts, chars = [], [], 0
             ids.append(i)
@@ -67,312 +71,223 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]
         yield ids, texts
 
 
-def set_marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n_shingles, mark_a, mark_b): the marks name a shingle set."""
+def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two sums that name each set."""
+    n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    tokens = np.concatenate([*sets, np.zeros(1, np.uint64)])
+    at = np.append(np.cumsum(n) - n, len(tokens) - 1)
+    a, b = np.add.reduceat(tokens, at)[:-1], np.add.reduceat(mix(tokens + np.uint64(1)), at)[:-1]
+    a[n == 0] = b[n == 0] = 0
+    return n, a.view(np.int64), b.view(np.int64)
+
+
+def _distinct(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the non-empty sets of a block, one of each class."""
+    _, first = np.unique(np.stack([a, b, n]), axis=1, return_index=True)
+    return np.sort(first[n[first] > 0])
+
+
+def set_marks(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
+    """Rows of two kinds: sets and tokens heavy in a block of texts.
+
+    Sets: doc_id, n_shingles, mark_a, mark_b.  Tokens (``token`` not null): a token
+    that makes up more than one in ``share`` of a block's tokens, and its count there.
+    A token that makes up so much of all tokens does so in one block at least.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _blocks(batches):
             sets = shingle_sets(texts, size)
-            yield pd.DataFrame(
-                {
-                    "doc_id": ids,
-                    "n_shingles": [len(s) for s in sets],
-                    "mark_a": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "mark_b": [int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)) if len(s) else 0 for s in sets],
-                }
-            )
+            n, a, b = _marks(sets)
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": pd.array(n, "Int64"), "mark_a": a, "mark_b": b, "token": pd.array([None] * len(n), "Int64")})
+            tokens, count = np.unique(np.concatenate([np.empty(0, np.uint64), *[sets[k] for k in _distinct(n, a, b)]]), return_counts=True)
+            heavy = count > max(1, count.sum() // share)
+            yield pd.DataFrame({"doc_id": pd.array([None] * heavy.sum(), "Int64"), "n_shingles": pd.array(count[heavy], "Int64"), "mark_a": 0, "mark_b": 0, "token": pd.array(tokens[heavy].view(np.int64), "Int64")})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, mark_a long, mark_b long")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, mark_a long, mark_b long, token long")
 
 
-def _postings(docs: DataFrame, buckets: int, size: int, in_block: int) -> DataFrame:
-    """Per block of texts and bucket of tokens one row of packed postings.
+def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, place of its set, whether it is a pair) of sets of sorted tokens.
 
-    ``low``/``high``: sorted 48-bit tokens, ``own``: the place of each one's
-    document in ``docs``/``sizes``.  Tokens frequent in the block are in a row of
-    their own kind, once each with their count; their postings needn't travel to
-    the token's bucket, where one token might gather a large part of the corpus.
+    ``frequent``: the sorted tokens of the frequent class.
     """
+    num, den = ratio
+    n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), n)
+    often = np.zeros(len(tokens), dtype=bool)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    if often.any():
+        order = np.argsort(owner * 2 + often, kind="stable")
+        tokens, often = tokens[order], often[order]
+    rare = np.bincount(owner[~often], minlength=len(sets))
+    need = -(-n * num // den)
+    prefix = np.where(need < 2, 0, n - need + 1)  # a set of one token has only copies
+    mixed = rare < prefix
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+    single = place < np.where(mixed, rare, prefix)[owner]
+    # pairs (i, i + 1) of frequent tokens among the first `reach` of them
+    reach = 2 * (den - num) * n // den + 2 - 2 * rare
+    upto = np.where(mixed, np.minimum(rare + reach - 1, n - 1), 0)
+    first = np.flatnonzero((place >= rare[owner]) & (place < upto[owner]))
+    pairs = mix(mix(tokens[first]) + tokens[np.minimum(first + 1, len(tokens) - 1)] * np.uint64(3))
+    entry = np.concatenate([mix(tokens[single]), pairs]).view(np.int64)
+    return entry, np.concatenate([owner[single], owner[first]]), np.arange(len(entry)) >= single.sum()
+
+
+def postings(docs: DataFrame, frequent, size: int, ratio: tuple[int, int]) -> DataFrame:
+    """(entry, doc_id, pair) of the index; of equal sets in a block one is posted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        for k, (ids, texts) in enumerate(_blocks(batches)):
-            sets = [s & LOW for s in shingle_sets(texts, size)]
-            sizes = np.array([len(s) for s in sets], dtype=np.int32)
-            tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            first = np.flatnonzero(np.diff(tokens, prepend=~np.uint64(0)))
-            count = np.diff(np.append(first, len(tokens)))
-            hot = np.repeat(count > in_block, count)
-            block, doc_ids = part << 24 | k, np.array(ids, dtype=np.int64)
-            rows = []
-
-            def row(bucket: int, kind: int, t: np.ndarray, o: np.ndarray) -> tuple:
-                used, place = np.unique(o, return_inverse=True)
-                return (
-                    bucket, block, kind, (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes(),
-                    place.astype("<u2").tobytes(), doc_ids[used].tobytes(), sizes[used].tobytes(),
-                )
-
-            hot_first = first[count > in_block]
-            for mask, kind in ((~hot, 0), (hot, 2)):
-                t, o = tokens[mask], owner[mask]
-                if kind == 2:
-                    if len(t):  # straight back to their documents
-                        rows.append(row(-1, 2, t, o))
-                    t, o, kind = tokens[hot_first], owner[hot_first], 1
-                bucket = (t * np.uint64(buckets)) >> BITS if buckets < 1 << 16 else t % np.uint64(buckets)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1)) if buckets < 1 << 16 else None
-                for b in range(buckets) if edge is not None else np.unique(bucket).tolist():
-                    part_of = slice(edge[b], edge[b + 1]) if edge is not None else bucket == b
-                    if len(t[part_of]):
-                        rows.append(row(int(b), kind, t[part_of], o[part_of]))
-            yield pd.DataFrame(rows, columns=["bucket", "block", "kind", "low", "high", "own", "docs", "sizes"])
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "bucket long, block long, kind int, low binary, high binary, own binary, docs binary, sizes binary"
-    )
-
-
-def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    tokens = np.frombuffer(row.low, "<u4").astype(np.uint64) | np.frombuffer(row.high, "<u2").astype(np.uint64) << np.uint64(32)
-    return tokens, np.frombuffer(row.own, "<u2"), np.frombuffer(row.docs, "<i8"), np.frombuffer(row.sizes, "<i4")
-
-
-def _shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's tokens that two or more sets hold, sent back to their blocks.
-
-    ``rank`` is the document frequency, or 0 for the frequent class.
-    """
-    unpacked = [(r.block, r.kind, *_unpack(r)) for r in rows.itertuples()]
-    tokens = np.concatenate([u[2] for u in unpacked])
-    hot = np.unique(np.concatenate([np.empty(0, np.uint64), *[u[2] for u in unpacked if u[1] == 1]]))
-    found, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    rank = np.where(np.isin(found, hot, assume_unique=True), 0, count)
-    rank, at, out = rank[back], 0, []
-    for block, kind, t, own, docs, sizes in unpacked:
-        r = rank[at : at + len(t)]
-        at += len(t)
-        keep = r != 1
-        if kind == 0 and keep.any():
-            used, place = np.unique(own[keep], return_inverse=True)
-            out.append(
-                (
-                    block, (t[keep] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t[keep] >> np.uint64(32)).astype("<u2").tobytes(),
-                    place.astype("<u2").tobytes(), docs[used].tobytes(), sizes[used].tobytes(), r[keep].astype("<u4").tobytes(),
-                )
-            )
-    return pd.DataFrame(out, columns=["block", "low", "high", "own", "docs", "sizes", "rank"])
-
-
-def _ceil(n: int, ratio: tuple[int, int]) -> int:
-    return -(-n * ratio[0] // ratio[1])
-
-
-def prefix_entries(tokens: np.ndarray, rank: np.ndarray, n: int, ratio: tuple[int, int], frequent: int) -> np.ndarray:
-    """Index entries of a set of ``n`` tokens, of which ``tokens`` are shared."""
-    need = _ceil(n, ratio)
-    alone = n - len(tokens)  # tokens of no other set stand first in the order
-    if need < 2 or len(tokens) < need:
-        return np.empty(0, np.uint64)
-    order = np.lexsort((tokens, np.where(rank == 0, np.iinfo(np.uint32).max, np.where(rank > frequent, frequent + 1, rank))))
-    often = ((rank == 0) | (rank > frequent))[order]
-    prefix = n - need + 1 - alone
-    if often[:prefix].any():
-        prefix += 1
-    taken, often = tokens[order][:prefix], often[:prefix]
-    rare, common = mix(taken[~often]), np.sort(taken[often])
-    i, j = np.triu_indices(len(common), 1)
-    return np.concatenate([rare, mix(mix(common[i]) + common[j] * np.uint64(3))])
-
-
-def _candidates(ratio: tuple[int, int], frequent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """All of a block: its sets with enough shared tokens, and their entries."""
-        tokens, docs, sizes, ranks = [], [], [], []
-        for r in rows.itertuples():
-            t, own, d, s = _unpack(r)
-            tokens.append(t)
-            docs.append(d[own])
-            sizes.append(s[own])
-            ranks.append(np.frombuffer(r.rank, "<u4") if len(r.rank) else np.zeros(len(t), np.uint32))
-        tokens, docs, sizes, ranks = map(np.concatenate, (tokens, docs, sizes, ranks))
-        order = np.lexsort((tokens, docs))
-        tokens, docs, sizes, ranks = tokens[order], docs[order], sizes[order], ranks[order]
-        first = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
-        out = []
-        for a, b in itertools.pairwise([*first.tolist(), len(docs)]):
-            entries = prefix_entries(tokens[a:b], ranks[a:b], int(sizes[a]), ratio, frequent)
-            if len(entries):
-                out.append((int(docs[a]), int(sizes[a]), tokens[a:b].tobytes(), entries.view(np.int64)))
-        return pd.DataFrame(out, columns=["doc_id", "n", "tokens", "entries"])
-
-    return run
-
-
-class Forest:
-    """Union-find over places 0..n-1 whose roots are kept up to date in an array."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-        self.members: dict[int, list[int]] = {i: [i] for i in range(n)}
-
-    def join(self, a: int, b: int) -> None:
-        a, b = int(self.root[a]), int(self.root[b])
-        if a == b:
-            return
-        if len(self.members[a]) < len(self.members[b]):
-            a, b = b, a
-        moved = self.members.pop(b)
-        self.root[moved] = a
-        self.members[a] += moved
-
-
-def link_forest(sets: list[np.ndarray], sizes: list[int], ratio: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that connect whatever the links of these sets connect, exactly.
-
-    ``sets`` are the sorted shared tokens, ``sizes`` the whole sizes.  Pairs that
-    are connected already are not compared.  Once a tree has some members, a few
-    of them serve as centres: a set linked with a centre needn't look up the
-    tree's index, so a large group of near copies costs little per member.
+        for ids, texts in _blocks(batches):
+            sets = shingle_sets(texts, size)
+            taken = _distinct(*_marks(sets))
+            entry, owner, pair = index_entries([sets[k] for k in taken], frequent.value, ratio)
+            doc_ids = np.asarray(ids, dtype=np.int64)[taken]
+            for k in range(0, len(entry), 200_000):
+                at = slice(k, k + 200_000)
+                yield pd.DataFrame({"entry": entry[at], "doc_id": doc_ids[owner[at]], "pair": pair[at]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "entry long, doc_id long, pair boolean")
+
+
+def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(doc_id, tokens) of documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, texts in _blocks(batches):
+            yield pd.DataFrame({"doc_id": ids, "tokens": [s.view(np.int64) for s in shingle_sets(texts, size)]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, tokens array<long>")
+
+
+def shared_entries(posted: DataFrame) -> DataFrame:
+    """(entry, doc_id) of entries with two or more postings.
+
+    Tokens one by one are counted in a window, one shuffle; a rare one has few
+    postings.  Pairs, few but perhaps of very many sets, are counted with a combine before the
+    shuffle and joined back, a join whose skewed keys are split.
     """
+    single = posted.where("not pair").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("entry")))
+    kept = stash(single.where("rows > 1").select("entry", "doc_id"), "shared-tokens")
+    pairs = posted.where("pair").select("entry", "doc_id")
+    often = pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
+    return kept.union(pairs.join(often, "entry"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (src, dst) whose sets reach the similarity, compared whole."""
     num, den = ratio
-    order = sorted(range(len(sets)), key=lambda k: (sizes[k], k))
-    values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    forest, out = Forest(len(sets)), []
-    giant: dict[int, list[int]] = defaultdict(list)  # prefix index of the largest tree
-    rest: dict[int, list[int]] = defaultdict(list)
-    centres: list[int] = []
-
-    def linked(x: int, y: int) -> bool:
-        if sizes[y] * den < num * sizes[x] and sizes[y] < sizes[x] or sizes[x] * den < num * sizes[y]:
-            return False
-        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        return den * both >= num * (sizes[x] + sizes[y] - both)
-
-    def against(x: int, index: dict[int, list[int]], prefix: list[int]) -> None:
-        lists = [index[t] for t in prefix if t in index]
-        if not lists:
-            return
-        ys, often = np.unique(np.concatenate([np.asarray(v) for v in lists]), return_counts=True)
-        ys = ys[np.argsort(-often, kind="stable")]
-        while len(ys := ys[forest.root[ys] != forest.root[x]]):
-            y = int(ys[0])
-            if linked(x, y):
-                forest.join(x, y)
-                out.append((x, y))
-            ys = ys[1:]
-
-    for x in order:
-        n = sizes[x]
-        keep = n - _ceil(n, ratio) + 1 - (n - len(sets[x]))
-        rank = counts[np.searchsorted(values, sets[x])]
-        prefix = sets[x][np.lexsort((sets[x], rank))][:keep].tolist()
-        for c in centres:
-            if linked(x, c):
-                forest.join(x, c)
-                out.append((x, c))
-                break
-        inside = bool(centres) and forest.root[x] == forest.root[centres[0]]
-        if not inside:
-            against(x, giant, prefix)
-        against(x, rest, prefix)
-        home = giant if centres and forest.root[x] == forest.root[centres[0]] else rest
-        for t in prefix:
-            home[t].append(x)
-        if not centres and len(forest.members[int(forest.root[x])]) >= 8:
-            tree = forest.members[int(forest.root[x])]
-            centres = [tree[0], tree[len(tree) // 2], tree[-1]]
-    return out
-
-
-def _verify(ratio: tuple[int, int]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in rows.groupby("group", sort=False):
-            sets = [np.frombuffer(t, np.uint64) for t in g["tokens"]]
-            ids = g["doc_id"].tolist()
-            out += [(ids[a], ids[b]) for a, b in link_forest(sets, g["n"].tolist(), ratio)]
-        return pd.DataFrame(out, columns=["src", "dst"])
-
-    return run
-
-
-def verified_links(sets: DataFrame, ratio: tuple[int, int], group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """Links (src, dst) spanning each component; ``sets``: group, doc_id, n, tokens."""
-    size = F.length("tokens") / 8
-    weights = sets.groupBy("group").agg(F.sum(size).alias("weight"))
-    total = weights.agg(F.sum("weight")).first()[0] or 0
-    weighed = sets.join(weights, "group")
-    small = weighed.where(F.col("weight") <= group_tokens)
-    tasks = max(16, int(total // (group_tokens // 8)) + 1)
-    links = (
-        small.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)))
-        .groupBy("task").applyInPandas(lambda rows: _verify(ratio)(rows), "src long, dst long")
-    )
-    # Too large for a task: every pair of blocks, each block about half a task.
-    n_blocks = F.ceil(F.col("weight") / (group_tokens // 2)).cast("int")
-    large = weighed.where(F.col("weight") > group_tokens).withColumn("blocks", n_blocks)
-    large = large.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    paired = large.select("group", "doc_id", "n", "tokens", "b", other).where("blocks > 1")
-    paired = paired.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
-    across = paired.groupBy("group", "i", "j").applyInPandas(
-        lambda rows: _verify(ratio)(rows.drop_duplicates("doc_id")), "src long, dst long"
-    )
-    return links.union(across)
+    a = sets.select(F.col("doc_id").alias("src"), F.col("tokens").alias("a"))
+    b = sets.select(F.col("doc_id").alias("dst"), F.col("tokens").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    total = F.size("a") + F.size("b")
+    return pairs.join(a, "src").join(b, "dst").where(den * both >= num * (total - both)).select("src", "dst")
+
+
+def _close(x: str, y: str, ratio: tuple[int, int]):
+    """Whether sets of such sizes can be similar enough."""
+    return (F.col(x) * ratio[1] >= F.col(y) * ratio[0]) & (F.col(y) * ratio[1] >= F.col(x) * ratio[0])
+
+
+def leader_pairs(members: DataFrame, ratio: tuple[int, int], turn: int) -> DataFrame:
+    """Pairs of each set with the leaders of its entries; ``members``: entry, doc_id, n,
+    component.  The leader is the smallest by a hash that differs by ``turn``."""
+    rank = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+    lead = F.min(F.struct(rank.alias("rank"), F.col("doc_id").alias("src"), F.col("n").alias("m"), F.col("component").alias("of")))
+    leaders = members.groupBy("entry").agg(lead.alias("lead")).select("entry", "lead.src", "lead.m", "lead.of")
+    met = members.join(leaders, "entry").where((F.col("component") != F.col("of")) & _close("n", "m", ratio))
+    return met.select(F.least("src", "doc_id").alias("src"), F.greatest("src", "doc_id").alias("dst")).distinct()
+
+
+def left_pairs(members: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """All pairs of sets that share an entry and are in different components."""
+    other = members.select("entry", F.col("doc_id").alias("dst"), F.col("n").alias("m"), F.col("component").alias("of"))
+    met = members.join(other, "entry").where((F.col("doc_id") < F.col("dst")) & (F.col("component") != F.col("of")) & _close("n", "m", ratio))
+    return met.select(F.col("doc_id").alias("src"), "dst").distinct()
+
+
+def verified_links(members: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Links (src, dst) that connect whatever the links among candidates connect.
+
+    ``members``: entry, doc_id, n.  See the module's text.
+    """
+    found: DataFrame | None = None
+    now = members.withColumn("component", F.col("doc_id"))
+    for turn in range(LEADER_ROUNDS + 1):
+        # The driver sees two sums.
+        rows, pairs = now.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not rows:
+            break
+        last = turn > 0 and (pairs <= 2 * PAIRS_PER_POSTING * rows or turn == LEADER_ROUNDS)
+        some = left_pairs(now, ratio) if last else leader_pairs(now, ratio, turn)
+        links = stash(linked(some, sets, ratio), "links")
+        found = links if found is None else found.union(links)
+        if last:
+            break
+        group = components(found)
+        group = stash(group.select(F.col("node").alias("doc_id"), F.col("component").alias("joined")), "joined")
+        tagged = members.join(group, "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("joined", "doc_id").alias("component"))
+        # An entry of two sets was decided by its leader.
+        open_ = tagged.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        then = stash(tagged.join(open_.where("lo < hi and rows > 2").select("entry"), "entry"), "open")
+        if turn:
+            discard(now)
+        discard(group)
+        now = then
+        release(members.sparkSession)
+    return found if found is not None else members.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, size: int = SIZE, ratio: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT,
-    in_block: int = FREQUENT_IN_BLOCK, group_tokens: int = GROUP_TOKENS, bucket_postings: int = BUCKET_POSTINGS,
+    docs: DataFrame, size: int = SIZE, ratio: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, share: int = SHARE
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
     Texts are whole; A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``.  A
     document without words (null, empty or blank text) has no shingles and links
-    with nothing.  ``ratio`` must exceed one half.  Every input row gives a row; rows
-    that repeat a doc_id count as linked with each other.  Null doc_ids stay
-    alone, with component null.  Other columns are ignored.
+    with nothing.  ``ratio`` must be three quarters or more.  Every input row gives a
+    row; rows that repeat a doc_id count as linked with each other, those without words
+    excepted.  Rows without a doc_id stay alone, with component null; no other row's
+    component depends on them.  Other columns are ignored.
     """
-    if 2 * ratio[0] <= ratio[1]:
-        raise ValueError("the similarity must exceed 0.5")
-    marks = stash(set_marks(docs, size), "shingle-marks")
-    key = ["mark_a", "mark_b", "n_shingles"]
-    classes = stash(marks.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("head")), "shingle-classes")
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(64, int(total // bucket_postings) + 1)
-    heads = classes.where("n_shingles > 1").select(F.col("head").alias("doc_id"))
-    some = docs.select("doc_id", "text").join(heads, "doc_id", "left_semi")
-    posted = stash(_postings(some, buckets, size, in_block), "postings")
-    back = posted.where("bucket >= 0").groupBy("bucket").applyInPandas(
-        _shared_tokens, "block long, low binary, high binary, own binary, docs binary, sizes binary, rank binary"
-    )
-    direct = posted.where("bucket < 0").select(
-        "block", "low", "high", "own", "docs", "sizes", F.lit(b"").alias("rank")
-    )
-    sets = stash(
-        back.union(direct).groupBy("block").applyInPandas(
-            _candidates(ratio, frequent), "doc_id long, n long, tokens binary, entries array<long>"
-        ),
-        "sets",
-    )
+    if 4 * ratio[0] < 3 * ratio[1]:
+        raise ValueError("the similarity must be 0.75 or more")
+    spark = docs.sparkSession
+    marks = stash(set_marks(docs, size, share), "shingle-marks")
+    rows = marks.where("token is null").drop("token")
+    named = rows.where("doc_id is not null and n_shingles > 0")
+    classes = stash(named.groupBy(*KEY).agg(F.min("doc_id").alias("head")), "shingle-classes")
+    heads = stash(named.join(classes, KEY).select("doc_id", "head", F.col("n_shingles").alias("n")).distinct(), "shingle-heads")
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    # At most `share` tokens can make up so much of the total each.
+    heavy = marks.where("token is not null").groupBy("token").agg(F.sum("n_shingles").alias("rows"))
+    often = heavy.where(F.col("rows") > max(frequent, total // share)).select("token").toPandas()["token"]
+    shared = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
+
+    some = docs.select("doc_id", "text").where("doc_id is not null")
+    posted = stash(postings(some, shared, size, ratio), "postings")
+    met = shared_entries(posted).join(heads, "doc_id").select("entry", F.col("head").alias("doc_id"), "n").distinct()
+    met = stash(met, "met")
     discard(posted)
-    entries = sets.select("doc_id", F.explode("entries").alias("entry"))
-    first = entries.groupBy("entry").agg(F.min("doc_id").alias("src"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    edges = entries.join(first.drop("rows"), "entry").select("src", F.col("doc_id").alias("dst"))
-    groups = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    # Copies of a row with a repeated doc_id are dropped here only.
-    candidates = sets.select("doc_id", "n", "tokens").join(groups, "doc_id").dropDuplicates(["doc_id", "tokens"])
-    found = components(verified_links(candidates, ratio, group_tokens))
-    named = classes.join(found, classes["head"] == found["node"], "left").select(
-        *key, F.coalesce("component", "head").alias("component_id")
-    )
-    return marks.join(named, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    several = met.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
+    members = stash(met.join(several, "entry"), "members")
+    discard(met)
+    release(spark)
+    wanted = stash(members.select("doc_id").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    sets = stash(token_sets(some.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size).distinct(), "sets")
+    links = verified_links(members, sets, ratio)
+    # Rows that repeat a doc_id connect their classes.
+    again = heads.groupBy("doc_id").agg(F.min("head").alias("src"), F.max("head").alias("dst")).where("src < dst")
+    again = again.select("doc_id").join(heads, "doc_id").select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
+    found = components(links.union(again))
+    discard(members, wanted, sets)
+    group = classes.join(found, classes["head"] == found["node"], "left").select(*KEY, F.coalesce("component", "head").alias("of"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
+    return rows.join(group, KEY, "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

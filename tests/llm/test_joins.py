@@ -43,7 +43,7 @@ def brute(rows):
     return {i: (len(s), found[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 2}, {"frequent": 1, "share": 100}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 2, "per_posting": 0}, {"frequent": 1, "share": 100}])
 def test_join_equals_brute_force(docs, options):
     """With small limits tokens are of the frequent class, and pairs of them are indexed."""
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -62,7 +62,7 @@ def test_join_of_a_hot_group(spark):
         rows.append((k, " ".join(w)))
     rows += [(500 + k, " ".join(base[:30] + [f"o{k}-{j}" for j in range(40)])) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for options in ({}, {"frequent": 5}, {"frequent": 1}):
+    for options in ({}, {"frequent": 5, "per_posting": 0}, {"frequent": 1}):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, **options).collect()}
         assert got == brute(rows)
 
@@ -95,14 +95,15 @@ def test_linked_sets_share_an_entry():
             sets[-1].sort()
         every = np.unique(np.concatenate(sets))
         frequent = every[rng.random(len(every)) < rng.choice([0, 0.3, 0.6, 0.9, 1])]
-        entry, owner, _ = index_entries(sets, frequent, (75, 100))
+        entry, owner, _, rest = index_entries(sets, frequent, (75, 100))
         own = [set(entry[owner == k].tolist()) for k in range(len(sets))]
         assert all(len(e) <= len(s) for e, s in zip(own, sets, strict=True))
         for a in range(12):
             for b in range(a):
                 both, union = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
                 if union and 100 * both >= 75 * union and both < union:
-                    assert own[a] & own[b]
+                    shared = len(own[a] & own[b])
+                    assert shared and shared + max(rest[a], rest[b]) >= both
 
 
 def test_join_finds_links_between_other_sets_than_leaders(spark):
@@ -113,7 +114,7 @@ def test_join_finds_links_between_other_sets_than_leaders(spark):
         own = [f"o{k // 2}-{j}" for j in range(40)]
         rows.append((k, " ".join(passage + own[: 40 - k % 2])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for options in ({}, {"frequent": 3}):
+    for options in ({}, {"frequent": 3, "per_posting": 0}):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, **options).collect()}
         assert got == brute(rows)
         assert len({c for _, c in got.values()}) == 20

@@ -16,13 +16,14 @@ are neighbours in both sets; they lie within the first 2 (1 - t) |x| + 2 tokens
 twice the rare ones.  The index is linear in the tokens, and one very common token alone
 makes no candidates.
 
-Verification.  Sets that share an index entry are candidates.  Each is first compared
-with one leader of each of its entries, which is linear in the index and joins large
-groups of near copies.  Entries whose sets are by then in one component are done; of
-the others, only pairs of sets in different components are left.  A few more rounds
-of leaders run while such entries are large, then all pairs left are compared.  Every
-comparison is an exact one of whole sets.  Shingles are known by keyed hashes of 64
-bits, sets by two sums of 64 bits and their size.
+Verification.  Sets that share an index entry are candidates.  Where entries are small,
+the entries that two sets share are counted; of the tokens that both hold, all but the
+last ones of one set are among them, so a low count rules a pair out.  What is left is
+compared whole.  While entries are large (groups of near copies), each set is first
+compared with one leader of each of its entries, which is linear in the index; entries whose
+sets are by then in one component are done, and of the others only pairs of sets in
+different components count.  Shingles are known by keyed hashes of 64 bits, sets by two
+sums of 64 bits and their size.
 """
 
 from __future__ import annotations
@@ -48,9 +49,8 @@ FREQUENT = 64
 SHARE = 1_000_000
 #: Characters of a block of texts.
 BLOCK_CHARS = 6_000_000
-#: Pairs that may be compared at once, by postings; above it, leaders come first.
-PAIRS_PER_POSTING = 2
-LEADER_ROUNDS = 6
+#: Pairs that entries may hold in all, by postings; above it, leaders come first.
+PAIRS_PER_POSTING = 32
 #: Candidates' ids are broadcast up to this number (16 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 KEY = ["mark_a", "mark_b", "n_shingles"]
@@ -107,8 +107,9 @@ def set_marks(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFram
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, mark_a long, mark_b long, token long")
 
 
-def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, place of its set, whether it is a pair) of sets of sorted tokens.
+def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """(entry, place of its set, whether it is a pair) of sets of sorted tokens, and
+    for each set the number of tokens that it doesn't post one by one.
 
     ``frequent``: the sorted tokens of the frequent class.
     """
@@ -127,30 +128,34 @@ def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int
     prefix = np.where(need < 2, 0, n - need + 1)  # a set of one token has only copies
     mixed = rare < prefix
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-    single = place < np.where(mixed, rare, prefix)[owner]
+    alone = np.where(mixed, rare, prefix)
+    single = place < alone[owner]
     # pairs (i, i + 1) of frequent tokens among the first `reach` of them
     reach = 2 * (den - num) * n // den + 2 - 2 * rare
     upto = np.where(mixed, np.minimum(rare + reach - 1, n - 1), 0)
     first = np.flatnonzero((place >= rare[owner]) & (place < upto[owner]))
     pairs = mix(mix(tokens[first]) + tokens[np.minimum(first + 1, len(tokens) - 1)] * np.uint64(3))
     entry = np.concatenate([mix(tokens[single]), pairs]).view(np.int64)
-    return entry, np.concatenate([owner[single], owner[first]]), np.arange(len(entry)) >= single.sum()
+    return entry, np.concatenate([owner[single], owner[first]]), np.arange(len(entry)) >= single.sum(), n - alone
 
 
 def postings(docs: DataFrame, frequent, size: int, ratio: tuple[int, int]) -> DataFrame:
-    """(entry, doc_id, pair) of the index; of equal sets in a block one is posted."""
+    """(entry, doc_id, n, rest, pair) of the index: the size of the set, the tokens
+    that it doesn't post one by one.  Of equal sets in a block one is posted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _blocks(batches):
             sets = shingle_sets(texts, size)
             taken = _distinct(*_marks(sets))
-            entry, owner, pair = index_entries([sets[k] for k in taken], frequent.value, ratio)
-            doc_ids = np.asarray(ids, dtype=np.int64)[taken]
+            sets = [sets[k] for k in taken]
+            entry, owner, pair, rest = index_entries(sets, frequent.value, ratio)
+            doc_ids, n = np.asarray(ids, dtype=np.int64)[taken], np.array([len(s) for s in sets], dtype=np.int64)
             for k in range(0, len(entry), 200_000):
                 at = slice(k, k + 200_000)
-                yield pd.DataFrame({"entry": entry[at], "doc_id": doc_ids[owner[at]], "pair": pair[at]})
+                own = owner[at]
+                yield pd.DataFrame({"entry": entry[at], "doc_id": doc_ids[own], "n": n[own], "rest": rest[own], "pair": pair[at]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "entry long, doc_id long, pair boolean")
+    return docs.select("doc_id", "text").mapInPandas(run, "entry long, doc_id long, n int, rest int, pair boolean")
 
 
 def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -164,27 +169,34 @@ def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def shared_entries(posted: DataFrame) -> DataFrame:
-    """(entry, doc_id) of entries with two or more postings.
+    """The postings (without ``pair``) of entries with two or more of them.
 
     Tokens one by one are counted in a window, one shuffle; a rare one has few
     postings.  Pairs, few but perhaps of very many sets, are counted with a combine before the
     shuffle and joined back, a join whose skewed keys are split.
     """
     single = posted.where("not pair").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("entry")))
-    kept = stash(single.where("rows > 1").select("entry", "doc_id"), "shared-tokens")
-    pairs = posted.where("pair").select("entry", "doc_id")
+    kept = stash(single.where("rows > 1").drop("rows", "pair"), "shared-tokens")
+    pairs = posted.where("pair").drop("pair")
     often = pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
     return kept.union(pairs.join(often, "entry"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """The pairs (src, dst) whose sets reach the similarity, compared whole."""
+def linked(pairs: DataFrame, docs: DataFrame, size: int, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (src, dst) whose sets reach the similarity, compared whole; a table."""
     num, den = ratio
+    pairs = stash(pairs, "candidates")
+    wanted = stash(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = stash(token_sets(docs.join(few, "doc_id", "left_semi"), size).distinct(), "sets")
     a = sets.select(F.col("doc_id").alias("src"), F.col("tokens").alias("a"))
     b = sets.select(F.col("doc_id").alias("dst"), F.col("tokens").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     total = F.size("a") + F.size("b")
-    return pairs.join(a, "src").join(b, "dst").where(den * both >= num * (total - both)).select("src", "dst")
+    found = stash(pairs.join(a, "src").join(b, "dst").where(den * both >= num * (total - both)).select("src", "dst"), "links")
+    discard(pairs, wanted, sets)
+    release(docs.sparkSession)
+    return found
 
 
 def _close(x: str, y: str, ratio: tuple[int, int]):
@@ -203,46 +215,51 @@ def leader_pairs(members: DataFrame, ratio: tuple[int, int], turn: int) -> DataF
 
 
 def left_pairs(members: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """All pairs of sets that share an entry and are in different components."""
-    other = members.select("entry", F.col("doc_id").alias("dst"), F.col("n").alias("m"), F.col("component").alias("of"))
-    met = members.join(other, "entry").where((F.col("doc_id") < F.col("dst")) & (F.col("component") != F.col("of")) & _close("n", "m", ratio))
-    return met.select(F.col("doc_id").alias("src"), "dst").distinct()
+    """Pairs of sets in different components that share enough entries.
+
+    All sets' posted tokens come before the rest of them.  So of what two sets share, at
+    most the rest of one of them isn't posted by both.
+    """
+    num, den = ratio
+    other = members.select("entry", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "rest", "component")])
+    met = members.join(other, "entry").where((F.col("doc_id") < F.col("doc_id2")) & (F.col("component") != F.col("component2")) & _close("n", "n2", ratio))
+    shared = met.groupBy("doc_id", "doc_id2", "n", "n2", "rest", "rest2").agg(F.count(F.lit(1)).alias("shared"))
+    enough = (num + den) * (F.col("shared") + F.greatest("rest", "rest2")) >= num * (F.col("n") + F.col("n2"))
+    return shared.where(enough).select(F.col("doc_id").alias("src"), F.col("doc_id2").alias("dst")).distinct()
 
 
-def verified_links(members: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def verified_links(members: DataFrame, docs: DataFrame, size: int, ratio: tuple[int, int], per_posting: int) -> DataFrame:
     """Links (src, dst) that connect whatever the links among candidates connect.
 
-    ``members``: entry, doc_id, n.  See the module's text.
+    ``members``: entry, doc_id, n, rest.  See the module's text.
     """
-    found: DataFrame | None = None
-    now = members.withColumn("component", F.col("doc_id"))
-    for turn in range(LEADER_ROUNDS + 1):
-        # The driver sees two sums.
-        rows, pairs = now.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-        if not rows:
-            break
-        last = turn > 0 and (pairs <= 2 * PAIRS_PER_POSTING * rows or turn == LEADER_ROUNDS)
-        some = left_pairs(now, ratio) if last else leader_pairs(now, ratio, turn)
-        links = stash(linked(some, sets, ratio), "links")
-        found = links if found is None else found.union(links)
-        if last:
-            break
+    found = docs.sparkSession.createDataFrame([], "src long, dst long")
+    # The driver sees a few sums.
+    squares = lambda df: df.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    now, turn, before = members.withColumn("component", F.col("doc_id")), 0, float("inf")
+    rows, pairs = squares(now)
+    most = 2 * per_posting * (rows or 0)
+    while pairs:
+        # Leaders come first while there are many pairs and the last leaders settled a quarter of them.
+        if pairs <= most or pairs > 0.75 * before:
+            return found.union(linked(left_pairs(now, ratio), docs, size, ratio))
+        found, before = found.union(linked(leader_pairs(now, ratio, turn), docs, size, ratio)), pairs
         group = components(found)
         group = stash(group.select(F.col("node").alias("doc_id"), F.col("component").alias("joined")), "joined")
-        tagged = members.join(group, "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("joined", "doc_id").alias("component"))
+        tagged = members.join(group, "doc_id", "left").select(*members.columns, F.coalesce("joined", "doc_id").alias("component"))
         # An entry of two sets was decided by its leader.
-        open_ = tagged.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        then = stash(tagged.join(open_.where("lo < hi and rows > 2").select("entry"), "entry"), "open")
-        if turn:
-            discard(now)
-        discard(group)
-        now = then
-        release(members.sparkSession)
-    return found if found is not None else members.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
+        lo, hi = F.min("component").alias("lo"), F.max("component").alias("hi")
+        open_ = tagged.groupBy("entry").agg(lo, hi, F.count(F.lit(1)).alias("rows")).where("lo < hi and rows > 2")
+        then = stash(tagged.join(open_.select("entry"), "entry"), "open")
+        discard(group, *([now] if turn else []))
+        now, turn = then, turn + 1
+        pairs = squares(now)[1]
+    return found
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, size: int = SIZE, ratio: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, share: int = SHARE
+    docs: DataFrame, size: int = SIZE, ratio: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, share: int = SHARE,
+    per_posting: int = PAIRS_PER_POSTING,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
@@ -260,7 +277,7 @@ def ngram_jaccard_join(
     rows = marks.where("token is null").drop("token")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = stash(named.groupBy(*KEY).agg(F.min("doc_id").alias("head")), "shingle-classes")
-    heads = stash(named.join(classes, KEY).select("doc_id", "head", F.col("n_shingles").alias("n")).distinct(), "shingle-heads")
+    heads = stash(named.join(classes, KEY).select("doc_id", "head").distinct(), "shingle-heads")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     # At most `share` tokens can make up so much of the total each.
     heavy = marks.where("token is not null").groupBy("token").agg(F.sum("n_shingles").alias("rows"))
@@ -269,22 +286,19 @@ def ngram_jaccard_join(
 
     some = docs.select("doc_id", "text").where("doc_id is not null")
     posted = stash(postings(some, shared, size, ratio), "postings")
-    met = shared_entries(posted).join(heads, "doc_id").select("entry", F.col("head").alias("doc_id"), "n").distinct()
+    met = shared_entries(posted).join(heads, "doc_id").drop("doc_id").withColumnRenamed("head", "doc_id").distinct()
     met = stash(met, "met")
     discard(posted)
     several = met.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
     members = stash(met.join(several, "entry"), "members")
     discard(met)
     release(spark)
-    wanted = stash(members.select("doc_id").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    sets = stash(token_sets(some.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size).distinct(), "sets")
-    links = verified_links(members, sets, ratio)
+    links = verified_links(members, some, size, ratio, per_posting)
     # Rows that repeat a doc_id connect their classes.
     again = heads.groupBy("doc_id").agg(F.min("head").alias("src"), F.max("head").alias("dst")).where("src < dst")
     again = again.select("doc_id").join(heads, "doc_id").select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
     found = components(links.union(again))
-    discard(members, wanted, sets)
+    discard(members)
     group = classes.join(found, classes["head"] == found["node"], "left").select(*KEY, F.coalesce("component", "head").alias("of"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return rows.join(group, KEY, "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -95,15 +95,16 @@ def test_linked_sets_share_an_entry():
             sets[-1].sort()
         every = np.unique(np.concatenate(sets))
         frequent = every[rng.random(len(every)) < rng.choice([0, 0.3, 0.6, 0.9, 1])]
-        entry, owner, _, rest = index_entries(sets, frequent, (75, 100))
+        entry, owner, rest, mixed = index_entries(sets, frequent, (75, 100))
         own = [set(entry[owner == k].tolist()) for k in range(len(sets))]
         assert all(len(e) <= len(s) for e, s in zip(own, sets, strict=True))
         for a in range(12):
             for b in range(a):
                 both, union = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
                 if union and 100 * both >= 75 * union and both < union:
-                    shared = len(own[a] & own[b])
-                    assert shared and shared + max(rest[a], rest[b]) >= both
+                    assert own[a] & own[b]
+                    shared = sum(e % 2 == 0 for e in own[a] & own[b])
+                    assert shared + (min if mixed[a] and mixed[b] else max)(rest[a], rest[b]) >= both
 
 
 def test_join_finds_links_between_other_sets_than_leaders(spark):

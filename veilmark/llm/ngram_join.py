@@ -16,14 +16,14 @@ are neighbours in both sets; they lie within the first 2 (1 - t) |x| + 2 tokens
 twice the rare ones.  The index is linear in the tokens, and one very common token alone
 makes no candidates.
 
-Verification.  Sets that share an index entry are candidates.  Where entries are small,
-the entries that two sets share are counted; of the tokens that both hold, all but the
-last ones of one set are among them, so a low count rules a pair out.  What is left is
-compared whole.  While entries are large (groups of near copies), each set is first
-compared with one leader of each of its entries, which is linear in the index; entries whose
-sets are by then in one component are done, and of the others only pairs of sets in
-different components count.  Shingles are known by keyed hashes of 64 bits, sets by two
-sums of 64 bits and their size.
+Verification.  Sets that share an index entry are candidates.  Each is first paired
+with one leader of each of its entries, which is linear in the index and joins large
+groups of near copies.  Entries whose sets are by then in one component are done; of the
+others only pairs of sets in different components count, after further leaders while
+these entries are large.  For each pair the entries that it shares are counted; of
+the tokens that both hold, all but the last ones of one set are among them, so a low count
+rules the pair out.  What is left is compared whole.  Shingles are known by keyed hashes
+of 64 bits, sets by two sums of 64 bits and their size.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ FREQUENT = 64
 SHARE = 1_000_000
 #: Characters of a block of texts.
 BLOCK_CHARS = 6_000_000
-#: Pairs that entries may hold in all, by postings; above it, leaders come first.
-PAIRS_PER_POSTING = 32
+#: Pairs that open entries may hold in all, by postings; above it, more leaders come first.
+PAIRS_PER_POSTING = 4
 #: Candidates' ids are broadcast up to this number (16 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 KEY = ["mark_a", "mark_b", "n_shingles"]
@@ -108,10 +108,10 @@ def set_marks(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFram
 
 
 def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """(entry, place of its set, whether it is a pair) of sets of sorted tokens, and
-    for each set the number of tokens that it doesn't post one by one.
+    """(entry, place of its set) of sets of sorted tokens; for each set the number of
+    tokens that it doesn't post one by one, and whether these are all its frequent ones.
 
-    ``frequent``: the sorted tokens of the frequent class.
+    ``frequent``: the sorted tokens of the frequent class.  Entries of pairs are odd.
     """
     num, den = ratio
     n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -135,27 +135,27 @@ def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int
     upto = np.where(mixed, np.minimum(rare + reach - 1, n - 1), 0)
     first = np.flatnonzero((place >= rare[owner]) & (place < upto[owner]))
     pairs = mix(mix(tokens[first]) + tokens[np.minimum(first + 1, len(tokens) - 1)] * np.uint64(3))
-    entry = np.concatenate([mix(tokens[single]), pairs]).view(np.int64)
-    return entry, np.concatenate([owner[single], owner[first]]), np.arange(len(entry)) >= single.sum(), n - alone
+    entry = np.concatenate([mix(tokens[single]) & ~np.uint64(1), pairs | np.uint64(1)]).view(np.int64)
+    return entry, np.concatenate([owner[single], owner[first]]), n - alone, mixed
 
 
 def postings(docs: DataFrame, frequent, size: int, ratio: tuple[int, int]) -> DataFrame:
-    """(entry, doc_id, n, rest, pair) of the index: the size of the set, the tokens
-    that it doesn't post one by one.  Of equal sets in a block one is posted."""
+    """(entry, doc_id, n, rest, mixed) of the index: the size of the set, and what
+    :func:`index_entries` says of it.  Of equal sets in a block one is posted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _blocks(batches):
             sets = shingle_sets(texts, size)
             taken = _distinct(*_marks(sets))
             sets = [sets[k] for k in taken]
-            entry, owner, pair, rest = index_entries(sets, frequent.value, ratio)
+            entry, owner, rest, mixed = index_entries(sets, frequent.value, ratio)
             doc_ids, n = np.asarray(ids, dtype=np.int64)[taken], np.array([len(s) for s in sets], dtype=np.int64)
             for k in range(0, len(entry), 200_000):
                 at = slice(k, k + 200_000)
                 own = owner[at]
-                yield pd.DataFrame({"entry": entry[at], "doc_id": doc_ids[own], "n": n[own], "rest": rest[own], "pair": pair[at]})
+                yield pd.DataFrame({"entry": entry[at], "doc_id": doc_ids[own], "n": n[own], "rest": rest[own], "mixed": mixed[own]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "entry long, doc_id long, n int, rest int, pair boolean")
+    return docs.select("doc_id", "text").mapInPandas(run, "entry long, doc_id long, n int, rest int, mixed boolean")
 
 
 def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -169,15 +169,15 @@ def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def shared_entries(posted: DataFrame) -> DataFrame:
-    """The postings (without ``pair``) of entries with two or more of them.
+    """The postings of entries with two or more of them.
 
     Tokens one by one are counted in a window, one shuffle; a rare one has few
     postings.  Pairs, few but perhaps of very many sets, are counted with a combine before the
     shuffle and joined back, a join whose skewed keys are split.
     """
-    single = posted.where("not pair").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("entry")))
-    kept = stash(single.where("rows > 1").drop("rows", "pair"), "shared-tokens")
-    pairs = posted.where("pair").drop("pair")
+    single = posted.where("entry % 2 = 0").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("entry")))
+    kept = stash(single.where("rows > 1").drop("rows"), "shared-tokens")
+    pairs = posted.where("entry % 2 != 0")
     often = pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
     return kept.union(pairs.join(often, "entry"))
 
@@ -199,39 +199,67 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, ratio: tuple[int, int])
     return found
 
 
-def _close(x: str, y: str, ratio: tuple[int, int]):
-    """Whether sets of such sizes can be similar enough."""
-    return (F.col(x) * ratio[1] >= F.col(y) * ratio[0]) & (F.col(y) * ratio[1] >= F.col(x) * ratio[0])
+def _meet(ratio: tuple[int, int]):
+    """Whether sets that share an entry can be similar enough.
+
+    Their sizes must be close.  An entry of a pair of frequent tokens matters only to
+    sets that share no rare one, so their frequent ones (``rest``) must be enough.
+    """
+    num, den = ratio
+    n, n2 = F.col("n"), F.col("n2")
+    close = (n * den >= n2 * num) & (n2 * den >= n * num)
+    return close & ((F.col("entry") % 2 == 0) | (F.least("rest", "rest2") * (num + den) >= num * (n + n2)))
+
+
+def _other(members: DataFrame, *columns: str) -> DataFrame:
+    return members.select("entry", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "rest", "mixed", *columns)])
 
 
 def leader_pairs(members: DataFrame, ratio: tuple[int, int], turn: int) -> DataFrame:
-    """Pairs of each set with the leaders of its entries; ``members``: entry, doc_id, n,
-    component.  The leader is the smallest by a hash that differs by ``turn``."""
+    """Pairs (src, dst) of each set with the leaders of its entries, the smallest by a hash
+    that differs by ``turn``; ``members``: entry, doc_id, n, rest, mixed, component."""
     rank = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-    lead = F.min(F.struct(rank.alias("rank"), F.col("doc_id").alias("src"), F.col("n").alias("m"), F.col("component").alias("of")))
-    leaders = members.groupBy("entry").agg(lead.alias("lead")).select("entry", "lead.src", "lead.m", "lead.of")
-    met = members.join(leaders, "entry").where((F.col("component") != F.col("of")) & _close("n", "m", ratio))
-    return met.select(F.least("src", "doc_id").alias("src"), F.greatest("src", "doc_id").alias("dst")).distinct()
+    fields = [c for c in members.columns if c != "entry"]
+    lead = F.min(F.struct(rank.alias("rank"), *fields)).alias("lead")
+    leaders = members.groupBy("entry").agg(lead).select("entry", *[F.col(f"lead.{c}").alias(f"{c}2") for c in fields])
+    met = members.join(leaders, "entry").where((F.col("component") != F.col("component2")) & _meet(ratio))
+    return met.select(F.col("doc_id2").alias("src"), F.col("doc_id").alias("dst")).distinct()
 
 
-def left_pairs(members: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Pairs of sets in different components that share enough entries.
+_BOTH = ["n", "n2", "rest", "rest2", "mixed", "mixed2"]
+
 
-    All sets' posted tokens come before the rest of them.  So of what two sets share, at
-    most the rest of one of them isn't posted by both.
+def _enough(met: DataFrame, ids: list[str], ratio: tuple[int, int]) -> DataFrame:
+    """The pairs of sets, a row for each entry that they share, that share enough rare tokens.
+
+    The tokens that a set posts come before the rest of it in the order of all.  So of
+    what two sets share, at most the rest of one of them isn't posted by both; where both
+    post all their rare tokens, at most the smaller rest.
     """
     num, den = ratio
-    other = members.select("entry", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "rest", "component")])
-    met = members.join(other, "entry").where((F.col("doc_id") < F.col("doc_id2")) & (F.col("component") != F.col("component2")) & _close("n", "n2", ratio))
-    shared = met.groupBy("doc_id", "doc_id2", "n", "n2", "rest", "rest2").agg(F.count(F.lit(1)).alias("shared"))
-    enough = (num + den) * (F.col("shared") + F.greatest("rest", "rest2")) >= num * (F.col("n") + F.col("n2"))
-    return shared.where(enough).select(F.col("doc_id").alias("src"), F.col("doc_id2").alias("dst")).distinct()
+    shared = met.groupBy(*ids, *_BOTH).agg(F.count(F.when(F.col("entry") % 2 == 0, 1)).alias("shared"))
+    rest = F.when(F.col("mixed") & F.col("mixed2"), F.least("rest", "rest2")).otherwise(F.greatest("rest", "rest2"))
+    return shared.where((num + den) * (F.col("shared") + rest) >= num * (F.col("n") + F.col("n2"))).select(*ids).distinct()
+
+
+def likely_pairs(pairs: DataFrame, members: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (src, dst) that share enough entries, by a count of these."""
+    a = members.withColumnRenamed("doc_id", "src")
+    b = _other(members).withColumnRenamed("doc_id2", "dst")
+    return _enough(pairs.join(a, "src").join(b, ["entry", "dst"]), ["src", "dst"], ratio)
+
+
+def left_pairs(members: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """All pairs of sets in different components that share enough entries."""
+    apart = (F.col("doc_id") < F.col("doc_id2")) & (F.col("component") != F.col("component2"))
+    met = members.join(_other(members, "component"), "entry").where(apart & _meet(ratio))
+    return _enough(met, ["doc_id", "doc_id2"], ratio).toDF("src", "dst")
 
 
 def verified_links(members: DataFrame, docs: DataFrame, size: int, ratio: tuple[int, int], per_posting: int) -> DataFrame:
     """Links (src, dst) that connect whatever the links among candidates connect.
 
-    ``members``: entry, doc_id, n, rest.  See the module's text.
+    ``members``: entry, doc_id, n, rest, mixed.  See the module's text.
     """
     found = docs.sparkSession.createDataFrame([], "src long, dst long")
     # The driver sees a few sums.
@@ -240,10 +268,11 @@ def verified_links(members: DataFrame, docs: DataFrame, size: int, ratio: tuple[
     rows, pairs = squares(now)
     most = 2 * per_posting * (rows or 0)
     while pairs:
-        # Leaders come first while there are many pairs and the last leaders settled a quarter of them.
-        if pairs <= most or pairs > 0.75 * before:
+        # More leaders come while there are many pairs and the last leaders settled a quarter of them.
+        if turn and (pairs <= most or pairs > 0.75 * before):
             return found.union(linked(left_pairs(now, ratio), docs, size, ratio))
-        found, before = found.union(linked(leader_pairs(now, ratio, turn), docs, size, ratio)), pairs
+        some = likely_pairs(leader_pairs(now, ratio, turn), members, ratio)
+        found, before = found.union(linked(some, docs, size, ratio)), pairs
         group = components(found)
         group = stash(group.select(F.col("node").alias("doc_id"), F.col("component").alias("joined")), "joined")
         tagged = members.join(group, "doc_id", "left").select(*members.columns, F.coalesce("joined", "doc_id").alias("component"))

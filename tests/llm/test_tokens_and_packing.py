@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import types
 import zlib
 
 import numpy as np
@@ -77,15 +78,46 @@ def test_fullest_is_the_best_sum():
         assert all(got.count(x) <= counts[x] for x in got)
 
 
-def test_plan_uses_every_piece_once():
-    rng = random.Random(3)
+def least_bins(histogram, capacity):
+    """No packing has fewer bins (Martello and Toth's second bound)."""
+    best = 0
+    for a in range(capacity // 2 + 1):
+        large = sum(n for x, n in histogram.items() if x > capacity - a)
+        middle = {x: n for x, n in histogram.items() if capacity - a >= x > capacity / 2}
+        small = sum(x * n for x, n in histogram.items() if a <= x <= capacity / 2)
+        room = sum((capacity - x) * n for x, n in middle.items())
+        best = max(best, large + sum(middle.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def best_fit_decreasing(histogram, capacity):
+    rooms = []
+    for x in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= x]
+        k = min(fits, key=lambda k: rooms[k], default=None)
+        if k is None:
+            rooms.append(capacity - x)
+        else:
+            rooms[k] -= x
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_uses_every_piece_once(seed):
+    rng = random.Random(seed)
     histogram = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(30)}
     plan = plan_bins(histogram, 64)
     for x, n in histogram.items():
         own = plan[plan.length == x].sort_values("low")
         assert own.low.iloc[0] == 0 and own.high.iloc[-1] == n and (own.low.iloc[1:].values == own.high.iloc[:-1].values).all()
     bins = (plan.first_bin + (plan.high - plan.low) // plan.per_bin).max()
-    assert bins <= 1.05 * sum(x * n for x, n in histogram.items()) / 64 + 2
+    assert least_bins(histogram, 64) <= bins <= best_fit_decreasing(histogram, 64) + 1
+    room = {}
+    for r in plan.itertuples():
+        for k in range(r.first_bin, r.first_bin + (r.high - r.low) // r.per_bin):
+            room.setdefault(k, []).append((r.offset, r.per_bin * r.length))
+    assert len(room) == bins
+    check_gapless([types.SimpleNamespace(sequence_id=k, offset=o, length=n) for k, places in room.items() for o, n in places], 64)
 
 
 def check_gapless(rows, capacity):

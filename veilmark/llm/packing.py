@@ -25,8 +25,8 @@ from veilmark.llm.tokens import encoder, vocabulary
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Ranks within a length are counted in so many buckets side by side.
-RANK_BUCKETS = 1024
+#: Rows of a length are ranked in buckets of about so many, 16 at least.
+BUCKET_ROWS = 2_000
 #: Rows a Python worker gets at once; bounds its memory with long texts.
 BATCH_CHARS = 4_000_000
 
@@ -57,42 +57,79 @@ def fullest(free: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
     return chosen
 
 
+def slack_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Minimum bin slack: (pieces of each length in a bin, number of such bins)."""
+    counts = dict(histogram)
+    order = sorted(counts, reverse=True)
+    out = []
+    while order:
+        seed = order[0]
+        counts[seed] -= 1
+        chosen = [seed, *fullest(capacity - seed, order, counts)]
+        counts[seed] += 1
+        need = {x: chosen.count(x) for x in chosen}
+        times = min(counts[x] // k for x, k in need.items())
+        for x, k in need.items():
+            counts[x] -= k * times
+        out.append((need, times))
+        order = [x for x in order if counts[x] > 0]
+    return out
+
+
+def decreasing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing on the histogram: bins of equal content are handled as one.
+
+    A length goes into the bins with the least room that holds it, as often as
+    it fits, then into new bins.
+    """
+    open_: dict[int, list[tuple[dict[int, int], int]]] = {}  # by room left
+    done = []
+    for x in sorted(histogram, reverse=True):
+        left, room = histogram[x], x
+        while left:
+            room = next((r for r in range(room, capacity + 1) if open_.get(r)), capacity)
+            content, times = open_[room].pop() if open_.get(room) else ({}, left)
+            per = min(room // x, left)
+            used = min(times, left // per)
+            if times > used and content:
+                open_.setdefault(room, []).append((content, times - used))
+            left -= used * per
+            after = room - per * x
+            (open_.setdefault(after, []) if after else done).append((content | {x: content.get(x, 0) + per}, used))
+    return done + [p for rest in open_.values() for p in rest]
+
+
 def plan_bins(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     """Rows (length, low, high, per_bin, first_bin, offset) of the packing.
 
     Pieces of a length with ranks in [low, high) go, ``per_bin`` at a time, into
-    the bins from ``first_bin``, one behind the other from ``offset``.
+    the bins from ``first_bin``, one behind the other from ``offset``.  Minimum bin slack
+    makes the plan; where best fit decreasing needs fewer bins, its plan is taken.
     """
     counts = {x: n for x, n in histogram.items() if n > 0}
+    size = lambda patterns: sum(times for _, times in patterns)
+    patterns = min(slack_patterns(counts, capacity), decreasing_patterns(counts, capacity), key=size)
     given = dict.fromkeys(counts, 0)
-    order = sorted(counts, reverse=True)
     rows, bins = [], 0
-    while order:
-        seed = order[0]
-        counts[seed] -= 1
-        chosen = [seed, *fullest(capacity - seed, order, counts)]
-        counts[seed] += 1
-        need = {x: chosen.count(x) for x in set(chosen)}
-        times = min(counts[x] // k for x, k in need.items())
+    for need, times in patterns:
         offset = 0
         for x in sorted(need, reverse=True):
             k = need[x]
             rows.append((x, given[x], given[x] + k * times, k, bins, offset))
             given[x] += k * times
-            counts[x] -= k * times
             offset += k * x
         bins += times
-        order = [x for x in order if counts[x] > 0]
     return pd.DataFrame(rows, columns=["length", "low", "high", "per_bin", "first_bin", "offset"])
 
 
-def rank_within(pieces: DataFrame, length: str, keys: list[str]) -> DataFrame:
+def rank_within(pieces: DataFrame, length: str, keys: list[str], most: int) -> DataFrame:
     """Adds ``rank`` from 0 within each length, without gathering a length.
 
     Rows are counted by (length, bucket) first; a row's rank is the rows in the
-    buckets before plus its place in its own.
+    buckets before plus its place in its own.  ``most``: rows of the commonest length.
     """
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(RANK_BUCKETS)))
+    buckets = max(16, -(-most // BUCKET_ROWS))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sizes = bucketed.groupBy(length, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(
         Window.partitionBy(length).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,7 +173,7 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             yield b.drop(columns="rank")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    placed = rank_within(pieces.where(fit), length, keys).select(*pieces.columns, "rank").mapInPandas(
+    placed = rank_within(pieces.where(fit), length, keys, max(histogram.values(), default=0)).select(*pieces.columns, "rank").mapInPandas(
         place, f"{schema}, sequence_id long, offset long"
     )
     unfit = pieces.where(~F.coalesce(fit, F.lit(False)))

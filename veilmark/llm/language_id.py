@@ -6,9 +6,12 @@ a language's text; the fewer phrases, the closer the language.  The number of
 phrases is normalised to bits a character, ``phrases * log2(n) / characters`` with n
 the length of the language's text, and the least wins.
 
-Texts are parsed in segments of ``SEGMENT`` characters side by side (a phrase ends
-with its segment), with one table look-up a character and language for all
-segments of a batch at once.
+Segments of ``SEGMENT`` characters are parsed side by side, with one table look-up a
+character and language for all segments of a batch at once.  A segment's parse
+begins in the state in which the one before it ended: where that turns out to be another
+one than was assumed, the segment is parsed again.  Parses of natural text meet
+after a few characters, so that one repetition settles nearly all; what a few don't settle
+is parsed character by character.  The parse is that of the whole text.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from veilmark.llm.shared import crc_bucket, table
 TRAIN_CHARS = 30_000
 TRAIN_DOC_CHARS = 1_000
 SEGMENT = 256
+#: Times that segments are parsed side by side.
+ROUNDS = 6
 UNKNOWN = "und"
 #: Characters handled at once in a worker.
 BATCH_CHARS = 4_000_000
@@ -127,19 +132,50 @@ class Model:
         columns = np.ascontiguousarray(flat.T)
         owner = np.repeat(np.arange(len(texts)), segments)
         out = np.full((len(texts), len(self.languages)), np.nan)
+        opens = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.empty(0, bool)
         for k, moves in enumerate(self.tables):
-            # from the state after a lost character the first one begins a phrase
-            state = np.full(len(flat), len(moves) // self.size - 1, dtype=np.int32)
-            phrases = np.zeros(len(flat), dtype=np.int32)
-            for column in columns:
-                state = moves[state * self.size + column]
-                phrases += state >> 30
-                state &= _RESTART - 1
+            phrases = self._phrases(moves, columns, opens)
             total = np.bincount(owner, weights=phrases, minlength=len(texts))
             out[:, k] = np.where(letters, total * self.bits[k] / np.maximum(n, 1), np.nan)
         return out
 
 
+    def _phrases(self, moves: np.ndarray, columns: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each segment; ``opens``: it is its text's first one."""
+        lost = len(moves) // self.size - 1  # from here the first character begins a phrase
+        entry = np.full(len(opens), lost, dtype=np.int32)
+        leaves, phrases = np.empty(len(opens), dtype=np.int32), np.zeros(len(opens), dtype=np.int64)
+        todo = np.arange(len(opens))
+        for _ in range(ROUNDS):
+            state, count = entry[todo], np.zeros(len(todo), dtype=np.int32)
+            for column in columns[:, todo]:
+                state = moves[state * self.size + column]
+                count += state >> 30
+                state &= _RESTART - 1
+            leaves[todo], phrases[todo] = state, count
+            true = np.where(opens, lost, np.roll(leaves, 1))
+            todo = np.flatnonzero(true != entry)
+            entry[todo] = true[todo]
+            if not len(todo):
+                return phrases
+        table_, begin = memoryview(moves), -1
+        for first in todo.tolist():
+            k = first
+            while k > begin and k < len(opens) and (k == first or not opens[k]):
+                state, count = lost if opens[k] else int(leaves[k - 1]), 0
+                if k > first and state == entry[k]:
+                    break
+                entry[k] = state
+                for c in columns[:, k].tolist():
+                    state = table_[state * self.size + c]
+                    count += state >> 30
+                    state &= _RESTART - 1
+                leaves[k], phrases[k] = state, count
+                k += 1
+            begin = max(begin, k - 1)
+        return phrases
+
+
 _MODELS: dict[str, Model] = {}
 
 

@@ -7,7 +7,12 @@ an entity gets the same one everywhere, however it is written: numbers are laid
 into the digits of each writing, names keep gender, script and case, addresses their
 shape.  Surrogates of a kind are checked against each other and against all
 entities of the corpus; where two meet, all but one draw again, so different entities
-stay different and no surrogate is somebody else's value.
+stay different and no surrogate is somebody else's value.  Card numbers and IBANs
+keep valid check digits.  A name found beside a title is replaced wherever the document
+holds it as a word of its own.
+
+Patterns repeat single characters or a bounded number of groups only, as Java's matcher
+needs stack for each turn of a group: no text is too long for them.
 """
 
 from __future__ import annotations
@@ -29,20 +34,23 @@ CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "д
 _TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))
 #: Kind and pattern, in the order in which they are tried at a place.
 PATTERNS: list[tuple[str, str]] = [
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"),
-    ("secret", r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,127}\p{L}{2,}"),
+    ("secret", r"(?<![\p{L}\p{N}])(?=\d*+[a-fA-F])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d\d?)(?!\d|\.\d)"),
     ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?\(\d{1,4}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}(?:[ -]?\d{2,4}){2,4}(?!\d|\.\d)|(?<![\p{L}\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]|\.\d)"),
     ("ssn", r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("iban", r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"),
     ("card", r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?!\d)"),
-    ("person", rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"),
+    ("person", rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: (?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]+)?"),
 ]
 ENTITY = "|".join(f"(?:{p})" for k, p in PATTERNS if k != "card") + r"|(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)"
 #: A text without these holds no entity; cheap to test.
 HINT = rf"[\d@]|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
-#: Columns added for a join; no column of documents should be called so.
-_ROW, _NEW = "__entity_row", "__entity_new"
+#: Put around matches; a text that holds it is taken apart in two passes.
+FENCE = "\uf8ff"
+#: A name beside a title must have so many letters to be replaced elsewhere in the text.
+BARE_NAME = 3
+KEY_SETTING = "spark.veilmark.surrogateKey"
 NUMBERS = ["phone", "ssn", "card"]
 
 
@@ -68,21 +76,44 @@ def _word(syllables: list[str], digest: Column, start: int, count: Column) -> Co
 def _redraw(text: Column, digest: Column) -> Column:
     """Each letter a-z and digit replaced by one of its class, the rest kept."""
     letters = F.array(*[F.lit(chr(97 + k)) for k in range(26)])
+    cyrillic = F.array(*[F.lit(chr(0x430 + k)) for k in range(32)])
     return F.array_join(
         F.transform(
             F.split(text, ""),
             lambda ch, i: F.when(ch.rlike(r"\d"), (_byte(digest, i) % 10).cast("string"))
+            .when(ch.rlike(r"\p{IsCyrillic}"), F.get(cyrillic, _byte(digest, i) % 32))
             .when(ch.rlike(r"\p{L}"), F.get(letters, _byte(digest, i) % 26)).otherwise(ch),
         ),
         "",
     )
 
 
+def luhn_digit(digits: Column) -> Column:
+    """The digit that makes ``digits`` and it pass the Luhn test."""
+    def add(acc: Column, k: Column) -> Column:
+        d = F.substr(digits, F.length(digits) - k, F.lit(1)).cast("int") * (2 - k % 2)
+        return acc + d - F.when(d > 9, 9).otherwise(0)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def iban_digits(country: Column, account: Column) -> Column:
+    """The two check digits of an account number in capitals and digits (modulo 97)."""
+    def add(acc: Column, ch: Column) -> Column:
+        v = F.when(ch.rlike("[0-9]"), ch.cast("int")).otherwise(F.ascii(ch) - 55)
+        return (acc * F.when(v > 9, 100).otherwise(10) + v) % 97
+
+    return F.lpad((98 - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), add)).cast("string"), 2, "0")
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of the surrogate that an attempt draws."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt, canon), 512)
     digits = F.array_join(F.transform(F.split(canon, ""), lambda ch, i: (_byte(digest, i) % 10).cast("string")), "")
-    hexes = F.substr(F.repeat(digest, 2), F.lit(1), F.length(canon))
+    head = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    digits = F.when(kind == "card", F.concat(head, luhn_digit(head))).otherwise(digits)
+    hexes = F.substr(F.repeat(digest, F.ceil(F.length(canon) / 128).cast("int")), F.lit(1), F.length(canon))
     ip = F.concat_ws(".", _byte(digest, 0) % 223 + 1, _byte(digest, 1), _byte(digest, 2), _byte(digest, 3))
     at = F.substring_index(canon, "@", 1)
     extra = F.when(attempt > 3, attempt.cast("string")).otherwise("")
@@ -99,7 +130,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         F.when(kind.startswith("surname"), F.when(cyr & female, "рова").when(cyr, "ров").otherwise("ner"))
         .when(cyr & female, "на").when(cyr, "н").when(female, "na").otherwise("n")
     )
-    iban = F.concat(F.substring(canon, 1, 2), F.upper(_redraw(F.lower(F.substring(canon, 3, 40)), digest)))
+    country, account = F.substring(canon, 1, 2), F.upper(_redraw(F.lower(F.substr(canon, F.lit(5))), digest))
+    iban = F.concat(country, iban_digits(country, account), account)
     return (
         F.when(kind.isin(*NUMBERS), digits).when(kind == "secret", hexes).when(kind == "ipv4", ip)
         .when(kind == "email", email).when(kind == "iban", iban).otherwise(F.concat(stem, ending))
@@ -119,7 +151,7 @@ def _lay(form: Column, surface: Column, kind: Column) -> Column:
     )
     cased = (
         F.when((surface == F.upper(surface)) & (surface != F.lower(surface)), F.upper(form))
-        .when(F.substring(surface, 1, 1) != F.lower(F.substring(surface, 1, 1)), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, 2, 200)))
+        .when(F.substring(surface, 1, 1) != F.lower(F.substring(surface, 1, 1)), F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2))))
         .otherwise(form)
     )
     return F.when(kind.isin(*NUMBERS, "iban"), laid).otherwise(cased)
@@ -180,46 +212,72 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         state = then
 
 
+def _pieces(text: Column) -> Column:
+    """The text as an array: what is between matches and the matches, in turn."""
+    gaps, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    slow = F.flatten(F.zip_with(gaps, found, lambda gap, m: F.when(m.isNull(), F.array(gap)).otherwise(F.array(gap, m))))
+    fenced = F.split(F.regexp_replace(text, ENTITY, f"{FENCE}$0{FENCE}"), FENCE, -1)
+    return F.when(~F.coalesce(text.rlike(HINT), F.lit(False)), F.array(text)).when(text.contains(FENCE), slow).otherwise(fenced)
+
+
+def _free(columns: list[str], name: str) -> str:
+    """A name like ``name`` that is none of ``columns``, however their case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def replace_personal_data(docs: DataFrame, key: str = KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with every entity in ``text`` replaced, all other columns kept.
 
     Texts without entities (null and empty ones among them) are unchanged and take
-    no part in a shuffle.  Rows that repeat a doc_id are told apart by their text.
+    no part in a shuffle.  Rows may repeat in part or whole and have any other columns,
+    whatever their names; ``doc_id`` isn't read.  Texts are searched once, in the table
+    that this writes.
     """
-    t = F.col(text)
-    held = F.coalesce(t.rlike(HINT) & t.rlike(ENTITY), F.lit(False))
-    clean = docs.where(~held)
-    matches = F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
-    row = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
-    found = stash(
-        docs.where(held).select(
-            row.alias("row"), F.flatten(F.transform(matches, lambda m, i: F.transform(_parts(m), lambda p: F.struct(i.alias("i"), p["surface"].alias("surface"), p["kind"].alias("kind"), p["canon"].alias("canon"))))).alias("parts"),
-        ).dropDuplicates(["row"]),
+    columns = docs.columns
+    row, held, new_ = _free(columns, "entity_row"), _free(columns, "entity_pieces"), _free(columns, "entity_new")
+    named_ = _free(columns, "entity_names")
+    others = [F.col(f"`{c}`") for c in columns if c != text]
+    base = stash(docs.select(*others, F.monotonically_increasing_id().alias(row), _pieces(F.col(f"`{text}`")).alias(held)), "pieces")
+    some = base.where(F.size(held) > 1)
+    odd = F.filter(F.transform(held, lambda m, k: F.when(k % 2 == 1, m)), lambda m: m.isNotNull())
+    parts = stash(
+        some.select(F.col(row).alias("row"), F.posexplode(odd).alias("i", "m"))
+        .select("row", "i", F.posexplode(_parts(F.col("m"))).alias("at", "p")).select("row", "i", "at", "p.*"),
         "entities",
     )
-    parts = found.select("row", F.posexplode("parts").alias("at", "p")).select("row", "at", "p.*")
-    named = parts.where("kind is not null")
-    forms = draw_surrogates(named.select("kind", "canon").distinct(), key)
-    new = parts.join(forms, ["kind", "canon"], "left").withColumn(
-        "new", F.when(F.col("form").isNull(), F.col("surface")).otherwise(_lay(F.col("form"), F.col("surface"), F.col("kind")))
-    )
-    by_row = new.withColumnRenamed("row", _ROW).groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("at", "i", "new"))).alias(_NEW))
-    gaps = F.split(t, ENTITY, -1)
-    filled = F.array_join(
-        F.transform(
-            gaps,
-            lambda gap, g: F.concat(
-                gap, F.array_join(F.transform(F.filter(_NEW, lambda n: n["i"] == g), lambda n: n["new"]), "")
-            ),
-        ),
-        "",
+    forms = draw_surrogates(parts.where("kind is not null").select("kind", "canon").distinct(), key)
+    laid = F.when(F.col("form").isNull(), F.col("surface")).otherwise(_lay(F.col("form"), F.col("surface"), F.col("kind")))
+    new = parts.join(forms, ["kind", "canon"], "left").withColumn("new", laid)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), "").alias(c)
+    is_name = F.col("kind").rlike("^(given|surname)") & (F.length("surface") >= BARE_NAME)
+    name = F.collect_set(F.when(is_name, F.struct("surface", "new"))).alias("names")
+    by_match = new.groupBy("row", "i").agg(joined("new"), name)
+    by_row = by_match.groupBy(F.col("row").alias(row)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias(new_),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(named_),
     )
-    columns = docs.columns
-    done = docs.where(held).withColumn(_ROW, row).join(by_row, _ROW).select(
-        *[filled.alias(text) if c == text else F.col(f"`{c}`") for c in columns]
-    )
-    return clean.select(*[F.col(f"`{c}`") for c in columns]).union(done)
+    # Of a surface with two surrogates the first one counts.
+    first = F.aggregate(named_, F.create_map().cast("map<string,string>"), lambda acc, x: F.when(F.map_contains_key(acc, x["surface"]), acc).otherwise(F.map_concat(acc, F.create_map(x["surface"], x["new"]))))
+    word_edge = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
+    names = _free(columns, "entity_map")
+
+    def plain(gap: Column) -> Column:
+        words = F.transform(F.split(gap, word_edge), lambda w: F.coalesce(F.try_element_at(F.col(names), w), w))
+        return F.when(F.size(named_) == 0, gap).otherwise(F.array_join(words, ""))
+
+    even = F.filter(F.transform(held, lambda m, k: F.when(k % 2 == 0, m)), lambda m: m.isNotNull())
+    filled = F.array_join(F.zip_with(even, new_, lambda gap, n: F.concat(plain(gap), F.coalesce(n, F.lit("")))), "")
+    done = some.join(by_row, row).withColumn(names, first).select(*[filled.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+    clean = base.where(f"size({held}) <= 1")
+    return clean.select(*[F.get(held, 0).alias(text) if c == text else F.col(f"`{c}`") for c in columns]).union(done)
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key of surrogates, else the demonstration key."""
+    return spark.conf.get(KEY_SETTING, KEY)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(table(spark, sf_dir, "documents"))
+    return replace_personal_data(table(spark, sf_dir, "documents"), surrogate_key(spark))

@@ -48,7 +48,7 @@ FREQUENT = 64
 #: which bounds the number of frequent tokens, too: 8 MB of hashes.
 SHARE = 1_000_000
 #: Characters of a block of texts.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 #: Pairs that open entries may hold in all, by postings; above it, more leaders come first.
 PAIRS_PER_POSTING = 4
 #: Candidates' ids are broadcast up to this number (16 MB), joined by a shuffle beyond.
@@ -87,12 +87,12 @@ def _distinct(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sort(first[n[first] > 0])
 
 
-def set_marks(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
+def set_marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of two kinds: sets and tokens heavy in a block of texts.
 
-    Sets: doc_id, n_shingles, mark_a, mark_b.  Tokens (``token`` not null): a token
-    that makes up more than one in ``share`` of a block's tokens, and its count there.
-    A token that makes up so much of all tokens does so in one block at least.
+    Sets: doc_id, n_shingles, mark_a, mark_b.  Tokens (``token`` not null): a token that
+    two or more sets of a block hold, and their number.  These numbers only choose the
+    class of a token; whatever they are, no link is lost.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +101,7 @@ def set_marks(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFram
             n, a, b = _marks(sets)
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": pd.array(n, "Int64"), "mark_a": a, "mark_b": b, "token": pd.array([None] * len(n), "Int64")})
             tokens, count = np.unique(np.concatenate([np.empty(0, np.uint64), *[sets[k] for k in _distinct(n, a, b)]]), return_counts=True)
-            heavy = count > max(1, count.sum() // share)
+            heavy = count > 1
             yield pd.DataFrame({"doc_id": pd.array([None] * heavy.sum(), "Int64"), "n_shingles": pd.array(count[heavy], "Int64"), "mark_a": 0, "mark_b": 0, "token": pd.array(tokens[heavy].view(np.int64), "Int64")})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, mark_a long, mark_b long, token long")
@@ -302,7 +302,7 @@ def ngram_jaccard_join(
     if 4 * ratio[0] < 3 * ratio[1]:
         raise ValueError("the similarity must be 0.75 or more")
     spark = docs.sparkSession
-    marks = stash(set_marks(docs, size, share), "shingle-marks")
+    marks = stash(set_marks(docs, size), "shingle-marks")
     rows = marks.where("token is null").drop("token")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = stash(named.groupBy(*KEY).agg(F.min("doc_id").alias("head")), "shingle-classes")

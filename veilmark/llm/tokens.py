@@ -7,8 +7,8 @@ pre-tokens are found by a 64-bit hash and then compared byte by byte: a text
 with a pre-token that only hashes like another one is given to the library whole.  This holds for texts of Latin-1
 characters without apostrophes and unusual blanks, where the pre-tokeniser's cuts
 are simple rules on character classes; any other text is given to the library
-whole.  A full memo keeps what was used since it was last full, which bounds a
-worker's memory at any input size.
+whole.  A full memo keeps what was used again since it was last full, which bounds
+a worker's memory at any input size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import regex
 
 from veilmark.llm.texthash import blocks, same_slices, slice_hashes
 
-MEMO_WORDS = 800_000
+MEMO_WORDS = 250_000
 BLANK, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
@@ -135,7 +135,7 @@ class Encoder:
         self.pool = np.concatenate([self.pool, np.asarray(ids, dtype=np.uint32)])
         self.first = np.concatenate([self.first, first])
         self.count = np.concatenate([self.count, count])
-        self.used = np.concatenate([self.used, np.ones(len(pieces), dtype=bool)])
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), dtype=bool)])
 
     def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Ids, their number for each text, and the texts that must be encoded whole."""
@@ -153,10 +153,10 @@ class Encoder:
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(starts[head].tolist(), ends[head].tolist(), strict=True)]
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        self.used[at[at >= 0]] = True
         fresh = np.flatnonzero(at < 0)
         at[fresh] = len(self.place) + np.arange(len(fresh))
         self._learn([pieces[k] for k in fresh.tolist()])
-        self.used[at] = True
         at = at[back]
         count = self.count[at]
         ids = _gather(self.pool, self.first[at], count)

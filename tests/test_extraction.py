@@ -15,6 +15,7 @@ from veilmark.functions import dates, money, text
 from veilmark.operators import invoices, layout, ordered, planning, registry
 from veilmark.operators.rules import Rules
 from veilmark.plans import api, fixtures
+from veilmark.operators.anonymize import anonymize_text
 from veilmark.sources import files, packages, sinks
 
 
@@ -135,6 +136,8 @@ def test_anonymize_folder(spark, tmp_path):
     (root / "sub").mkdir(parents=True)
     (root / "a.txt").write_bytes("﻿почта x.y@mail.example.com".encode())
     (root / "b.txt").write_bytes("адрес 10.0.0.1".encode("cp1251"))
+    (root / "b2.txt").write_bytes("чисто №5".encode("cp1251"))
+    (root / "b3.txt").write_bytes(b"\xef\xbb\xbf\xcf\xf0")
     (root / "sub/c.docx").write_bytes(docx([["почта x.y@ma", "il.example.com!"], ["чисто"]], [["Имя", "10.0.0.1"]]))
     (root / "d.xlsx").write_bytes(xlsx(["x.y@mail.example.com", "чисто"]))
     (root / "e.xlsx").write_bytes(xlsx(["чисто"], '"10.0.0.1"'))
@@ -144,6 +147,7 @@ def test_anonymize_folder(spark, tmp_path):
     got = {r.rel_path: r for r in results.collect()}
     assert got["a.txt"].content.startswith(b"\xef\xbb\xbf") and b"mail" not in got["a.txt"].content
     assert "10.0.0.1" not in got["b.txt"].content.decode() and got["b.txt"].entity_count == 1
+    assert got["b2.txt"].content == "чисто №5".encode("cp1251") and got["b3.txt"].error
     with zipfile.ZipFile(io.BytesIO(got["sub/c.docx"].content)) as z:
         body = z.read("word/document.xml").decode()
         assert "mail" not in body and "10.0.0.1" not in body and "чисто" in body
@@ -153,12 +157,12 @@ def test_anonymize_folder(spark, tmp_path):
         assert "mail" not in z.read("xl/sharedStrings.xml").decode()
     assert all(got[k].error and got[k].content is None for k in ("e.xlsx", "f.docx", "g.bin"))
     s = summary.first()
-    assert (s.succeeded, s.failed, s.entities) == (4, 3, 5)
+    assert (s.succeeded, s.failed, s.entities) == (5, 4, 5)
     written = sinks.write_files(results.where("error is null").select("rel_path", "content"), str(tmp_path / "out"))
     assert written.where("error is not null").count() == 0 and (tmp_path / "out/sub/c.docx").exists()
     with pytest.raises(ValueError):
         sinks.clear_folder(tmp_path, protect=root)
-    assert sinks.clear_folder(tmp_path / "out") == 4
+    assert sinks.clear_folder(tmp_path / "out") == 5
 
 
 def test_read_docx_and_links(spark, tmp_path):
@@ -173,7 +177,8 @@ def test_read_docx_and_links(spark, tmp_path):
 
 
 def test_unsafe_packages():
-    for name in ("../x.xml", "word/vbaProject.bin", "word/embeddings/a.xml"):
+    refused = ("xl/pivotCache/a.xml", "xl/queryTables/a.xml", "xl/threadedComments/a.xml", "xl/persons/p.xml", "xl/connections.xml", "word/media/a.png")
+    for name in ("../x.xml", "word/vbaProject.bin", "word/embeddings/a.xml", *refused):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             z.writestr(name, "x")
@@ -181,10 +186,42 @@ def test_unsafe_packages():
             packages.open_package(out.getvalue())
 
 
+def test_packages_hold_no_hidden_text(spark, tmp_path):
+    """Links of documents go, headers of sheets and descriptions are cleaned."""
+    rel = '<Relationships xmlns="r"><Relationship Id="1" TargetMode="External" Target="mailto:x.y@mail.example.com"/><Relationship Id="2" Target="a.xml"/></Relationships>'
+    raw = io.BytesIO(docx([["чисто"]]))
+    with zipfile.ZipFile(raw, "a") as z:
+        z.writestr("word/_rels/document.xml.rels", rel)
+        z.writestr("word/footnotes.xml", '<a descr="x.y@mail.example.com" email="x.y@mail.example.com"/>')
+        z.writestr("docProps/custom.xml", "<a>x.y@mail.example.com</a>")
+    (tmp_path / "a.docx").write_bytes(raw.getvalue())
+    raw = io.BytesIO(xlsx(["чисто"]))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(raw, "a") as z:
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><headerFooter><firstHeader>x.y@mail.example.com</firstHeader></headerFooter></worksheet>")
+        z.writestr("xl/charts/chart1.xml", '<c xmlns:a="a"><a:p><a:t>x.y@mail</a:t><a:t>.example.com</a:t></a:p><v>x.y@mail.example.com</v></c>')
+    (tmp_path / "b.xlsx").write_bytes(raw.getvalue())
+    got = {r.rel_path: r for r in packages.anonymize_packages(files.scan(spark, f"file://{tmp_path}"), Rules()).collect()}
+    assert [got[k].error for k in ("a.docx", "b.xlsx")] == [None, None] and got["b.xlsx"].entity_count == 3
+    for r in got.values():
+        with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+            assert [n for n in z.namelist() if b"mail.example" in z.read(n) or b"x.y" in z.read(n)] == []
+
+
+def test_no_text_is_too_long(spark):
+    rows = [("x@" + "a." * 100_000 + "com",), ("7" * 100_000,), ("x" * 1_000_000,), ("+1" + " 22" * 50_000,)]
+    out = anonymize_text(spark.createDataFrame(rows, "text string")).collect()
+    assert len(out) == 4
+
+
 def test_collisions(spark):
     df = spark.createDataFrame([(1, "f", "a.txt"), (2, "f", "a.txt"), (3, "f", "a_2.txt"), (4, "g", "a.txt")], "i int, f string, n string")
     got = [r.destination for r in planning.number_collisions(df, "f", "n", "i").orderBy("i").collect()]
-    assert got[0] == "a.txt" and got[3] == "a.txt" and len(set(got[:3])) == 3
+    assert got == ["a.txt", "a_2.txt", "a_2_2.txt", "a.txt"]
+    names = ["A.txt", "a.txt", "a_3.txt", "a.txt", None, "b", "b", "a_2.txt", "a.txt"]
+    df = spark.createDataFrame([(k, "f", n) for k, n in enumerate(names)], "i int, f string, n string").repartition(3)
+    got = [r.destination for r in planning.number_collisions(df, "f", "n", "i").orderBy("i").collect()]
+    assert got == ["A.txt", "a_2.txt", "a_3.txt", "a_4.txt", None, "b", "b_2", "a_2_2.txt", "a_5.txt"]
 
 
 def test_rules_replace_over_runs(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 ``(?iu)`` folds case beyond ASCII, ``(?U)`` makes ``\\d``, ``\\w`` and ``\\s`` Unicode.
 A cheap hint per type (a character it must hold) spares most texts the pattern.
+A repeated group without an upper bound is possessive: Java's matcher then needs no
+stack for its turns, so that no text is too long.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ RECOGNIZERS: list[Recognizer] = [
     Recognizer("RU_BANK_ACCOUNT", 0.55, r"(?<!\d)\d{20}(?!\d)", r"\d{20}"),
     Recognizer("RU_BIK", 0.35, r"(?<!\d)\d{9}(?!\d)", r"\d{9}"),
     Recognizer("RU_PHONE_NUMBER", 0.70, r"(?<!\d)(?:\+7|8)[\s(.-]*\d{3}[\s).-]*\d{3}[\s.-]*\d{2}[\s.-]*\d{2}(?!\d)", r"(?:\+7|8)"),
-    Recognizer("EMAIL_ADDRESS", 0.85, r"(?iuU)(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+(?![\w.-])", "@"),
+    Recognizer("EMAIL_ADDRESS", 0.85, r"(?iuU)(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]++)++(?![\w.-])", "@"),
     Recognizer("IP_ADDRESS", 0.55, r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)", r"\d\.\d"),
     Recognizer("VEHICLE_REGISTRATION", 0.65, rf"(?iu)(?<![A-ZА-Я0-9])[{_PLATE}]\d{{3}}[{_PLATE}]{{2}}\s?\d{{2,3}}(?![A-ZА-Я0-9])", r"\p{L}\d{3}\p{L}"),
     Recognizer("VIN", 0.65, r"(?iu)(?<![A-Z0-9])[A-HJ-NPR-Z0-9]{17}(?![A-Z0-9])", r"[A-Za-z0-9]{17}"),

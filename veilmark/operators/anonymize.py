@@ -10,17 +10,17 @@ from veilmark.functions.recognizers import recognize
 from veilmark.operators.headings import fuzzy_heading_end
 from veilmark.operators.rules import Rules, compose, heading_end, mask_after_heading
 
-#: Titles that are no part of a passenger's name (fixed values).
-PASSENGER_TITLES = "MR|MRS|MS|MISS|MSTR|CHD|INF|DR"
+#: Labels, names and titles on boarding passes (fixed values).
+PASSENGER_LABEL = r"(?iu:(?:passenger(?:\s+name)?|name\s+of\s+passenger|travell?er(?:\s+name)?|pax|фамилия\s+пассажира))\s*[:#.-]?\s*"
+PASSENGER_PART = r"[A-Z][A-Za-z'’\-]{1,30}"
+PASSENGER_TITLE = r"(?:MR|MRS|MS|MISS|MSTR|DR)"
 
 
 def passenger_names(text: Column) -> Column:
     """Names on boarding passes: after a label, or SURNAME/GIVEN with a title."""
-    labelled = spans.find(
-        text, r"(?iu)((?:passenger(?: name)?|name of passenger|пассажир)[ \t]*[:\-]?[ \t]*)(\p{L}[\p{L}'-]+(?:[ /][\p{L}'-]+){1,3})()",
-        "PERSON", 0.92, group=2,
-    )
-    slash = spans.find(text, rf"(?<![\p{{L}}/])\p{{Lu}}{{2,}}/\p{{Lu}}{{2,}}(?: (?:{PASSENGER_TITLES}))(?!\p{{L}})", "PERSON", 0.92)
+    part, title = PASSENGER_PART, PASSENGER_TITLE
+    labelled = spans.find(text, rf"({PASSENGER_LABEL})({part}(?:\s*/\s*|\s+){part}(?:\s*{title})?)()", "PERSON", 0.92, group=2)
+    slash = spans.find(text, rf"{part}\s*/\s*{part}\s*{title}\b", "PERSON", 0.92)
     fresh = F.filter(slash, lambda s: ~F.exists(labelled, lambda t: (t["start"] == s["start"]) & (t["end"] == s["end"])))
     return F.concat(labelled, fresh)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,24 +43,22 @@ def lines_by_geometry(words: DataFrame, page: list[str], factor: float = 0.65, f
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
+        words: list[list[tuple]] = []
+        total, count, tallest = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
         for w in rows.sort_values(["top", "left", "idx"]).itertuples():
-            centre = w.top + w.height / 2
-            hit = None
-            for line in lines:
-                if abs(sum(line["c"]) / len(line["c"]) - centre) <= max(floor, max(line["h"]) * factor, w.height * factor):
-                    hit = line
-            if hit is None:
-                hit = {"c": [], "h": [], "w": []}
-                lines.append(hit)
-            hit["c"].append(centre)
-            hit["h"].append(w.height)
-            hit["w"].append((w.left, w.idx, w.text))
+            centre, n = w.top + w.height / 2, len(words)
+            room = np.maximum(max(floor, w.height * factor), tallest[:n] * factor)
+            near = np.flatnonzero(np.abs(total[:n] / np.maximum(count[:n], 1) - centre) <= room)
+            k = int(near[-1]) if len(near) else n
+            if k == n:
+                words.append([])
+            words[k].append((w.left, w.idx, w.text))
+            total[k], count[k], tallest[k] = total[k] + centre, count[k] + 1, max(tallest[k], w.height)
         keys = {k: rows[k].iloc[0] for k in page}
-        return pd.DataFrame([keys | {"line_no": n + 1, "text": " ".join(t for _, _, t in sorted(x["w"]))} for n, x in enumerate(lines)])
+        return pd.DataFrame([keys | {"line_no": n + 1, "text": " ".join(t for _, _, t in sorted(x))} for n, x in enumerate(words)])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema if f.name in page)
-    return words.groupBy(*page).applyInPandas(run, f"{kinds}, line_no int, text string")
+    return words.select(*page, "idx", "text", "left", "top", "height").groupBy(*page).applyInPandas(run, f"{kinds}, line_no int, text string")
 
 
 def entity_boxes(words: DataFrame, entities: DataFrame, page: list[str], padding: int = 3) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,12 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 def task_id(rel_path: Column, content: Column) -> Column:
     """A name-based identifier (version 5) of a path and its content's hash."""
-    name = F.concat_ws(":", rel_path, F.sha2(content.cast("binary"), 256))
+    return hashed_task_id(rel_path, F.sha2(content.cast("binary"), 256))
+
+
+def hashed_task_id(rel_path: Column, content_hash: Column) -> Column:
+    """:func:`task_id` where the SHA-256 of the content is known already."""
+    name = F.concat_ws(":", rel_path, content_hash)
     digest = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), name.cast("binary")))
     part = lambda a, n: F.substring(digest, a, n)
     variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
@@ -39,19 +47,40 @@ def _split(name: Column) -> tuple[Column, Column]:
 
 
 def number_collisions(files: DataFrame, folder: str, name: str, order: str, out: str = "destination") -> DataFrame:
-    """The first of a name keeps it, the next are ``_2``, ``_3``, ...
+    """The first of a name keeps it, the next are ``_2``, ``_3``, ... until one is free.
 
-    A numbered name may meet a file that is called so itself; such clashes are found
-    by counting and numbered in a second name, marked with a tilde.
+    Names are given out in ``order``.  Only names that are equal but for such numbers
+    (and for case) can meet, so each such family is numbered on its own; a partition goes
+    through its families one after the other.  Null names stay null.
     """
     stem, suffix = _split(F.col(name))
-    place = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(order))
-    first = files.withColumn("_n", place).withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), suffix)))
-    again = F.row_number().over(Window.partitionBy(folder, F.lower(out)).orderBy("_n", order))
-    stem2, suffix2 = _split(F.col(out))
-    return first.withColumn("_m", again).withColumn(
-        out, F.when(F.col("_m") == 1, F.col(out)).otherwise(F.concat(stem2, F.lit("~"), F.col("_m").cast("string"), suffix2))
-    ).drop("_n", "_m")
+    root = F.lower(F.concat(F.regexp_replace(stem, r"(_[0-9]+)+$", ""), F.lit("/"), suffix))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        family, taken, next_ = None, set(), {}
+        for b in batches:
+            given = []
+            for key, wanted in zip(zip(b[folder].astype(object), b["_root"], strict=True), b[name], strict=True):
+                if key != family:
+                    family, taken, next_ = key, set(), {}
+                if not isinstance(wanted, str):
+                    given.append(None)
+                    continue
+                made, low = wanted, wanted.lower()
+                if low in taken:
+                    first, dot, rest = wanted.rpartition(".")
+                    first, rest = (first, dot + rest) if dot else (wanted, "")
+                    k = next_.get(low, 2)
+                    while (made := f"{first}_{k}{rest}").lower() in taken:
+                        k += 1
+                    next_[low] = k + 1
+                taken.add(made.lower())
+                given.append(made)
+            yield b.drop(columns="_root").assign(**{out: given})
+
+    sorted_ = files.withColumn("_root", root).repartition(folder, "_root").sortWithinPartitions(folder, "_root", order)
+    return sorted_.mapInPandas(run, f"{kinds}, `{out}` string")
 
 
 def docx_destinations(files: DataFrame, folder: str, name: str, order: str) -> DataFrame:

@@ -27,6 +27,8 @@ NO_INN = "The receipt was recognized, but the self-employed issuer INN was not e
 NO_NUMBER = "The receipt was recognized, but no value following an explicit receipt-number label was found"
 _DATE = r"(?<![0-9])([0-9]{1,2}[.\-/][0-9]{1,2}[.\-/][0-9]{2,4})(?![0-9])"
 _MONEY = r"(?<![0-9])([0-9]{1,3}(?:[ \x{a0}][0-9]{3})*[.,][0-9]{2}|[0-9]+[.,][0-9]{2})(?![0-9])"
+#: Labels before a name (fixed values).
+_NAME_LABEL = r"(?iu)^(?:фио|ф\.\s*и\.\s*о\.|налогоплательщик|самозанятый|исполнитель|продавец|поставщик)\s*[:：-]?\s*"
 _NAME = r"^[А-ЯЁA-Z][А-ЯЁа-яёA-Za-z'’\-]{1,39}$"
 
 
@@ -47,7 +49,7 @@ def inn_candidates(text: Column) -> Column:
 def name_words(line: Column) -> Column:
     """The words of a line if all of them could be a person's, else none."""
     bare = F.regexp_replace(line, r"^[\s:;|—–-]+|[\s:;|—–-]+$", "")
-    bare = F.regexp_replace(bare, r"(?iu)^(?:фио|исполнитель|продавец|самозанятый|налогоплательщик|поставщик)\s*[:：-]?\s*", "")
+    bare = F.regexp_replace(bare, _NAME_LABEL, "")
     bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[()\[\]{}<>]", " "), " +", " "))
     words = F.split(bare, " ")
     low = F.lower(bare)

@@ -14,11 +14,11 @@ from veilmark.operators import registry
 from veilmark.operators.anonymize import anonymize_text, run_summary
 from veilmark.operators.invoices import extract_invoices
 from veilmark.operators.ordered import CONTINUATION, INHERITED, OTHER, PRIMARY, attach_continuations, inherit
-from veilmark.operators.planning import task_id
+from veilmark.operators.planning import hashed_task_id
 from veilmark.operators.purchases import extract_purchases
 from veilmark.operators.receipts import extract_receipts
 from veilmark.operators.rules import Rules
-from veilmark.sources.files import decode_text, scan
+from veilmark.sources.files import decode_text, encode_text, scan
 from veilmark.sources.packages import anonymize_packages
 from veilmark.sources.sinks import write_csv_registry, write_workbook
 
@@ -60,7 +60,10 @@ def _receipts(pages: DataFrame) -> DataFrame:
 
 def _purchases(sources: DataFrame) -> DataFrame:
     docs = extract_purchases(sources).withColumn("source_file", F.col("rel_path"))
-    return docs.withColumn("task_id", task_id(F.col("rel_path"), F.col("text_preview")))
+    # The hash of the file where the reader gives it, else of the whole text.
+    own = F.col("content_hash") if "content_hash" in sources.columns else F.sha2(F.col("text").cast("binary"), 256)
+    ids = sources.select("rel_path", hashed_task_id(F.col("rel_path"), own).alias("task_id"))
+    return docs.drop("task_id").join(ids, "rel_path")
 
 
 TYPES: dict[str, DocumentType] = {
@@ -109,7 +112,7 @@ def anonymize(spark: SparkSession, source: str, rules: Rules | None = None, excl
     files = scan(spark, source, exclude=exclude)
     decoded = decode_text(files.where("suffix = '.txt'"))
     texts = anonymize_text(decoded.where("error is null"), rules)
-    as_bytes = F.when(F.col("encoding") == "utf-8-sig", F.concat(F.unhex(F.lit("EFBBBF")), F.encode("masked", "UTF-8"))).otherwise(F.encode("masked", "UTF-8"))
+    as_bytes = encode_text(F.col("masked"), F.col("encoding"))
     nothing = F.lit(None).cast("binary").alias("content")
     done = texts.select("rel_path", as_bytes.alias("content"), F.col("entity_count").cast("long").alias("entity_count"), F.lit(None).cast("string").alias("error"))
     bad = decoded.where("error is not null").select("rel_path", nothing, F.lit(0).cast("long").alias("entity_count"), "error")

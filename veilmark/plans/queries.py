@@ -145,13 +145,13 @@ def literal_replace(spark, d):
     return anonymize.anonymize_text(t(spark, d, "documents"), _LITERALS).select("doc_id", "masked")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents WHERE lang = 'en')
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents)
 SELECT doc_id, word, target, CAST(levenshtein(lower(word), target) AS INTEGER) AS distance
 FROM w, (VALUES ('license'), ('version'), ('therhean'), ('thation')) r(target)
 WHERE abs(length(word) - length(target)) <= 2 AND levenshtein(lower(word), target) <= 2""")
 def fuzzy_tokens(spark, d):
     """Words within two edits of a rule; rules are a literal list."""
-    words = t(spark, d, "documents").where("lang = 'en'").select(
+    words = t(spark, d, "documents").select(
         "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word")
     )
     target = F.explode(F.array(*[F.lit(x) for x in ("license", "version", "therhean", "thation")]))
@@ -203,15 +203,15 @@ def best_orientation(spark, d):
     return layout.best_orientation(x, ["o_orderkey"]).select("o_orderkey", "angle")
 
 
-@query("""SELECT o_orderkey, CASE WHEN length(k) >= 3 THEN k WHEN o_orderkey % 2 = 0 THEN k || '7' ELSE k END AS value,
+@query("""SELECT o_orderkey, CASE WHEN length(k) = 2 AND o_orderkey % 2 = 0 THEN k || '7' ELSE k END AS value,
   CASE WHEN o_orderkey % 2 = 1 THEN NULL WHEN length(k) >= 3 THEN 'document_number_kept_as_shorter_header_prefix'
     WHEN length(k) = 2 THEN 'document_number_replaced_because_header_was_too_short' ELSE NULL END AS reason
-FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders) WHERE length(k) > 1 AND length(k) < 5""")
+FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders)""")
 def number_reconciliation(spark, d):
     """A reading spoilt by one more digit on every other key."""
     k = F.col("o_orderkey").cast("string")
     other = F.when(F.col("o_orderkey") % 2 == 0, F.concat(k, F.lit("7"))).otherwise(k)
-    x = t(spark, d, "orders").where(F.length(k).between(2, 4)).select("o_orderkey", invoices.reconcile_number(k, other).alias("n"))
+    x = t(spark, d, "orders").select("o_orderkey", invoices.reconcile_number(k, other).alias("n"))
     return x.select("o_orderkey", F.col("n.value").alias("value"), F.col("n.reason").alias("reason"))
 
 
@@ -364,12 +364,14 @@ def event_log(spark, d):
 
 def _words(spark, d):
     """Words of documents on a grid of eight columns, as a recogniser would give them."""
-    x = t(spark, d, "documents").select("doc_id", F.posexplode(F.split(text.inline_whitespace("text"), " ")).alias("idx", "text")).where("idx < 64 and text <> ''")
+    x = t(spark, d, "documents").select("doc_id", F.split(text.inline_whitespace("text"), " ").alias("words"))
+    x = x.withColumn("page_h", (F.ceil(F.size("words") / 8) * 30).cast("int"))  # before the words become rows
+    x = x.select("doc_id", "page_h", F.posexplode("words").alias("idx", "text")).where("text <> ''")
     col, row = F.col("idx") % 8, F.floor(F.col("idx") / 8).cast("int")
-    return x.withColumns({"left": col * 100, "top": row * 30, "width": F.lit(90), "height": F.lit(20), "conf": F.lit(90.0), "block": F.lit(1), "par": F.lit(1), "line": row, "page_w": F.lit(800), "page_h": F.lit(240)})
+    return x.withColumns({"left": col * 100, "top": row * 30, "width": F.lit(90), "height": F.lit(20), "conf": F.lit(90.0), "block": F.lit(1), "par": F.lit(1), "line": row, "page_w": F.lit(800)})
 
 
-_WORDS_SQL = """w AS (SELECT doc_id, CAST(i AS INTEGER) AS idx, words[i + 1] AS text FROM (SELECT doc_id, words, unnest(range(least(len(words), 64))) AS i
+_WORDS_SQL = """w AS (SELECT doc_id, CAST(i AS INTEGER) AS idx, words[i + 1] AS text FROM (SELECT doc_id, words, unnest(range(len(words))) AS i
   FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS words FROM documents)) WHERE words[i + 1] <> ''),
 o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w)"""
 
@@ -389,7 +391,7 @@ def line_grouping_geometry(spark, d):
     return layout.lines_by_geometry(_words(spark, d), ["doc_id"])
 
 
-@query(f"""WITH {_WORDS_SQL} SELECT doc_id, greatest(min(idx % 8) * 100 - 3, 0) AS "left", greatest(min(idx // 8) * 30 - 3, 0) AS top, least(max(idx % 8) * 100 + 93, 800) AS "right", least(max(idx // 8) * 30 + 23, 240) AS bottom
+@query(f"""WITH {_WORDS_SQL} SELECT doc_id, greatest(min(idx % 8) * 100 - 3, 0) AS "left", greatest(min(idx // 8) * 30 - 3, 0) AS top, least(max(idx % 8) * 100 + 93, 800) AS "right", max(idx // 8) * 30 + 23 AS bottom
 FROM o WHERE start < 40 AND start + length(text) > 10 GROUP BY doc_id""")
 def entity_boxes(spark, d):
     """The box of characters 10 to 40 of each page."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -39,14 +40,14 @@ def scan(spark: SparkSession, root: str, suffixes: list[str] | None = None, excl
 
 
 def decode_text(files: DataFrame) -> DataFrame:
-    """Adds text, encoding and error: UTF-8 with or without mark, else Windows-1251."""
+    """Adds text, encoding and error: UTF-8 with a mark, or without one, else Windows-1251."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for raw in b["content"]:
                 found = (None, None, "the text is neither UTF-8 nor Windows-1251")
-                for name in ("utf-8-sig" if raw.startswith(b"\xef\xbb\xbf") else "utf-8", "cp1251"):
+                for name in ("utf-8-sig",) if raw.startswith(b"\xef\xbb\xbf") else ("utf-8", "cp1251"):
                     try:
                         found = (raw.decode(name), name, None)
                         break
@@ -59,6 +60,22 @@ def decode_text(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, f"{kinds}, text string, encoding string, error string")
 
 
+#: The upper half of Windows-1251, and the characters of the same codes in Latin-1.
+_CP1251 = "".join(bytes([b]).decode("cp1251", "ignore") for b in range(128, 256))
+_LATIN1 = _CP1251.encode("cp1251").decode("latin-1")
+
+
+def encode_text(text: Column, encoding: Column) -> Column:
+    """The bytes of a text in the encoding that :func:`decode_text` found.
+
+    A text that Windows-1251 can't hold (a mask may not be in it) becomes UTF-8 with a mark.
+    """
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))
+    fits = ~text.rlike(f"[^\\x00-\\x7f{_CP1251}]")
+    narrow = F.encode(F.when(fits, F.translate(text, _CP1251, _LATIN1)), "ISO-8859-1")
+    return F.when(encoding == "utf-8-sig", marked).when(encoding == "cp1251", F.coalesce(narrow, marked)).otherwise(F.encode(text, "UTF-8"))
+
+
 def docx_content(raw: bytes) -> tuple[str, list[list[list[str]]]]:
     """Text and tables of a DOCX package."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -74,7 +91,7 @@ def docx_content(raw: bytes) -> tuple[str, list[list[list[str]]]]:
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """(rel_path, text, tables, page_count, used_ocr, warnings) of DOCX files.
+    """(rel_path, text, tables, page_count, used_ocr, warnings, content_hash) of DOCX files.
 
     A package that can't be read gives a row with a warning.  PDF text comes from a
     provider table of the same columns (see :func:`with_provider`).
@@ -86,13 +103,13 @@ def read_documents(files: DataFrame) -> DataFrame:
             for rel, raw in zip(b["rel_path"], b["content"], strict=True):
                 try:
                     text, tables = docx_content(raw)
-                    rows.append((rel, text, tables, 1, False, []))
+                    rows.append((rel, text, tables, 1, False, [], hashlib.sha256(raw).hexdigest()))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
-                    rows.append((rel, None, [], 0, False, [f"The file can't be read: {type(e).__name__}"]))
-            yield pd.DataFrame(rows, columns=["rel_path", "text", "tables", "page_count", "used_ocr", "warnings"])
+                    rows.append((rel, None, [], 0, False, [f"The file can't be read: {type(e).__name__}"], hashlib.sha256(raw).hexdigest()))
+            yield pd.DataFrame(rows, columns=["rel_path", "text", "tables", "page_count", "used_ocr", "warnings", "content_hash"])
 
     return files.where(F.col("suffix") == ".docx").select("rel_path", "content").mapInPandas(
-        run, "rel_path string, text string, tables array<array<array<string>>>, page_count int, used_ocr boolean, warnings array<string>"
+        run, "rel_path string, text string, tables array<array<array<string>>>, page_count int, used_ocr boolean, warnings array<string>, content_hash string"
     )
 
 

@@ -25,10 +25,17 @@ from veilmark.operators.rules import Rules
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 #: Parts that a safe package doesn't hold (fixed values).
-REFUSED = re.compile(r"(?i)(vbaProject|/embeddings/|/activeX/|/externalLinks/|oleObject|EncryptedPackage|\.bin$)")
-#: Attributes that name people (fixed values).
-AUTHORS = {"author", "initials", "lastModifiedBy", "creator", "userId"}
+REFUSED = re.compile(
+    r"(?i)(vbaProject|vbaData|/embeddings/|/activeX/|/externalLinks/|/pivotCache/|/queryTables/|/threadedComments/|xl/persons/|xl/model/|xl/richData/|xl/connections\.xml"
+    r"|oleObject|EncryptedPackage|\.bin$)"
+)
+#: Attributes that name people, and attributes with texts of their own (fixed values).
+AUTHORS = {"author", "initials", "lastModifiedBy", "creator", "userId", "email"}
+DESCRIPTIONS = {"descr", "title", "tooltip"}
+#: Headers and footers of sheets (fixed values).
+MARGINS = {"oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter"}
 HIDDEN_NAME = "anonymized"
+PICTURE = re.compile(r"(?i)/media/")
 
 
 class Unsafe(ValueError):
@@ -47,7 +54,31 @@ def open_package(raw: bytes) -> dict[str, bytes]:
                 raise Unsafe(f"the part {i.filename} leaves the package")
             if i.flag_bits & 1 or REFUSED.search(i.filename):
                 raise Unsafe(f"the part {i.filename} is not allowed")
-        return {i.filename: z.read(i) for i in infos if not i.filename.lower().startswith("customxml/")}
+        if any(n.lower().startswith("xl/") for n in names) and any(n.lower() == "docprops/custom.xml" or n.lower().startswith("customxml/") for n in names):
+            raise Unsafe("a workbook with custom data")
+        if any(PICTURE.search(n) for n in names):
+            raise Unsafe("a picture needs an external provider")
+        stripped = ("customxml/", "docprops/custom.xml")
+        return {i.filename: z.read(i) for i in infos if not i.filename.lower().startswith(stripped)}
+
+
+def _local(tag: object) -> str:
+    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
+
+
+def clean_relationships(root: ElementTree.Element) -> None:
+    """Removes relationships that leave the package or lead to stripped parts."""
+    for r in list(root):
+        kind = r.get("Type", "") + " " + r.get("Target", "")
+        if r.get("TargetMode") == "External" or "customXml" in kind or "custom-properties" in kind:
+            root.remove(r)
+
+
+def clean_content_types(root: ElementTree.Element) -> None:
+    """Removes the declarations of stripped parts."""
+    for e in list(root):
+        if "customxml" in e.get("PartName", "").lower() or "custom-properties" in e.get("ContentType", ""):
+            root.remove(e)
 
 
 def close_package(parts: dict[str, bytes]) -> bytes:
@@ -60,13 +91,16 @@ def close_package(parts: dict[str, bytes]) -> bytes:
 
 def _texts(kind: str, part: str, root: ElementTree.Element) -> list[list[ElementTree.Element]]:
     """Text elements of a part, grouped as they are read."""
-    if kind == "docx":
+    if kind == "docx" and "/charts/" not in part and "/diagrams/" not in part:
         return [list(p.iter(f"{W}t")) for p in root.iter(f"{W}p")]
+    if kind == "docx" or "/charts/" in part or "/drawings/" in part or "/diagrams/" in part:
+        paragraphs = [[t for t in p.iter() if _local(t.tag) == "t"] for p in root.iter() if _local(p.tag) == "p"]
+        return paragraphs + [[e] for e in root.iter() if _local(e.tag) in {"v", "f"}]  # what a chart repeats of its cells
     if part.endswith("sharedStrings.xml"):
         return [list(si.iter(f"{S}t")) for si in root.iter(f"{S}si")]
     found = [list(x.iter(f"{S}t")) for x in [*root.iter(f"{S}is"), *root.iter(f"{S}text")]]
     found += [[c.find(f"{S}v")] for c in root.iter(f"{S}c") if c.get("t") == "str" and c.find(f"{S}v") is not None]
-    return found + [[e] for e in root.iter() if e.tag.split("}")[-1] in {"oddHeader", "oddFooter", "evenHeader", "evenFooter"}]
+    return found + [[e] for e in root.iter() if _local(e.tag) in MARGINS]
 
 
 def _is_text_part(kind: str, part: str) -> bool:
@@ -102,7 +136,8 @@ def unpack(files: DataFrame) -> DataFrame:
                         for k, group in enumerate(_texts(kind, part, root)):
                             runs = [e.text or "" for e in group]
                             own.append((rel, part, k, runs, "".join(runs), False, None))
-                        own += [(rel, part, 1_000_000 + k, [e.text or ""], e.text or "", True, None) for k, e in enumerate(root.iter(f"{S}f"))]
+                        fixed = [e for e in root.iter() if _local(e.tag) in {"formula1", "formula2"} or e.tag == f"{S}f"]
+                        own += [(rel, part, 1_000_000 + k, [e.text or ""], e.text or "", True, None) for k, e in enumerate(fixed)]
                     rows += own
                 except (Unsafe, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows.append((rel, None, None, [], None, False, str(e)))
@@ -142,6 +177,11 @@ def anonymize_packages(files: DataFrame, rules: Rules | None = None) -> DataFram
                 for u in r.units if r.units is not None else []:
                     by_part.setdefault(u["part"], {})[u["unit"]] = list(u["runs"])
                 for part, data in list(parts.items()):
+                    if part.endswith(".rels") or part == "[Content_Types].xml":
+                        root = ElementTree.fromstring(data)
+                        (clean_relationships if part.endswith(".rels") else clean_content_types)(root)
+                        parts[part] = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+                        continue
                     if not part.endswith(".xml") or not (part.startswith(("word/", "xl/", "docProps/"))):
                         continue
                     root = ElementTree.fromstring(data)
@@ -150,8 +190,10 @@ def anonymize_packages(files: DataFrame, rules: Rules | None = None) -> DataFram
                             e.text = new
                     for e in root.iter():
                         for a in list(e.attrib):
-                            if a.split("}")[-1] in AUTHORS:
+                            if _local(a) in AUTHORS:
                                 e.set(a, HIDDEN_NAME)
+                            elif _local(a) in DESCRIPTIONS:
+                                e.set(a, "")
                     if part.startswith("docProps/"):
                         for e in root.iter():
                             if len(e) == 0:

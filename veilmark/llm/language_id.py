@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.shared import crc_bucket, table
+from veilmark.llm.shared import crc_bucket, in_batches, table
 
 #: Labelled text learnt from: characters a language, and of one document.
 TRAIN_CHARS = 30_000
@@ -34,7 +34,7 @@ SEGMENT = 256
 ROUNDS = 6
 UNKNOWN = "und"
 #: Characters handled at once in a worker.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 #: Codes: white space and other non-letters, letters of no alphabet, padding.
 GAP, STRANGE, PAD, FIRST = 0, 1, 2, 3
 _RESTART = 1 << 30
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*keep).mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return in_batches(docs.select(*keep), run, f"{schema}, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilmark.llm.shared import components, discard, release, stash, table
+from veilmark.llm.shared import components, discard, in_batches, release, stash, table
 from veilmark.llm.texthash import mix, shingle_sets
 
 SIZE = 5
@@ -48,7 +48,7 @@ FREQUENT = 64
 #: which bounds the number of frequent tokens, too: 8 MB of hashes.
 SHARE = 1_000_000
 #: Characters of a block of texts.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 2_000_000
 #: Pairs that open entries may hold in all, by postings; above it, more leaders come first.
 PAIRS_PER_POSTING = 4
 #: Candidates' ids are broadcast up to this number (16 MB), joined by a shuffle beyond.
@@ -104,7 +104,7 @@ def set_marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
             heavy = count > 1
             yield pd.DataFrame({"doc_id": pd.array([None] * heavy.sum(), "Int64"), "n_shingles": pd.array(count[heavy], "Int64"), "mark_a": 0, "mark_b": 0, "token": pd.array(tokens[heavy].view(np.int64), "Int64")})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, mark_a long, mark_b long, token long")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, mark_a long, mark_b long, token long")
 
 
 def index_entries(sets: list[np.ndarray], frequent: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, ...]:
@@ -155,7 +155,7 @@ def postings(docs: DataFrame, frequent, size: int, ratio: tuple[int, int]) -> Da
                 own = owner[at]
                 yield pd.DataFrame({"entry": entry[at], "doc_id": doc_ids[own], "n": n[own], "rest": rest[own], "mixed": mixed[own]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "entry long, doc_id long, n int, rest int, mixed boolean")
+    return in_batches(docs.select("doc_id", "text"), run, "entry long, doc_id long, n int, rest int, mixed boolean")
 
 
 def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -165,7 +165,7 @@ def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for ids, texts in _blocks(batches):
             yield pd.DataFrame({"doc_id": ids, "tokens": [s.view(np.int64) for s in shingle_sets(texts, size)]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, tokens array<long>")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>")
 
 
 def shared_entries(posted: DataFrame) -> DataFrame:

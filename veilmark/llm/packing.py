@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.shared import stash, table
+from veilmark.llm.shared import in_batches, stash, table
 from veilmark.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Rows of a length are ranked in buckets of about so many, 16 at least.
 BUCKET_ROWS = 2_000
 #: Rows a Python worker gets at once; bounds its memory with long texts.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def fullest(free: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
@@ -214,8 +214,8 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    return in_batches(
+        docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.shared import crc_bucket, table
+from veilmark.llm.shared import crc_bucket, in_batches, table
 from veilmark.llm.texthash import blocks, mix, slice_hashes
 
 BITS = 18
@@ -188,7 +188,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> D
             yield b[keep].assign(score=1 / (1 + np.exp(-np.clip(slope * value + shift, -30, 30))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*keep).mapInPandas(run, f"{schema}, score double")
+    return in_batches(docs.select(*keep), run, f"{schema}, score double")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Bytes of an Arrow batch that goes to a worker; Spark's setting for it and its default.
+BATCH_BYTES = "8m"
+_BATCH_SETTING, _SPARK_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +74,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _give_back() -> None:
+    """Returns a worker's freed memory to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` whose workers hold little memory at any length of texts.
+
+    Arrow batches are bounded to ``BATCH_BYTES``, unless the session sets a limit itself.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) in (None, _SPARK_BATCH):
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+    def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInPandas(lean, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.shared import new_path, stash, table
+from veilmark.llm.shared import in_batches, new_path, stash, table
 from veilmark.llm.tokens import encoder, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -146,7 +146,7 @@ def write_token_files(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInPandas(run, f"file string, part int, doc_id {kind}, start long, n_tokens long")
+    made = in_batches(ordered, run, f"file string, part int, doc_id {kind}, start long, n_tokens long")
     return stash(made, "token-index")
 
 

@@ -107,10 +107,8 @@ def iban_digits(country: Column, account: Column) -> Column:
     return F.lpad((98 - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), add)).cast("string"), 2, "0")
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The canonical form of the surrogate that an attempt draws."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt, canon), 512)
-    digits = F.array_join(F.transform(F.split(canon, ""), lambda ch, i: (_byte(digest, i) % 10).cast("string")), "")
+def surrogate(kind: Column, canon: Column, attempt: Column, digest: Column, site: Column, digits: Column) -> Column:
+    """The canonical form of the surrogate that an attempt draws; see :func:`draw`."""
     head = F.substr(digits, F.lit(1), F.length(digits) - 1)
     digits = F.when(kind == "card", F.concat(head, luhn_digit(head))).otherwise(digits)
     hexes = F.substr(F.repeat(digest, F.ceil(F.length(canon) / 128).cast("int")), F.lit(1), F.length(canon))
@@ -119,8 +117,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     extra = F.when(attempt > 3, attempt.cast("string")).otherwise("")
     email = F.concat(
         _redraw(at, digest), extra, F.lit("@"),
-        _redraw(F.regexp_extract(canon, r"@(.*)\.", 1), F.sha2(F.concat_ws("\x1f", F.lit(key), attempt, F.regexp_extract(canon, "@(.*)$", 1)), 512)),
-        F.lit("."), F.regexp_extract(canon, r"\.([^.]*)$", 1),
+        _redraw(F.regexp_extract(canon, r"@(.*)\.", 1), site), F.lit("."), F.regexp_extract(canon, r"\.([^.]*)$", 1),
     )
     cyr = kind.endswith("cyrillic")
     size = F.lit(2) + _byte(digest, 40) % 2 + attempt
@@ -138,6 +135,21 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def draw(state: DataFrame, key: str) -> DataFrame:
+    """``state`` (kind, canon, attempt, ...) with ``drawn``, the form that the attempt draws.
+
+    Digests and digits are columns of a projection below, computed once for a row; within
+    the lambdas that read them they would be computed again for each character.
+    """
+    site = F.concat_ws("\x1f", F.lit(key), F.col("attempt"), F.regexp_extract("canon", "@(.*)$", 1))
+    own = F.concat_ws("\x1f", F.lit(key), F.col("kind"), F.col("attempt"), F.col("canon"))
+    hashed = state.withColumns({"digest": F.sha2(own, 512), "site": F.sha2(site, 512)})
+    digit = lambda ch, i: (_byte(F.col("digest"), i) % 10).cast("string")
+    hashed = hashed.withColumn("digits", F.array_join(F.transform(F.split("canon", ""), digit), ""))
+    form = surrogate(*[F.col(c) for c in ("kind", "canon", "attempt", "digest", "site", "digits")])
+    return hashed.withColumn("drawn", form).drop("digest", "site", "digits")
+
+
 def _lay(form: Column, surface: Column, kind: Column) -> Column:
     """A surrogate's canonical form in the writing of ``surface``."""
     laid = F.aggregate(
@@ -192,10 +204,11 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     Rounds of: find forms that occur twice or are an entity themselves; all but
     the first of each draw again.  Rounds end when nothing meets; each is a table.
     """
-    state = stash(
-        entities.withColumn("attempt", F.lit(0)).withColumn("form", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)),
-        "surrogates",
-    )
+    # Entities are few bytes but dear to draw, so they are dealt over as many tasks as a shuffle has;
+    # left to their size, one task would draw them all.
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = entities.repartition(tasks).withColumn("attempt", F.lit(0))
+    state = stash(draw(first, key).withColumnRenamed("drawn", "form"), "surrogates")
     while True:
         # The smallest entity keeps a form: one minimum per form, no sorting of groups.
         first = state.groupBy("kind", "form").agg(F.min("canon").alias("owner"))
@@ -205,9 +218,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         marked = checked.select("kind", "canon", "attempt", "form", clash.alias("clash"))
         if marked.where("clash").isEmpty():
             return state.select("kind", "canon", "form")
-        attempt = F.col("attempt") + F.col("clash").cast("int")
-        form = F.when(F.col("clash"), surrogate(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("form"))
-        then = stash(marked.select("kind", "canon", attempt.alias("attempt"), form.alias("form")), "surrogates")
+        again = draw(marked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int")), key)
+        form = F.when(F.col("clash"), F.col("drawn")).otherwise(F.col("form"))
+        then = stash(again.select("kind", "canon", "attempt", form.alias("form")), "surrogates")
         discard(state)
         state = then
 
@@ -269,7 +282,8 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, text: str = "text", d
 
     even = F.filter(F.transform(held, lambda m, k: F.when(k % 2 == 0, m)), lambda m: m.isNotNull())
     filled = F.array_join(F.zip_with(even, new_, lambda gap, n: F.concat(plain(gap), F.coalesce(n, F.lit("")))), "")
-    done = some.join(by_row, row).withColumn(names, first).select(*[filled.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+    # The map is made below the join; above it, it would move into the lambda and be made for each word.
+    done = some.join(by_row.withColumn(names, first), row).select(*[filled.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
     clean = base.where(f"size({held}) <= 1")
     return clean.select(*[F.get(held, 0).alias(text) if c == text else F.col(f"`{c}`") for c in columns]).union(done)
 

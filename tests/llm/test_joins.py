@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.llm.ann import lay_shards, nearest
-from veilmark.llm.embedding_dedup import embedding_near_duplicates, lay_cells
+from veilmark.llm.embedding_dedup import decode, embedding_near_duplicates, encode, lay_cells
 from veilmark.llm.ngram_join import index_entries, ngram_jaccard_join
 from veilmark.llm.shared import components
 from veilmark.llm.texthash import mix, shingle_sets
+from veilmark.llm.vectors import rotation
 
 
 def roots(nodes, pairs):
@@ -194,6 +195,28 @@ def test_near_duplicates_near_a_subspace(spark, monkeypatch, rank):
     assert got == {k: (links[k], found[k]) for k in range(2000)}
 
 
+def test_codes_estimate_cosines_without_bias():
+    """Over many vectors the errors average out, and none is beyond its bound."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 48))
+    y = x + rng.standard_normal((3000, 48)) * rng.choice([0.2, 0.5, 3.0], (3000, 1))
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    bits, factor = encode(y)
+    assert bits.shape == (3000, 6)  # a bit a dimension
+    scaled, bound = decode(bits, factor, 48, 0.9)
+    guess, cosine = ((x @ rotation(48).T) * scaled).sum(axis=1), (x * y).sum(axis=1)
+    assert abs((guess - cosine).mean()) < 0.01
+    assert (guess[cosine >= 0.9] >= bound[cosine >= 0.9]).all() and (guess < bound).any()
+
+
+def test_vectors_without_a_key(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (2, [2.0, 0.0]), (None, None)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in embedding_near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, None, False)] * 2 + [(4, 1, 2, False), (2, 1, 2, True)], key=str)
+    near = nearest(df, F.lit(True)).collect()
+    assert sorted((r.query_id, r.vec_id) for r in near) == [(2, 4), (4, 2)]
+
+
 def test_cells_share_shards(monkeypatch):
     monkeypatch.setattr("veilmark.llm.embedding_dedup.HOME_BLOCK", 10)
     monkeypatch.setattr("veilmark.llm.embedding_dedup.POSTED_BLOCK", 20)
@@ -244,6 +267,21 @@ def test_neighbours_among_copies(spark):
         assert np.allclose([s for _, s in own], want, atol=1e-12, rtol=0)
 
 
+def test_neighbours_as_shipped(spark):
+    """Recall against brute force with the settings of the query, where lists are left out."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((40, 64))[rng.integers(0, 40, 2500)] + rng.standard_normal((2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    every = x @ x.T
+    np.fill_diagonal(every, -2)
+    hits = sum(len(set(np.argsort(-every[q])[:20].tolist()) & got[q]) for q in range(0, 2500, 20))
+    assert all(len(v) == 20 for v in got.values()) and hits / (125 * 20) >= 0.9
+
+
 def test_neighbours_of_nothing(vectors):
     df, _ = vectors
     assert nearest(df.limit(0), F.lit(True)).count() == 0

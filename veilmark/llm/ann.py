@@ -29,7 +29,7 @@ MAX_LISTS = 1_024
 PROBED = 0.75
 #: Lists lie together in shards of about so many rows; queries meet them in blocks.
 SHARD_ROWS = 40_000
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2_048
 COLUMNS = 16
 
 
@@ -96,10 +96,11 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     query itself.  Vectors that are null, zero or hold null or non-finite
     components take no part; vectors of another length than most have a list of
     their own, which only queries of that length probe.  Fewer than ``k``
-    candidates: all of them.  Ties go to the smaller key, a unique integer.
+    candidates: all of them.  Ties go to the smaller key, a unique integer; rows
+    without it take no part.
     """
     spark = vectors.sparkSession
-    good = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"), is_query.alias("ask")).where(usable("v"))
+    good = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"), is_query.alias("ask")).where(usable("v") & F.col("id").isNotNull())
     n = good.count()
     ids, some = sample(good, "id", "v")
     lists = centroids(some, min(MAX_LISTS, max(1, int(np.sqrt(n) / 4)))) if len(some) else np.zeros((1, 1))

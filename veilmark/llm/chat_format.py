@@ -18,6 +18,15 @@ END = "<|end|>\n"
 TRAINED_ROLE = "assistant"
 
 
+def _escaped(turns: Column) -> Column:
+    """Roles and texts in which no marker opens: between ``<`` and ``|`` stands one backslash more.
+
+    Taking one away gives the text back.
+    """
+    safe = lambda c: F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
+    return F.transform(turns, lambda t: F.struct(safe(t["role"]).alias("role"), safe(t["text"]).alias("text"), t["role"].alias("said_by")))
+
+
 def _rendered(turns: Column) -> Column:
     return F.array_join(
         F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(CLOSE), t["text"], F.lit(END))), ""
@@ -35,7 +44,7 @@ def _mask(turns: Column, role: str) -> Column:
         lambda acc, t: F.struct(
             (acc["at"] + head(t) + body(t)).alias("at"),
             F.when(
-                t["role"] == role,
+                t["said_by"] == role,
                 F.concat(
                     acc["spans"],
                     F.array(
@@ -63,7 +72,8 @@ def format_preferences(
     null pair are no conversation and are left out, a null side is rejected.  With
     one side missing the prompt is empty and that side null.  If one conversation
     continues the other, the shorter side's completion is empty.  Other columns are
-    ignored.  One shuffle, by pair; a pair's turns meet in one row, as the result is
+    ignored.  A turn can't forge another: ``<|`` in a role or text is written ``<\\|``, and
+    any backslashes that stand there become one more.  One shuffle, by pair; a pair's turns meet in one row, as the result is
     one row a pair.
     """
     one = F.struct(
@@ -88,7 +98,8 @@ def format_preferences(
     def tail(a: str) -> Column:
         return F.when(F.size(a) > 0, F.slice(a, F.col("prompt_turns") + 1, F.size(a)))
 
-    cut = cut.select("pair_id", "prompt_turns", F.slice("c", F.lit(1), F.col("prompt_turns")).alias("p"), tail("c").alias("c"), tail("r").alias("r"))
+    prompt = F.slice("c", F.lit(1), F.col("prompt_turns"))
+    cut = cut.select("pair_id", "prompt_turns", *[_escaped(t).alias(n) for n, t in (("p", prompt), ("c", tail("c")), ("r", tail("r")))])
     return cut.select(
         "pair_id", "prompt_turns", _rendered(F.col("p")).alias("prompt"), _rendered(F.col("c")).alias("chosen"),
         _rendered(F.col("r")).alias("rejected"), _mask(F.col("c"), trained_role).alias("chosen_mask"),
@@ -120,9 +131,10 @@ WITH t AS (
 ), p AS (
   SELECT n.*, CAST(coalesce(d.pos - 1, least(nc, nr)) AS INTEGER) AS prompt_turns FROM n LEFT JOIN d USING (pair_id)
 ), x AS (
-  SELECT t.*, p.prompt_turns, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
-    length(role) + 5 AS head
-  FROM t JOIN p USING (pair_id)
+  SELECT t.*, p.prompt_turns, '<|' || safe_role || '|>' || chr(10) || safe_text || '<|end|>' || chr(10) AS shown,
+    length(safe_role) + 5 AS head
+  FROM (SELECT *, regexp_replace(role, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS safe_role,
+    regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS safe_text FROM t) t JOIN p USING (pair_id)
 ), y AS (
   SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM x WHERE pos > prompt_turns

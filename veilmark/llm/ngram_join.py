@@ -168,8 +168,8 @@ def token_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>")
 
 
-def shared_entries(posted: DataFrame) -> DataFrame:
-    """The postings of entries with two or more of them.
+def shared_entries(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of entries with two or more of them, and the table that holds a part.
 
     Tokens one by one are counted in a window, one shuffle; a rare one has few
     postings.  Pairs, few but perhaps of very many sets, are counted with a combine before the
@@ -177,15 +177,17 @@ def shared_entries(posted: DataFrame) -> DataFrame:
     """
     single = posted.where("entry % 2 = 0").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("entry")))
     kept = stash(single.where("rows > 1").drop("rows"), "shared-tokens")
+    release(posted.sparkSession)
     pairs = posted.where("entry % 2 != 0")
     often = pairs.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
-    return kept.union(pairs.join(often, "entry"))
+    return kept.union(pairs.join(often, "entry")), kept
 
 
 def linked(pairs: DataFrame, docs: DataFrame, size: int, ratio: tuple[int, int]) -> DataFrame:
     """The pairs (src, dst) whose sets reach the similarity, compared whole; a table."""
     num, den = ratio
     pairs = stash(pairs, "candidates")
+    release(docs.sparkSession)
     wanted = stash(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = stash(token_sets(docs.join(few, "doc_id", "left_semi"), size).distinct(), "sets")
@@ -281,6 +283,7 @@ def verified_links(members: DataFrame, docs: DataFrame, size: int, ratio: tuple[
         open_ = tagged.groupBy("entry").agg(lo, hi, F.count(F.lit(1)).alias("rows")).where("lo < hi and rows > 2")
         then = stash(tagged.join(open_.select("entry"), "entry"), "open")
         discard(group, *([now] if turn else []))
+        release(docs.sparkSession)
         now, turn = then, turn + 1
         pairs = squares(now)[1]
     return found
@@ -315,9 +318,12 @@ def ngram_jaccard_join(
 
     some = docs.select("doc_id", "text").where("doc_id is not null")
     posted = stash(postings(some, shared, size, ratio), "postings")
-    met = shared_entries(posted).join(heads, "doc_id").drop("doc_id").withColumnRenamed("head", "doc_id").distinct()
+    entries, kept = shared_entries(posted)
+    met = entries.join(heads, "doc_id").drop("doc_id").withColumnRenamed("head", "doc_id").distinct()
     met = stash(met, "met")
-    discard(posted)
+    discard(posted, kept)
+    del entries
+    release(spark)
     several = met.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("entry")
     members = stash(met.join(several, "entry"), "members")
     discard(met)

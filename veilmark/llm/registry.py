@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilmark.llm.ann import op7_nearest_neighbours
+from veilmark.llm.centroids import OP12_SQL, op12_centroid_clustering
 from veilmark.llm.chat_format import OP2_SQL, op2_chat_formatting
 from veilmark.llm.embedding_dedup import op5_embedding_near_dedup
 from veilmark.llm.language_id import op6_language_id
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op8_mixing": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op8_mixing": OP8_SQL, "op12_centroid_clustering": OP12_SQL}

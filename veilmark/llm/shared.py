@@ -14,11 +14,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _OWN: list[str] = []
-#: Bytes of an Arrow batch that goes to a worker; Spark's setting for it and its default.
-BATCH_BYTES = "8m"
-_BATCH_SETTING, _SPARK_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes of a batch that a function in a worker gets at once.
+PART_BYTES = 8 << 20
+_NULLABLE = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+    pa.float32(): pd.Float32Dtype(), pa.float64(): pd.Float64Dtype(), pa.bool_(): pd.BooleanDtype(),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,22 +90,39 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``mapInPandas`` whose workers hold little memory at any length of texts.
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``PART_BYTES``."""
+    if len(batch):
+        step = max(1, len(batch) * PART_BYTES // max(batch.nbytes, 1))
+        for k in range(0, len(batch), step):
+            yield batch.slice(k, step)
 
-    Arrow batches are bounded to ``BATCH_BYTES``, unless the session sets a limit itself.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_SETTING, None) in (None, _SPARK_BATCH):
-        conf.set(_BATCH_SETTING, BATCH_BYTES)
 
-    def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose function gets batches of about ``PART_BYTES`` at any length of texts."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(part for b in batches for part in _parts(b))
         finally:
             _give_back()
 
-    return df.mapInPandas(lean, schema)
+    return df.mapInArrow(lean, schema)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Like ``mapInPandas``, but in batches of about ``PART_BYTES`` and without loss.
+
+    Numbers and booleans are pandas' nullable types: beside nulls, whole numbers keep
+    all their digits, and NaN stays apart from null.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.to_pandas(types_mapper=_NULLABLE.get) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+
+    return in_arrow(df, frames, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

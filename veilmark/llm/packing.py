@@ -173,9 +173,8 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             yield b.drop(columns="rank")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    placed = rank_within(pieces.where(fit), length, keys, max(histogram.values(), default=0)).select(*pieces.columns, "rank").mapInPandas(
-        place, f"{schema}, sequence_id long, offset long"
-    )
+    ranked = rank_within(pieces.where(fit), length, keys, max(histogram.values(), default=0)).select(*pieces.columns, "rank")
+    placed = in_batches(ranked, place, f"{schema}, sequence_id long, offset long")
     unfit = pieces.where(~F.coalesce(fit, F.lit(False)))
     nothing = F.lit(None).cast("long")
     return placed.unionByName(unfit.withColumns({"sequence_id": nothing, "offset": nothing}))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm.shared import crc_bucket, in_batches, table
@@ -21,6 +21,8 @@ from veilmark.llm.texthash import blocks, mix, slice_hashes
 BITS = 18
 #: Labelled documents learnt from, at most.
 TRAIN_ROWS = 6_000
+#: Features of all of them, at most (160 MB).
+FEATURES = 40_000_000
 EPOCHS = 15
 COST = 0.1
 SMOOTHING = 1.0
@@ -148,23 +150,30 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAIN_ROWS) -> np.ndarray:
-    """Fits on at most ``limit`` labelled documents, in an order fixed by a hash.
+    """Fits on at most ``limit`` labelled documents with ``FEATURES`` features in all.
 
-    Repeated labels of a document count by their mean; null ones don't.  Rows are
-    turned into features on the executors, the bounded sample is fitted here.
+    They come in an order fixed by a hash of doc_id.  Repeated labels of a document count
+    by their mean; null ones don't.  Of rows that repeat a doc_id, the text that is first in
+    the alphabet counts; a null text is empty.  Rows are turned into features on
+    the executors, the bounded sample is fitted here.
     """
     one = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).alias("y"))
-    drawn = one.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(limit)
-    some = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # `limit` rows at most
+    rank = F.xxhash64("doc_id", F.lit("quality"))
+    drawn = one.where("doc_id is not null").orderBy(rank, "doc_id").limit(limit)
+    every = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # `limit` rows at most
+    some = every.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found, count = features([t or "" for t in b["text"].tolist()])
+            found, count = features([t if isinstance(t, str) else "" for t in b["text"].tolist()])
             ends = np.cumsum(count)
             rows = [found[e - c : e].astype(np.int32).tobytes() for e, c in zip(ends, count, strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "f": rows})
 
-    got = some.mapInPandas(run, "doc_id long, y boolean, f binary").orderBy("doc_id").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = in_batches(some, run, f"doc_id {kind}, y boolean, f binary")
+    upto = F.sum(F.length("f")).over(Window.orderBy(rank, "doc_id"))  # of `limit` rows
+    got = made.withColumn("upto", upto).where(F.col("upto") <= 4 * FEATURES).orderBy("doc_id").collect()
     rows = [np.frombuffer(r["f"], np.int32).astype(np.int64) for r in got]
     return fit(rows, np.array([1 if r["y"] else -1 for r in got]))
 
@@ -182,9 +191,8 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> D
         bias, slope, shift = w[-3:]
         for b in batches:
             found, count = features([t if isinstance(t, str) else "" for t in b["text"].tolist()], bits)
-            upto = np.concatenate([[0.0], np.cumsum(w[found])])
-            ends = np.cumsum(count)
-            value = upto[ends] - upto[ends - count] + bias
+            owner = np.repeat(np.arange(len(count)), count)
+            value = np.bincount(owner, weights=w[found], minlength=len(count)) + bias
             yield b[keep].assign(score=1 / (1 + np.exp(-np.clip(slope * value + shift, -30, 30))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -161,18 +162,16 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
     within = files.withColumn("within", earlier(Window.partitionBy("run").orderBy("part")))
     offsets = within.join(runs, "run").select("file", (F.col("base") + F.col("within")).alias("before"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         fs, base = pafs.FileSystem.from_uri(folder)
-        reader = SequenceReader(fs, f"{base}/{key[0]}")
-        crc = [
-            zlib.crc32(reader.ids(s, n).astype("<u4").tobytes())
-            for s, n in zip(rows["start"].tolist(), rows["n_tokens"].tolist(), strict=True)
-        ]
-        out = rows[["doc_id", "n_tokens"]].assign(start=rows["start"] + rows["before"], ids_crc32=crc)
-        return out[["doc_id", "start", "n_tokens", "ids_crc32"]]
+        reader = SequenceReader(fs, f"{base}/{key[0].as_py()}")
+        starts, counts = rows["start"].to_pylist(), rows["n_tokens"]
+        crc = [zlib.crc32(reader.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts, counts.to_pylist(), strict=True)]
+        start = pc.add(rows["start"], rows["before"])
+        return pa.table({"doc_id": rows["doc_id"], "start": start, "n_tokens": counts, "ids_crc32": pa.array(crc, pa.int64())})
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    return index.join(offsets, "file").groupBy("file").applyInPandas(
+    return index.join(offsets, "file").groupBy("file").applyInArrow(
         run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
     )
 

@@ -14,6 +14,7 @@ from veilmark.llm.language_id import op6_language_id
 from veilmark.llm.mixing import OP8_SQL, op8_mixing
 from veilmark.llm.ngram_join import op3_ngram_jaccard_join
 from veilmark.llm.packing import op1_best_fit_packing
+from veilmark.llm.pieces import op13_sentencepiece
 from veilmark.llm.pii import op4_personal_data
 from veilmark.llm.quality import op10_quality_classifier
 from veilmark.llm.token_files import op9_token_files
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op8_mixing": OP8_SQL, "op12_centroid_clustering": OP12_SQL}

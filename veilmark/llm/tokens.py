@@ -14,7 +14,7 @@ a worker's memory at any input size.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -56,16 +56,18 @@ class Encoder:
     """Encodes texts with a vocabulary file.
 
     ``drops_space``: the vocabulary lower-cases and drops white space;
-    otherwise it is byte-level and keeps every character.
+    otherwise it is byte-level and keeps every character.  ``plain``: strings of
+    special tokens in texts are ordinary text.
     """
 
-    def __init__(self, path: str, drops_space: bool) -> None:
+    def __init__(self, path: str, drops_space: bool, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.drops_space = drops_space
         self._empty()
 
@@ -121,13 +123,16 @@ class Encoder:
         starts = np.flatnonzero(opens)
         return starts[:-1], starts[1:]
 
+    def _ids_of(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        tokenize = self.model.tokenize
+        for p in pieces:
+            shown = (p if p.isascii() else p.decode("latin-1").encode()).decode("latin-1").translate(_BYTE_CHARS)
+            yield [t.id for t in tokenize(shown)]
+
     def _learn(self, pieces: list[bytes]) -> None:
         ids: list[int] = []
         count = np.empty(len(pieces), dtype=np.int64)
-        tokenize = self.model.tokenize
-        for k, p in enumerate(pieces):
-            shown = (p if p.isascii() else p.decode("latin-1").encode()).decode("latin-1").translate(_BYTE_CHARS)
-            found = [t.id for t in tokenize(shown)]
+        for k, (p, found) in enumerate(zip(pieces, self._ids_of(pieces), strict=True)):
             count[k] = len(found)
             ids += found
             self.place[p] = len(self.place)
@@ -198,12 +203,12 @@ def _gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
     return pool[np.repeat(shift, count) + np.arange(int(count.sum()))]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, plain: bool = False) -> Encoder:
     """This process's encoder of a vocabulary file."""
-    key = (path, drops_space)
+    key = (path, drops_space, plain)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, drops_space)
+        _ENCODERS[key] = Encoder(path, drops_space, plain)
     return _ENCODERS[key]

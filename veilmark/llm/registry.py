@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilmark.llm.alignment import op11_tokenizer_alignment
 from veilmark.llm.ann import op7_nearest_neighbours
 from veilmark.llm.centroids import OP12_SQL, op12_centroid_clustering
 from veilmark.llm.chat_format import OP2_SQL, op2_chat_formatting
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_sentencepiece": op13_sentencepiece,
 }

@@ -69,7 +69,7 @@ def test_numbers(spark, a, b, want):
 def test_continuations_in_folders(spark):
     kinds = ["primary", "continuation", "continuation", "unrecognized", "continuation", "primary", "error", "continuation"]
     df = spark.createDataFrame([("f", k, v, None if v == "continuation" else f"n{k}", {"k": None} if k == 1 else {"k": "x"}) for k, v in enumerate(kinds)], "f string, i int, kind string, document_number string, extra map<string,string>")
-    got = ordered.inherit(ordered.attach_continuations(df, ["f"], ["i"]), ["f"], ["i"], ["document_number"], "extra").orderBy("i").collect()
+    got = ordered.continue_runs(df, ["f"], ["i"], ["document_number"], "extra").orderBy("i").collect()
     assert [r.page_number for r in got] == [1, 2, 3, None, None, 1, None, None]
     assert [r.document_number for r in got][:5] == ["n0", "n0", "n0", "n3", None]
     assert got[1].extra == {"k": None}

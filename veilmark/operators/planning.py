@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.text import safe_filename
+from veilmark.operators import scans
+from veilmark.sources.shared import stash
 
 #: Namespace of URLs in name-based identifiers (fixed value).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -46,41 +45,98 @@ def _split(name: Column) -> tuple[Column, Column]:
     return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
 
 
-def number_collisions(files: DataFrame, folder: str, name: str, order: str, out: str = "destination") -> DataFrame:
+def _numbered(low: str) -> tuple[Column, Column]:
+    """The name that a number was put on and the number, or nulls; ``low``: a column of names.
+
+    Only what the numbering itself writes counts: ``_2``, ``_3``, ... before the suffix.
+    """
+    stem, suffix = _split(F.col(low))
+    number = F.regexp_extract(stem, r"_([2-9]|[1-9][0-9]{1,8})$", 1)
+    base = F.concat(F.regexp_replace(stem, r"_[0-9]+$", ""), suffix)
+    return F.when(number != "", base), F.when(number != "", number.cast("long"))
+
+
+def _skips(planted: DataFrame, requests: DataFrame, folder: str, parts: int | None) -> DataFrame:
+    """Adds ``skip`` and ``displaced`` to planted names; a table.
+
+    ``planted``: folder, low, base, k, at (first request), lost (the base's first request got no
+    plain name); ``requests``: folder, low, rank, at.  The base's numbering comes to k with
+    its (k - 1 - skipped numbers below)-th numbered request.  If that is later than the first
+    request of the planted name itself, the number is taken and skipped; if it is earlier,
+    the planted name's first request is displaced.  What is skipped below is a running sum; it is
+    repeated until nothing changes, which settles the numbers in rising order.
+    """
+    turn = requests.select(F.col(folder).alias("_folder"), F.col("low").alias("_low"), F.col("rank").alias("_rank"), F.col("at").alias("_when"))
+    now, mark = planted.withColumns({"skip": F.lit(False), "displaced": F.lit(False)}), None
+    while True:
+        below = scans.running_sum(now, [folder, "base"], ["k"], F.col("skip").cast("int"), "below", parts)
+        place = F.col("k") - 1 - (F.col("below") - F.col("skip").cast("int")) + F.when(F.col("lost"), 0).otherwise(1)
+        met = below.join(turn, F.col(folder).eqNullSafe(F.col("_folder")) & (F.col("base") == F.col("_low")) & (place == F.col("_rank")), "left")
+        met = met.withColumns({"skip": F.coalesce(F.col("at") < F.col("_when"), F.lit(False)), "displaced": F.coalesce(F.col("at") > F.col("_when"), F.lit(False))})
+        now = stash(met.select(*planted.columns, "skip", "displaced"), "planted")
+        then = now.agg(F.count_if("skip"), F.sum(F.when(F.col("skip"), F.xxhash64(folder, "low")).cast("decimal(38,0)"))).first()
+        if tuple(then) == mark:
+            return now
+        mark = tuple(then)
+
+
+def number_collisions(files: DataFrame, folder: str, name: str, order: str, out: str = "destination", parts: int | None = None) -> DataFrame:
     """The first of a name keeps it, the next are ``_2``, ``_3``, ... until one is free.
 
-    Names are given out in ``order``.  Only names that are equal but for such numbers
-    (and for case) can meet, so each such family is numbered on its own; a partition goes
-    through its families one after the other.  Null names stay null.
+    Names are given out in ``order`` (no ties), whatever their case.  A name's rank among its
+    equals in a folder tells its number: the rank and how many numbers below were taken
+    before, both by running sums over ranges of rows, so one name on all rows is worked on by
+    all tasks.  Names that carry such a number themselves are settled level by level: those
+    of ``a_2`` after ``a``, those of ``a_2_3`` after ``a_2``.  Null names stay null, null folders
+    are one folder.  Columns that begin with ``_``, ``low``, ``rank`` and ``at`` are reserved.
     """
-    stem, suffix = _split(F.col(name))
-    root = F.lower(F.concat(F.regexp_replace(stem, r"(_[0-9]+)+$", ""), F.lit("/"), suffix))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family, taken, next_ = None, set(), {}
-        for b in batches:
-            given = []
-            for key, wanted in zip(zip(b[folder].astype(object), b["_root"], strict=True), b[name], strict=True):
-                if key != family:
-                    family, taken, next_ = key, set(), {}
-                if not isinstance(wanted, str):
-                    given.append(None)
-                    continue
-                made, low = wanted, wanted.lower()
-                if low in taken:
-                    first, dot, rest = wanted.rpartition(".")
-                    first, rest = (first, dot + rest) if dot else (wanted, "")
-                    k = next_.get(low, 2)
-                    while (made := f"{first}_{k}{rest}").lower() in taken:
-                        k += 1
-                    next_[low] = k + 1
-                taken.add(made.lower())
-                given.append(made)
-            yield b.drop(columns="_root").assign(**{out: given})
-
-    sorted_ = files.withColumn("_root", root).repartition(folder, "_root").sortWithinPartitions(folder, "_root", order)
-    return sorted_.mapInPandas(run, f"{kinds}, `{out}` string")
+    every = files.withColumns({"low": F.lower(name), "at": F.col(order)})
+    named, unnamed = every.where(F.col(name).isNotNull()), files.where(F.col(name).isNull())
+    ranked = stash(scans.running_sum(named, [folder, "low"], [order], F.lit(1), "rank", parts), "ranked-names")
+    first = ranked.where("rank = 1").select(folder, "low", "at")
+    base, k = _numbered("low")
+    child = first.withColumns({"base": base, "k": k}).where("base is not null")
+    parent = first.select(F.col(folder).alias("_folder"), F.col("low").alias("_low"))
+    same = lambda left: F.col(folder).eqNullSafe(F.col("_folder")) & (F.col(left) == F.col("_low"))
+    planted = child.join(parent, same("base"), "left_semi")
+    lost, skipped = None, None
+    if not planted.isEmpty():
+        planted, todo = stash(planted, "planted-names"), None
+        todo = planted.withColumns({"lost": F.lit(False)})
+        roots = todo.join(planted.select(F.col(folder).alias("_folder"), F.col("low").alias("_low")), same("base"), "left_anti")
+        while not roots.isEmpty():  # a level of names, as deep as numbers follow each other
+            done = _skips(roots, ranked, folder, parts)
+            own = done.where("displaced").select(F.col(folder).alias("_folder"), F.col("low").alias("_low"))
+            taken = done.where("skip").select(folder, "base", "k")
+            lost, skipped = (own if lost is None else lost.union(own)), (taken if skipped is None else skipped.union(taken))
+            level = done.select(F.col(folder).alias("_folder"), F.col("low").alias("_low"), F.col("displaced").alias("_lost"))
+            roots = stash(planted.join(level, same("base")).select(*planted.columns, F.col("_lost").alias("lost")), "level")
+    if lost is None:
+        return ranked.withColumn(out, _with_number(F.col(name), F.col("rank"))).select(*files.columns, out).unionByName(_nulls(unnamed, out))
+    found = ranked.join(lost.withColumn("_displaced", F.lit(True)), same("low"), "left").drop("_folder", "_low")
+    found = found.withColumn("_turn", F.when(F.col("_displaced"), F.col("rank")).otherwise(F.col("rank") - 1))
+    # The number of skipped numbers that come before the turn-th number given out: these
+    # stand between the turns k - 1 - (skipped ones up to k) and the next.
+    nth = scans.running_sum(skipped.withColumnRenamed("base", "low"), [folder, "low"], ["k"], F.lit(1), "_nth", parts)
+    marks = nth.select(folder, "low", (F.col("k") - 1 - F.col("_nth")).alias("_turn"), F.lit(1).alias("_skip"))
+    holds = marks.select(F.col(folder).alias("_folder"), F.col("low").alias("_low")).distinct()
+    plain = found.join(holds, same("low"), "left_anti").withColumn("_number", F.col("_turn") + 1)
+    gaps = found.join(holds, same("low"), "left_semi").withColumn("_skip", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    gaps = gaps.withColumn("_slot", F.col("_turn") * 2 + F.col("_skip"))
+    gaps = scans.running_sum(gaps, [folder, "low"], ["_slot"], F.col("_skip"), "_over", parts).where("_skip = 0")
+    gaps = gaps.withColumn("_number", F.col("_turn") + 1 + F.col("_over"))
+    made = plain.select(*files.columns, "_turn", "_number").union(gaps.select(*files.columns, "_turn", "_number"))
+    made = made.withColumn(out, F.when(F.col("_turn") == 0, F.col(name)).otherwise(_with_number(F.col(name), F.col("_number"))))
+    return made.select(*files.columns, out).unionByName(_nulls(unnamed, out))
+
+
+def _nulls(files: DataFrame, out: str) -> DataFrame:
+    return files.withColumn(out, F.lit(None).cast("string"))
+
+
+def _with_number(name: Column, number: Column) -> Column:
+    stem, suffix = _split(name)
+    return F.when(number > 1, F.concat(stem, F.lit("_"), number.cast("string"), suffix)).otherwise(name)
 
 
 def docx_destinations(files: DataFrame, folder: str, name: str, order: str) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.text import natural_sort_key
 from veilmark.operators import registry
 from veilmark.operators.anonymize import anonymize_text, run_summary
 from veilmark.operators.invoices import extract_invoices
-from veilmark.operators.ordered import CONTINUATION, INHERITED, OTHER, PRIMARY, attach_continuations, inherit
+from veilmark.operators.ordered import CONTINUATION, INHERITED, OTHER, PRIMARY, continue_runs
 from veilmark.operators.planning import hashed_task_id
 from veilmark.operators.purchases import extract_purchases
 from veilmark.operators.receipts import extract_receipts
@@ -47,10 +47,9 @@ def _scanned(pages: DataFrame) -> DataFrame:
     docs = extract_invoices(pages).withColumn(
         "kind", F.when(F.col("is_recognized"), PRIMARY).when(F.col("is_continuation_page"), CONTINUATION).otherwise(OTHER)
     ).withColumns({"folder": F.regexp_extract("rel_path", "^(.*?)[^/]*$", 1), "ord_key": natural_sort_key("rel_path")})
-    placed = attach_continuations(docs, ["folder"], ["ord_key", "rel_path"])
-    head = F.first("rel_path").over(Window.partitionBy("folder", "run_no").orderBy("ord_key", "rel_path"))
-    placed = placed.withColumn("continued_from", F.when(F.col("attached"), head))
-    filled = inherit(placed, ["folder"], ["ord_key", "rel_path"], INHERITED)
+    docs = docs.withColumn("continued_from", F.when(F.col("kind") != CONTINUATION, F.col("rel_path")))
+    filled = continue_runs(docs, ["folder"], ["ord_key", "rel_path"], [*INHERITED, "continued_from"])
+    filled = filled.withColumn("continued_from", F.when(F.col("attached"), F.col("continued_from")))
     return filled.withColumns({"is_recognized": F.col("is_recognized") | F.col("attached"), "source_file": F.regexp_extract("rel_path", "([^/]*)$", 1)})
 
 

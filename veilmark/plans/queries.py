@@ -269,9 +269,18 @@ def continuation_attach(spark, d):
 
 @query(f"""WITH {_RUNS_SQL} SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, CASE WHEN kind = 'continuation' AND head = 'primary' AND head_id % 3 = 0 THEN head_type END) AS document_number, event_type AS k FROM x""")
 def metadata_inherit(spark, d):
-    x = ordered.attach_continuations(_pages(spark, d), ["user_id"], ["event_id"])
-    y = ordered.inherit(x, ["user_id"], ["event_id"], ["document_number"], "extra")
-    return y.select("event_id", "document_number", F.col("extra")["k"].alias("k"))
+    x = ordered.continue_runs(_pages(spark, d), ["user_id"], ["event_id"], ["document_number"], "extra")
+    return x.select("event_id", "document_number", F.col("extra")["k"].alias("k"))
+
+
+@query(f"""WITH {_RUNS_SQL.replace("PARTITION BY user_id ORDER", "ORDER").replace("PARTITION BY user_id, run_no", "PARTITION BY run_no")}
+SELECT event_id, CAST(run_no AS BIGINT) AS run_no, kind = 'continuation' AND head = 'primary' AS attached,
+  CAST(CASE WHEN kind = 'continuation' AND head = 'primary' THEN place WHEN kind = 'primary' THEN 1 ELSE 0 END AS INTEGER) AS page_number,
+  coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, CASE WHEN kind = 'continuation' AND head = 'primary' AND head_id % 3 = 0 THEN head_type END) AS document_number FROM x""")
+def flat_folder_runs(spark, d):
+    """All events as one folder, scanned in ranges."""
+    x = ordered.continue_runs(_pages(spark, d).withColumn("folder", F.lit("all")), ["folder"], ["event_id"], ["document_number"])
+    return x.select("event_id", "run_no", "attached", F.coalesce("page_number", F.lit(0)).alias("page_number"), "document_number")
 
 
 @query("""SELECT doc_id, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.txt$', '') || '_' || n || '.txt' END AS destination FROM (

@@ -30,9 +30,11 @@ from veilmark.llm.tokens import MEMO_WORDS, Encoder, _gather, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words of the table, at most, and bytes of each of them: so at most 32 MB of words.
-TABLE_WORDS = 500_000
+#: Words of the table, at most, and bytes of each of them: so at most 16 MB of words.
+TABLE_WORDS = 250_000
 WORD_BYTES = 64
+#: Ids that are decoded at once, or one text's.
+DECODE_IDS = 400_000
 _BLANK = 32
 
 
@@ -151,7 +153,16 @@ class PieceEncoder(Encoder):
         return np.concatenate(parts), np.concatenate(counts)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of runs of ids, as the library's decode gives them."""
+        """The texts of runs of ids, as the library's decode gives them; in blocks of runs."""
+        ends, out, begin = np.cumsum(counts), [], 0
+        while begin < len(counts):
+            base = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, base + DECODE_IDS, side="right")))
+            out += self._decode(ids[base : ends[stop - 1]], counts[begin:stop])
+            begin = stop
+        return out
+
+    def _decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         ends = np.cumsum(counts)
         length = self.length[ids]
         raw = _gather(self.bytes, self.begin[ids], length).tobytes() if len(ids) else b""

@@ -11,7 +11,7 @@ pairs; those of a block of documents are one posting row a pair.  Totals of pair
 with a combine before the shuffle.  Totals and postings are then shuffled by the id of side B and
 sorted in each partition, which spills: a stream brings first an id's totals, of
 which the maximum is taken, then its postings, whose contributions to documents are
-summed as they pass.  An id with very many postings is dealt over slots, each of which
+summed as they pass, a row for each block of documents.  An id with very many postings is dealt over slots, each of which
 gets its totals, so no task reads all of it.  Contributions are summed by document.
 """
 
@@ -40,6 +40,7 @@ BLOCK_ROWS = 1 << 16
 SLOT_ROWS = 20_000
 #: Contributions that a task holds before it hands them on.
 HELD = 1 << 21
+_SUMS = ["block", "places", "n_best", "count_sum"]
 _FACTS = "n_a long, n_b long, n_groups long, n_links long"
 
 
@@ -151,10 +152,10 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _ALIGNERS[key]
 
 
-def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Runs of 16-bit numbers up to ``ends`` as binary values."""
-    at = pa.py_buffer(np.append(0, 2 * ends).astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, at, pa.py_buffer(values.astype("<u2").tobytes())])
+def _packed(values: np.ndarray, ends: np.ndarray, kind: str = "<u2") -> pa.Array:
+    """Runs of numbers up to ``ends`` as binary values."""
+    at = pa.py_buffer(np.append(0, np.dtype(kind).itemsize * ends).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, at, pa.py_buffer(values.astype(kind).tobytes())])
 
 
 def posting_rows(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -222,11 +223,11 @@ class Contributions:
     """What the pairs of documents add to them, summed by document as far as memory goes."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, row: np.ndarray, best: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((row, best, total))
+    def add(self, block: np.ndarray, row: np.ndarray, best: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((block, row, best, total))
         self.size += len(row)
         if self.size >= HELD:
             self._sum()
@@ -234,20 +235,21 @@ class Contributions:
                 yield from self.close()
 
     def _sum(self) -> None:
-        row, best, total = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        block, row, best, total = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(row, kind="stable")
         row = row[order]
         heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        self.parts = [(row[heads], np.add.reduceat(best[order], heads), np.add.reduceat(total[order], heads))]
+        self.parts = [(block[order][heads], row[heads], np.add.reduceat(best[order], heads), np.add.reduceat(total[order], heads))]
         self.size = len(heads)
 
     def close(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             self._sum()
-            row, best, total = self.parts[0]
-            for k in range(0, len(row), 100_000):
-                at = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(best[at]), pa.array(total[at])], ["row", "n_best", "count_sum"])
+            block, row, best, total = self.parts[0]
+            heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            ends = np.append(heads[1:], len(block))
+            columns = [pa.array(block[heads]), *(_packed(x, ends, kind) for x, kind in ((row - block, "<u2"), (best, "<i8"), (total, "<i8")))]
+            yield pa.RecordBatch.from_arrays(columns, _SUMS)
         self.parts, self.size = [], 0
 
 
@@ -276,13 +278,34 @@ def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").astype(np.int64)
             often = flat(times)
             sure = np.repeat(count[found] == top[found], n)
-            row = np.repeat(rows.column(5).to_numpy(), n) + flat(places)
-            yield from held.add(row, np.where(sure, often, 0), often * np.repeat(count[found], n))
+            block = np.repeat(rows.column(5).to_numpy(), n)
+            yield from held.add(block, block + flat(places), np.where(sure, often, 0), often * np.repeat(count[found], n))
         last = group == group[-1]
         code, count = code[last], count[last]
     yield from held.close()
 
 
+def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by document from contributions sorted by block; one block is held at a time."""
+    now, best, total = None, np.zeros(BLOCK_ROWS, dtype=np.int64), np.zeros(BLOCK_ROWS, dtype=np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(total)  # a document with links has a sum
+        yield pa.RecordBatch.from_arrays([pa.array(at + now), pa.array(best[at]), pa.array(total[at])], ["row", "n_best", "count_sum"])
+        best[at] = total[at] = 0
+
+    for batch in batches:
+        for block, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is not None and block != now:
+                yield from out()
+            now = block
+            at = np.frombuffer(parts[0], "<u2")  # each place once in a row
+            best[at] += np.frombuffer(parts[1], "<i8")
+            total[at] += np.frombuffer(parts[2], "<i8")
+    if now is not None:
+        yield from out()
+
+
 def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, groups: bool = True, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
@@ -309,8 +332,8 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
     own = dealt(posted).withColumn("slot", F.pmod(F.xxhash64("block", "a"), F.col("slots")).cast("int"))
     own = own.select("b", "slot", F.lit(1).alias("kind"), "a", "links", "block", "places", "times")
     stream = every.unionByName(own).repartition("b", "slot").sortWithinPartitions("b", "slot", "kind", "a")
-    added = in_arrow(stream, contribute, "row long, n_best long, count_sum long")
-    sums = added.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    added = in_arrow(stream, contribute, "block long, places binary, n_best binary, count_sum binary")
+    sums = in_arrow(added.repartition("block").sortWithinPartitions("block"), sum_blocks, "row long, n_best long, count_sum long")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return facts.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), shown)
 

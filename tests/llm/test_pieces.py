@@ -77,6 +77,8 @@ def test_documents(spark, docs, library, most):
     done = decode_pieces(encode_pieces(df, most=most))
     assert done.columns == ["doc_id", "text", "lang", "n_chars", "ids", "decoded"]
     rows = done.collect()
+    both = encode_pieces(df, most=most, decoded="decoded")
+    assert sorted(map(str, both.select(*done.columns).collect())) == sorted(map(str, rows))
     assert len(rows) == docs.count()
     for r in rows:
         want = [*library.encode(r["text"] or ""), 2]

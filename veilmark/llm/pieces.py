@@ -271,9 +271,12 @@ def _columns(df: DataFrame, out: str, kind: str) -> tuple[list[str], str]:
     return kept, ", ".join([*schema, f"`{out}` {kind}"])
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", end: bool = True, most: int = TABLE_WORDS) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", end: bool = True, most: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
     """Adds ``out``, the ids of each whole text, to ``docs``; ``docs`` is read twice.
 
+    With ``decoded`` a column of that name holds what :func:`decode_pieces` would give for
+    the ids, without another Python stage.
+
     A null text counts as empty; with ``end`` each text gets the model's end id, so an empty
     one has that alone.  The marker itself in a text counts as a blank, as in the
     library.  All other columns are kept, a column named ``out`` is replaced; rows that repeat
@@ -282,7 +285,8 @@ def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text",
     path = path or vocabulary(MODEL)
     apart = PieceEncoder(path).apart
     shared = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, text, most)) if apart else None
-    kept, schema = _columns(docs, out, "array<int>")
+    kept, schema = _columns(docs.drop(decoded) if decoded else docs, out, "array<int>")
+    schema += f", `{decoded}` string" if decoded else ""
     place = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +296,9 @@ def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text",
             if end:
                 ids, counts = np.insert(ids, np.cumsum(counts), enc.sp.eos_id()), counts + 1
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))], [*kept, out])
+            added = [pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))]
+            added += [pa.array(enc.decode(ids, counts), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*kept, out, *([decoded] if decoded else [])])
 
     return in_arrow(docs.select(*kept), run, schema)
 
@@ -329,6 +335,6 @@ def _digest(value: Column) -> Column:
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    done = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest(ids).alias("ids_sha256"), _digest(F.col("decoded")).alias("decoded_sha256"))

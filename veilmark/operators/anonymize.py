@@ -56,8 +56,10 @@ def anonymize_text(
     rules = rules or Rules()
     t = F.col(text)
     auto = automatic_spans(t, F.col(external) if external else None, kinds) if rules.effective_mode in ("automatic", "combined") else spans.no_spans()
-    chosen = compose(t, auto, rules, F.col(is_ocr) if is_ocr else None)
-    out = units.withColumn("entities", spans.merge(chosen, F.length(t)))
+    out = compose(units.withColumn("_automatic", auto), text, rules, "_automatic", "_chosen", is_ocr)
+    # The mode "automatic" gives merged spans already.
+    merged = F.col("_chosen") if rules.effective_mode == "automatic" else spans.merge(F.col("_chosen"), F.length(t))
+    out = out.withColumn("entities", merged).drop("_automatic", "_chosen")
     changed = spans.transform_text(t, F.col("entities"))
     hit = F.lit(0)
     if rules.headings:

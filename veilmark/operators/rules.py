@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import spans
@@ -165,22 +165,25 @@ def configured_spans(text: Column, rules: Rules, is_ocr: Column | None = None) -
     return spans.ordered(F.concat(replaced, left))
 
 
-def compose(text: Column, automatic: Column, rules: Rules, is_ocr: Column | None = None) -> Column:
-    """Spans of a mode, sorted.
+def compose(units: DataFrame, text: str, rules: Rules, automatic: str, out: str, is_ocr: str | None = None) -> DataFrame:
+    """Adds ``out``, the sorted spans of a mode; ``automatic`` names the recognised ones.
 
     Combined: what is recognised, less excluded and configured parts, and the
-    configured spans.  Exclusions match exactly and never cancel configured spans.
+    configured spans.  Exclusions match exactly and never cancel configured spans.  The steps
+    are columns of their own, which Spark analyses one after the other.
     """
-    mode = rules.effective_mode
+    mode, t = rules.effective_mode, F.col(text)
     if mode == "disabled":
-        return spans.no_spans()
+        return units.withColumn(out, spans.no_spans())
     if mode == "automatic":
-        return automatic
-    configured = configured_spans(text, rules, is_ocr)
+        return units.withColumn(out, F.col(automatic))
+    found = units.withColumn("_configured", configured_spans(t, rules, F.col(is_ocr) if is_ocr else None))
     if mode == "configured":
-        return configured
-    kept = _concat([literal_spans(text, s, "EXCLUDED", 0.0) for s in rules.excluded])
-    return spans.ordered(F.concat(spans.subtract(spans.subtract(automatic, kept), configured), configured))
+        return found.withColumnRenamed("_configured", out)
+    kept = found.withColumn("_kept", _concat([literal_spans(t, s, "EXCLUDED", 0.0) for s in rules.excluded]))
+    left = kept.withColumn("_left", spans.subtract(F.col(automatic), F.col("_kept")))
+    left = left.withColumn("_left", spans.subtract(F.col("_left"), F.col("_configured")))
+    return left.withColumn(out, spans.ordered(F.concat("_left", "_configured"))).drop("_configured", "_kept", "_left")
 
 
 def heading_pattern(heading: str) -> str | None:

@@ -145,6 +145,18 @@ def literal_replace(spark, d):
     return anonymize.anonymize_text(t(spark, d, "documents"), _LITERALS).select("doc_id", "masked")
 
 
+_COMBINED = rules.Rules(mode="combined", excluded=(".",), included=("license",))
+
+
+@query("""SELECT doc_id, regexp_replace(list_reduce(list_concat([text], m), lambda a, x: replace(a, x, regexp_replace(x, '[0-9]', '█', 'g'))), 'license', '███████', 'gi') AS masked,
+  CAST(4 * n + len(regexp_extract_all(text, '(?i)license')) AS BIGINT) AS entity_count
+FROM (SELECT *, len(ips) AS n, list_reverse_sort(list_distinct(ips)) AS m FROM (SELECT *, regexp_extract_all(text, '(?:[0-9]{1,3}\\.){3}[0-9]{1,3}') AS ips FROM documents))""")
+def combined_mode(spark, d):
+    """Addresses less the excluded dots, and a configured word."""
+    out = anonymize.anonymize_text(t(spark, d, "documents"), _COMBINED, kinds=["IP_ADDRESS"])
+    return out.select("doc_id", "masked", F.col("entity_count").cast("long").alias("entity_count"))
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents)
 SELECT doc_id, word, target, CAST(levenshtein(lower(word), target) AS INTEGER) AS distance
 FROM w, (VALUES ('license'), ('version'), ('therhean'), ('thation')) r(target)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import dates, money, recognizers, spans, text
-from veilmark.operators import anonymize, invoices, layout, ordered, planning, purchases, registry, rules
+from veilmark.operators import anonymize, invoices, layout, literals, ordered, planning, purchases, registry, rules
 from veilmark.sources.files import receipt_link
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,46 @@ def literal_replace(spark, d):
     return anonymize.anonymize_text(t(spark, d, "documents"), _LITERALS).select("doc_id", "masked")
 
 
+def _rule_table(spark, d):
+    """Names of parts, and how turns and benchmark passages begin: some thousand rules at sf0.1."""
+    begin = lambda name, n: F.trim(F.substring(text.inline_whitespace("text"), 1, n))
+    some = t(spark, d, "conversations").select(begin("text", 6).alias("source")).union(t(spark, d, "benchmark").select(begin("text", 40)))
+    some = some.union(t(spark, d, "part").select("p_name"))
+    return some.select(F.lower("source").alias("source")).where("source <> ''").distinct().withColumn("replacement", F.lit(None).cast("string"))
+
+
+_RULES_SQL = """r AS (SELECT DISTINCT lower(s) AS rule FROM (
+  SELECT trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 6)) AS s FROM conversations UNION ALL SELECT trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 40)) FROM benchmark
+  UNION ALL SELECT p_name FROM part) WHERE s <> '')"""
+
+
+@query(f"""WITH {_RULES_SQL}, x AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents)
+SELECT doc_id, rule, CAST((length(text) - length(replace(text, rule, ''))) // length(rule) AS BIGINT) AS matches FROM x, r WHERE contains(text, rule)""")
+def rule_table_matches(spark, d):
+    """Where the rules of a table occur, in whole documents by one automaton."""
+    found = literals.rule_hits(t(spark, d, "documents").select("doc_id", "text"), _rule_table(spark, d))
+    return found.select("doc_id", F.explode("hits").alias("h")).groupBy("doc_id", F.col("h.source").alias("rule")).agg(F.count(F.lit(1)).alias("matches"))
+
+
+_NEAR_SQL = """r AS (SELECT DISTINCT lower(s) AS source, translate(replace(lower(replace(s, ' ', '')), 'ё', 'е'), '%s', '%s') AS aim, CAST(len(string_split(s, ' ')) AS INTEGER) AS words
+  FROM (SELECT p_name AS s FROM part UNION ALL SELECT unnest(regexp_extract_all(text, '[\\pL\\pN]{9,}')) FROM benchmark)),
+w AS (SELECT doc_id, translate(replace(lower(w), 'ё', 'е'), '%s', '%s') AS folded, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM (
+  SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\pL\\pN]+') AS l FROM documents))),
+v AS (SELECT doc_id, folded, 1 AS words, count(*) AS n FROM w GROUP BY ALL UNION ALL
+  SELECT doc_id, folded || translate(replace(lower(next), 'ё', 'е'), '%s', '%s'), 2, count(*) FROM w WHERE next IS NOT NULL GROUP BY ALL),
+d AS (SELECT folded, words, source, CAST(levenshtein(folded, aim) AS INTEGER) AS distance FROM (SELECT DISTINCT folded, words FROM v) JOIN r USING (words) WHERE abs(length(folded) - length(aim)) <= 2 AND levenshtein(folded, aim) <= 2)
+SELECT doc_id, source, distance, CAST(sum(n) AS BIGINT) AS matches FROM v JOIN d USING (folded, words) GROUP BY ALL""" % (("éèêçñóíáúüöäßàâîôûëïùœ", "ABCDEFGHIJKLMNOPQRSTUV") * 3)  # one byte a letter: the distance there counts bytes
+
+
+@query("WITH " + _NEAR_SQL)
+def near_rule_matches(spark, d):
+    """All words and pairs of words within two edits of the rules of a table."""
+    words = t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{9,}"), F.lit(0))).alias("source"))
+    some = t(spark, d, "part").select(F.col("p_name").alias("source")).union(words).select(F.lower("source").alias("source")).distinct()
+    found = literals.near_hits(t(spark, d, "documents"), some, 2, ["doc_id"])
+    return found.groupBy("doc_id", "source", "distance").agg(F.count(F.lit(1)).alias("matches"))
+
+
 _COMBINED = rules.Rules(mode="combined", excluded=(".",), included=("license",))
 
 

@@ -1,18 +1,19 @@
-"""Extraction rules on small made-up documents, with their expected fields as SQL.
-
-The test tables hold no documents of these kinds; texts and values here are invented.
-"""
+"""Extraction rules on small made-up documents, with their expected fields as SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import duckdb
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.operators.invoices import extract_invoices
 from veilmark.operators.purchases import extract_items, extract_purchases
-from veilmark.operators.receipts import extract_receipts
+from veilmark.operators.receipts import extract_receipts, service
+
+from .test_queries import canonical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +139,15 @@ ORACLES["fixture_invoices"] = """SELECT * FROM (VALUES
 
 for _f in (fixture_receipts, fixture_purchases, fixture_items, fixture_invoices):
     QUERIES[_f.__name__] = _f
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_fixture(spark, name):
+    assert canonical(QUERIES[name](spark, "").toPandas()) == canonical(duckdb.sql(ORACLES[name]).df())
+
+
+def test_words_that_end_a_description(spark):
+    """Only whole words end it."""
+    text = "Услуга:\nчековый принтер\nценаметр\nЧек № 1"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(service(F.col("t")).alias("s")).first().s == "чековый принтер ценаметр"

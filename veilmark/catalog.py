@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veilmark.plans import fixtures
+from veilmark.plans import documents
 from veilmark.plans.queries import ORACLES as _ORACLES
 from veilmark.plans.queries import QUERIES as _QUERIES
 
-QUERIES = _QUERIES | fixtures.QUERIES
-ORACLES = _ORACLES | fixtures.ORACLES
+QUERIES = _QUERIES | documents.QUERIES
+ORACLES = _ORACLES | documents.ORACLES

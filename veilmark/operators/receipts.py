@@ -43,7 +43,7 @@ def inn_candidates(text: Column) -> Column:
         ),
     )
     fit = F.filter(bare, lambda c: F.length(c["value"]).isin(10, 12))
-    return F.filter(fit, lambda c, i: ~F.exists(F.slice(fit, F.lit(1), i), lambda d: d["value"] == c["value"]))
+    return spans.let(fit, lambda x: F.filter(x, lambda c, i: ~F.exists(F.slice(x, F.lit(1), i), lambda d: d["value"] == c["value"])))
 
 
 def name_words(line: Column) -> Column:
@@ -61,10 +61,16 @@ def name_words(line: Column) -> Column:
     return F.when(good, words).otherwise(F.array().cast("array<string>"))
 
 
-def issuer_name(text: Column) -> Column:
-    """The best name: by layout, by nearness to the first INN, by its block."""
-    inns = inn_candidates(text)
-    first = F.get(inns, 0)
+def issuer_name(text: Column, inns: Column | None = None) -> Column:
+    """The best name: by layout, by nearness to the first INN, by its block.
+
+    ``inns``: :func:`inn_candidates` where a column holds them already.
+    """
+    return spans.let(inn_candidates(text) if inns is None else inns, lambda x: spans.let(_lines(text), lambda w: _issuer(text, F.get(x, 0), w)))
+
+
+def _lines(text: Column) -> Column:
+    """(at, block, words) of the lines that aren't blank."""
     lines = F.aggregate(
         F.split(text, "\n"),
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("block"), F.lit(True).alias("gap"), F.array().cast("array<struct<at:int,block:int,line:string>>").alias("out")),
@@ -78,8 +84,15 @@ def issuer_name(text: Column) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    worded = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), x["block"].alias("block"), name_words(x["line"]).alias("words")))
-    nearest_block = F.aggregate(worded, F.lit(-1), lambda acc, w: F.when(w["at"] <= first["start"], w["block"]).otherwise(acc))
+    return F.transform(lines, lambda x: F.struct(x["at"].alias("at"), x["block"].alias("block"), name_words(x["line"]).alias("words")))
+
+
+def _issuer(text: Column, first: Column, worded: Column) -> Column:
+    last = F.aggregate(worded, F.lit(-1), lambda acc, w: F.when(w["at"] <= first["start"], w["block"]).otherwise(acc))
+    return spans.let(last, lambda block: _best_name(text, first, worded, block))
+
+
+def _best_name(text: Column, first: Column, worded: Column, nearest_block: Column) -> Column:
     item = "struct<score:int,at:int,value:string>"
 
     def named(points: Column, at: Column, block: Column, value: Column) -> Column:
@@ -112,9 +125,12 @@ def issuer_name(text: Column) -> Column:
     return F.array_max(F.concat(single, joined))["value"]
 
 
-def recipient_name(text: Column) -> Column:
+def recipient_name(text: Column, inns: Column | None = None) -> Column:
     """An organisation in one of the eight lines nearest to the second INN."""
-    second = F.get(inn_candidates(text), 1)
+    return spans.let(F.get(inn_candidates(text) if inns is None else inns, 1), lambda second: _recipient(text, second))
+
+
+def _recipient(text: Column, second: Column) -> Column:
     placed = F.aggregate(
         F.split(text, "\n"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<far:int,i:int,line:string>>").alias("out")),
@@ -156,7 +172,8 @@ def total(text: Column) -> Column:
 def service(text: Column) -> Column:
     """What follows a service label on its line or on up to three next ones."""
     label = r"(?iu)(?:наименование\s+(?:предмета\s+расч[её]та|услуги)|описание\s+услуги|предмет\s+расч[её]та|услуга)\s*[:：-]?\s*(.*)$"
-    stop = r"(?iu)^(?:количество|цена|стоимость|сумма|итого|всего|инн|покупатель|заказчик|дата|чек)"
+    # Words that end a description (fixed values).
+    stop = r"(?iuU)^(?:количество|цена|стоимость|сумма|итого|всего|инн|покупатель|заказчик|дата|чек)\b"
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
 
     def at_line(line: Column, i: Column) -> Column:
@@ -175,9 +192,9 @@ def service(text: Column) -> Column:
     return F.substring(F.get(F.filter(F.transform(lines, at_line), lambda v: v.isNotNull()), 0), 1, 300)
 
 
-def score(text: Column) -> Column:
+def score(text: Column, inns: Column | None = None) -> Column:
     x = F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
-    inns, p = inn_candidates(text), RECEIPT_POINTS
+    inns, p = inn_candidates(text) if inns is None else inns, RECEIPT_POINTS
     marks = [
         (x.rlike(r"(?U)\bчек\b"), "receipt"), (x.contains("налог на профессиональный доход"), "tax_phrase"), (x.rlike(r"(?U)\bнпд\b"), "tax_short"),
         (x.contains("мой налог"), "app"), (x.contains("самозан") | x.contains("налогоплательщик"), "self_employed"), (F.size(inns) > 0, "inn"),
@@ -192,13 +209,13 @@ def score(text: Column) -> Column:
 def extract_receipts(pages: DataFrame) -> DataFrame:
     """Pages (rel_path, text, header_text, targeted_text, rotation) to receipt rows."""
     t = line_whitespace(F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in ("header_text", "targeted_text", "text")]))
-    x = pages.withColumn("all", t)
-    a = F.col("all")
+    x = pages.withColumn("all", t).withColumn("inns", inn_candidates(F.col("all")))
+    a, inns = F.col("all"), F.col("inns")
     x = x.withColumns(
         {
-            "score": score(a), "document_number": number(a), "document_date": date(a), "issuer_name": issuer_name(a),
-            "issuer_inn": F.get(inn_candidates(a), 0)["value"], "recipient_name": recipient_name(a),
-            "recipient_inn": F.get(inn_candidates(a), 1)["value"], "total_amount": total(a), "description": service(a),
+            "score": score(a, inns), "document_number": number(a), "document_date": date(a), "issuer_name": issuer_name(a, inns),
+            "issuer_inn": F.get(inns, 0)["value"], "recipient_name": recipient_name(a, inns),
+            "recipient_inn": F.get(inns, 1)["value"], "total_amount": total(a), "description": service(a),
         }
     )
     ok = F.col("score") >= RECOGNISED_AT

@@ -7,12 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.llm.ann import lay_shards, nearest
+from veilmark.llm.ann import ListBlock, lay_shards, lifted, measured_probes, nearest
 from veilmark.llm.embedding_dedup import decode, embedding_near_duplicates, encode, lay_cells
 from veilmark.llm.ngram_join import index_entries, ngram_jaccard_join
 from veilmark.llm.shared import components
 from veilmark.llm.texthash import mix, shingle_sets
-from veilmark.llm.vectors import rotation
+from veilmark.llm.vectors import centroids, rotation
 
 
 def roots(nodes, pairs):
@@ -282,6 +282,60 @@ def test_neighbours_as_shipped(spark):
     assert all(len(v) == 20 for v in got.values()) and hits / (125 * 20) >= 0.9
 
 
+def recall_of(spark, x, step=10, k=20):
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % step == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    every = x @ x.T
+    np.fill_diagonal(every, -np.inf)
+    queries = range(0, len(x), step)
+    assert all(len(got[q]) == k for q in queries)
+    return sum(len(set(np.argsort(-every[q])[:k].tolist()) & got[q]) for q in queries) / (len(queries) * k)
+
+
+@pytest.mark.parametrize("kind", ["unit", "log-normal norms", "shifted", "clustered", "one huge"])
+def test_recall_of_many_kinds_of_vectors(spark, kind):
+    """The settings of the query reach 0.9 whatever norms and places vectors have."""
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((3000, 64))
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "log-normal norms":
+        x *= rng.lognormal(0, 1, (3000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "shifted":
+        x += 1.0
+    elif kind == "clustered":
+        x = x * 0.3 + rng.standard_normal((30, 64))[rng.integers(0, 30, 3000)]
+    else:
+        x[7] *= 1e150
+    assert recall_of(spark, x) >= 0.9
+
+
+def test_probed_lists_are_few_where_vectors_cluster():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64)) * 0.2 + rng.standard_normal((40, 64))[rng.integers(0, 40, 4000)]
+    top = float(np.linalg.norm(x, axis=1).max())
+    lists = centroids(lifted(x, top), 40)
+    home = (lifted(x, top) @ lists.T).argmax(axis=1)
+    assert measured_probes(x, home, lists, 20) <= 10
+    alone = x[:1]
+    assert measured_probes(alone, np.zeros(1, dtype=int), lists, 20) == 40
+
+
+def test_hypothesis_tests_abandon_most_candidates():
+    """The true best survive; most of the others are abandoned from partial distances."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 256))
+    x[:25] = x[100] + rng.standard_normal((25, 256)) * 0.1
+    block = ListBlock(np.arange(4000), x)
+    score = x @ x[100]
+    bound = float(np.sort(score)[-26])
+    ids, found = block.search(100, x[100], bound, 4000)
+    assert set(range(25)) <= set(ids.tolist()) and len(ids) < 200
+    assert np.allclose(found, score[ids])
+
+
 def test_neighbours_of_nothing(vectors):
     df, _ = vectors
     assert nearest(df.limit(0), F.lit(True)).count() == 0

@@ -1,14 +1,19 @@
 """Nearest neighbours by inner product with an adaptive scan of dimensions.
 
-Vectors lie in coarse lists (spherical k-means on a bounded sample).  Within a
-probed list, rotated vectors stand in blocks of columns.  After each block the rest
-of an inner product is at most |q_rest| * |x_rest| (Cauchy-Schwarz); a candidate is
-abandoned when even that doesn't lift its partial product to the query's bound, so
-none of the best ``k`` in the probed lists is lost.  What survives is scored exactly
-on the original vectors.  The bound is the 2k-th best of those sample rows that lie in
-the lists it probes, so enough candidates reach it and most don't.  It rises with what a
-task finds: a task has several lists of a shard, scans those a query probes from the
-nearest on, and returns the query's best of them all.
+Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries a
+zero: then the nearest by distance are those with the largest inner product.  (Few vectors
+with norms far beyond the others' are cut to M for the lists and never abandoned.)  So the
+coarse lists (spherical k-means on a bounded sample of such vectors) know norms, too.  How many
+lists a query probes is measured on the sample: enough to hold ``RECALL`` of the sample's own
+best pairs.  Within a probed list, randomly rotated vectors stand in blocks of columns.  After
+d of D columns the squared distance is estimated as D/d times the partial one, whose relative
+error is about 1/sqrt(d); the hypothesis that a candidate is within the query's bound
+is rejected, and the candidate abandoned, when the estimate exceeds the bound by the factor
+(1 + EPSILON / sqrt(d))^2.  What survives is scored exactly on the original vectors.  The
+bound is the 2k-th best of those sample rows that lie in the lists a query probes, so enough
+candidates reach it and most don't.  It rises with what a task finds: a task has several
+lists of a shard, scans those a query probes from the nearest on, and returns the query's
+best of them all.
 """
 
 from __future__ import annotations
@@ -25,36 +30,63 @@ from veilmark.llm.vectors import centroids, matrix, rotation, sample, unit, usab
 
 NEAREST = 20
 MAX_LISTS = 1_024
-#: Share of the lists that a query probes.
-PROBED = 0.75
+#: Share of the sample's best pairs that the probed lists hold, and sample rows that ask.
+RECALL, MEASURED = 0.96, 512
+#: Errors of the estimated distance that a candidate may exceed the bound by.
+EPSILON = 2.1
+#: Norms beyond so many medians don't count for the largest.
+FAR = 4.0
 #: Lists lie together in shards of about so many rows; queries meet them in blocks.
 SHARD_ROWS = 40_000
 QUERY_BLOCK = 2_048
 COLUMNS = 16
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    scale = np.abs(x).max(axis=1)  # so that squares neither over- nor underflow
+    return np.sqrt(((x / scale[:, None]) ** 2).sum(axis=1)) * scale
+
+
+def common_top(x: np.ndarray) -> float:
+    """The largest norm, or ``FAR`` times the median one where some are larger."""
+    size = norms(x)
+    return float(min(size.max(), FAR * np.median(size)))
+
+
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors over ``top`` with the component that makes them unit vectors; longer ones are cut to ``top``."""
+    x = x / (np.maximum(norms(x) / top, 1.0) * top)[:, None]
+    return np.column_stack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))])
+
+
 class ListBlock:
-    """A block of a list: rotated vectors by column blocks, and the originals."""
+    """A block of a list: lifted and rotated vectors by column blocks, and the originals."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
-        self.dim = x.shape[1]
-        turned = x @ rotation(self.dim).T
+        self.dim = x.shape[1] + 1
+        self.top = common_top(x)
+        self.longer = norms(x) > self.top * (1 + 1e-9)  # these are scored without a test
+        turned = lifted(x, self.top) @ rotation(self.dim).T
         self.cuts = [*range(0, self.dim, COLUMNS), self.dim]
         self.parts = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        squares = [(p * p).sum(axis=1) for p in self.parts]
-        self.size = np.sqrt(sum(squares, np.zeros(len(x))))
-        self.rest = [np.sqrt(sum(squares[k + 1 :], np.zeros(len(x)))) for k in range(len(squares))]
+        self.squares = [(p * p).sum(axis=1) for p in self.parts]
 
-    def search(self, query_id: int, q: np.ndarray, turned: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, q: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the block's candidates for the best ``k``."""
         alive = np.arange(len(self.ids))
+        over = q / self.top
+        turned = rotation(self.dim)[:, :-1] @ over
+        radius = max(0.0, float(over @ over) + 1.0 - 2.0 * (bound / self.top / self.top)) + 1e-9
         partial = np.zeros(len(alive))
-        slack = 1e-9 * np.sqrt((turned * turned).sum()) * self.size  # of rounding
         for n, part in enumerate(self.parts):
             a, b = self.cuts[n], self.cuts[n + 1]
-            partial = partial + (part @ turned[a:b] if len(alive) == len(part) else part[alive] @ turned[a:b])
-            keep = partial + np.sqrt((turned[b:] ** 2).sum()) * self.rest[n][alive] + slack[alive] >= bound
+            aim = turned[a:b]
+            every = len(alive) == len(part)
+            inner, own = (part @ aim, self.squares[n]) if every else (part[alive] @ aim, self.squares[n][alive])
+            partial = partial + own - 2.0 * inner + aim @ aim
+            keep = partial * (self.dim / b) <= radius * (1.0 + EPSILON / np.sqrt(b)) ** 2
+            keep |= self.longer[alive]
             if not keep.all():
                 alive, partial = alive[keep], partial[keep]
             if not len(alive):
@@ -65,6 +97,26 @@ class ListBlock:
         return self.ids[alive][best], score[best]
 
 
+def measured_probes(some: np.ndarray, home: np.ndarray, lists: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """Lists that queries must probe so that ``recall`` of the sample's best pairs lie in them.
+
+    Evenly spread sample rows ask for their ``k`` best others in the sample; such pairs are
+    further apart than those of the whole table, so they need rather more lists.
+    """
+    asked = np.linspace(0, len(some) - 1, min(len(some), MEASURED)).astype(int)
+    score = some[asked] @ some.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(some) - 1)
+    if k < 1:
+        return len(lists)
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(unit(some[asked]) @ lists[:, :-1].T), axis=1, kind="stable")
+    turn = np.empty_like(order)
+    np.put_along_axis(turn, order, np.arange(len(lists))[None, :].repeat(len(asked), axis=0), axis=1)
+    needed = np.sort(np.take_along_axis(turn, home[best], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
 def lay_shards(counted: dict[int, tuple[int, int]]) -> tuple[dict[int, tuple[int, int]], list[int]]:
     """Puts lists with (rows, queries) into shards of about ``SHARD_ROWS`` rows.
 
@@ -89,7 +141,7 @@ def lay_shards(counted: dict[int, tuple[int, int]]) -> tuple[dict[int, tuple[int
     return place, [max(1, -(-q // QUERY_BLOCK)) for q in queries]
 
 
-def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, probed: float = PROBED) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "embedding", k: int = NEAREST, probed: float | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` best candidates found.
 
     Queries are the rows where ``is_query`` holds, candidates every row but the
@@ -97,34 +149,35 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
     components take no part; vectors of another length than most have a list of
     their own, which only queries of that length probe.  Fewer than ``k``
     candidates: all of them.  Ties go to the smaller key, a unique integer; rows
-    without it take no part.
+    without it take no part.  ``probed``: the share of lists that a query probes, measured
+    where it isn't given.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"), is_query.alias("ask")).where(usable("v") & F.col("id").isNotNull())
     n = good.count()
     ids, some = sample(good, "id", "v")
-    lists = centroids(some, min(MAX_LISTS, max(1, int(np.sqrt(n) / 4)))) if len(some) else np.zeros((1, 1))
-    probes = len(lists) if len(lists) < 8 else max(8, int(np.ceil(len(lists) * probed)))
-    home = (unit(some) @ lists.T).argmax(axis=1) if len(some) else np.zeros(0, dtype=np.int64)
+    dim, top = some.shape[1], common_top(some) if len(some) else 1.0
+    lists = centroids(lifted(some, top), min(MAX_LISTS, max(1, int(np.sqrt(n) / 4)))) if len(some) else np.zeros((1, dim + 1))
+    home = (lifted(some, top) @ lists.T).argmax(axis=1) if len(some) else np.zeros(0, dtype=np.int64)
+    share = measured_probes(some, home, lists, k) if probed is None and len(some) else int(np.ceil(len(lists) * (probed or 1.0)))
+    probes = min(len(lists), max(1, share))
     shared = spark.sparkContext.broadcast((lists, some, home))
-    dim = lists.shape[1]
 
     def own_list(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's list, and how a query ranks the lists."""
         size = b["v"].map(len).to_numpy()
         own, score = -size, np.full((len(b), len(shared.value[0])), -np.inf)
         main = np.flatnonzero(size == dim)
         if len(main):
-            score[main] = unit(matrix(b["v"].iloc[main])) @ shared.value[0].T
+            x = matrix(b["v"].iloc[main])
             own = own.copy()
-            own[main] = score[main].argmax(axis=1)
+            own[main] = (lifted(x, top) @ shared.value[0].T).argmax(axis=1)
+            score[main] = unit(x) @ shared.value[0][:, :-1].T
         return own, score
 
     def probe(own: np.ndarray, score: np.ndarray) -> list[list[int]]:
-        top = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < score.shape[1] else None
-        return [
-            [int(o)] if o < 0 else (top[r].tolist() if top is not None else list(range(score.shape[1])))
-            for r, o in enumerate(own)
-        ]
+        every = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        return [[int(o)] if o < 0 else every[r].tolist() for r, o in enumerate(own)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,11 +249,10 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", column: str = "em
             }
             for i, bound, cells, raw in zip(q["id"].tolist(), q["bound"].tolist(), q["cells"], q["x"], strict=True):
                 v = np.frombuffer(raw)
-                turned = rotation(len(v)) @ v
                 ids, scores = np.empty(0, np.int64), np.empty(0)
                 for cell in np.frombuffer(cells, np.int32).tolist():
                     if cell in blocks:
-                        got, score = blocks[cell].search(i, v, turned, bound, k)
+                        got, score = blocks[cell].search(i, v, bound, k)
                         ids, scores = np.concatenate([ids, got]), np.concatenate([scores, score])
                         best = np.lexsort((ids, -scores))[:k]
                         ids, scores = ids[best], scores[best]

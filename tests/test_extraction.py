@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from veilmark.functions import dates, money, text
 from veilmark.operators import invoices, layout, ordered, planning, registry
 from veilmark.operators.rules import Rules
-from veilmark.plans import api, fixtures
+from veilmark.plans import api
 from veilmark.operators.anonymize import anonymize_text
 from veilmark.sources import files, packages, sinks
 
+from . import test_fixtures as fixtures
+
 
 def value(spark, column, **columns):
     row = spark.range(1)

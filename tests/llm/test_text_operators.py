@@ -259,6 +259,27 @@ def test_surrogates_keep_check_digits_script_and_coreference(spark):
     assert out.where("doc_id = 5").count() == 2
 
 
+def test_names_found_leave_no_trace(spark):
+    """Short, possessive, hyphened and apostrophised names, in any case, wherever the text holds them."""
+    rows = [
+        (1, "Mr. Li met Li."), (2, "Mr. Smith's dog ran. Smith left, SMITH too."), (3, "Frau Anna Schmidt-Rosen sah Schmidt, ROSEN und anna."),
+        (4, "Mr Jones, JONES and jones"), (5, "Mrs. Mary O'Brien and Brien; o'brien's"), (6, "Mr. Jones' cat, Mr. Jones"), (7, "Г-жа Анна Ким-Ли, КИМ; Ли"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_personal_data(df).collect()}
+    for k, names in {1: ["Li"], 2: ["Smith"], 3: ["Anna", "Schmidt", "Rosen"], 4: ["Jones"], 5: ["Mary", "Brien"], 6: ["Jones"], 7: ["Анна", "Ким", "Ли"]}.items():
+        for name in names:
+            assert not re.search(rf"(?<![^\W_]){name}(?![^\W_])", got[k], re.IGNORECASE), got[k]
+    a, b = re.fullmatch(r"Mr\. (\w+) met (\w+)\.", got[1]).groups()
+    assert a == b
+    a, b, c = re.fullmatch(r"Mr\. (\w+)'s dog ran\. (\w+) left, (\w+) too\.", got[2]).groups()
+    assert a == b and c == a.upper()
+    x, y, z, u, v = re.fullmatch(r"Frau (\w+) (\w+)-(\w+) sah (\w+), (\w+) und \w+\.", got[3]).groups()
+    assert y == u and z.upper() == v and len({x, y, z}) == 3
+    assert len({w.lower() for w in re.fullmatch(r"Mr (\w+), (\w+) and (\w+)", got[4]).groups()}) == 1
+    assert re.fullmatch(r"Mr\. (\w+)' cat, Mr\. \1", got[6]) and re.fullmatch(r"Mrs\. \w+ O'(\w+) and \1; o'\w+'s", got[5])
+
+
 def test_no_text_is_too_long_for_the_patterns(spark):
     rows = [
         (1, "x@" + "a." * 100_000 + "com"), (2, "7" * 100_000), (3, "x" * 5_000_000), (4, "f" * 1_000_000 + "g"), (5, "1." * 100_000), (6, "+1" + " 22" * 100_000),

@@ -9,7 +9,8 @@ shape.  Surrogates of a kind are checked against each other and against all
 entities of the corpus; where two meet, all but one draw again, so different entities
 stay different and no surrogate is somebody else's value.  Card numbers and IBANs
 keep valid check digits.  A name found beside a title is replaced wherever the document
-holds it as a word of its own.
+holds it as a word, in any case; hyphened names are names each, and a possessive ending
+stays.
 
 Patterns repeat single characters or a bounded number of groups only, as Java's matcher
 needs stack for each turn of a group: no text is too long for them.
@@ -48,8 +49,6 @@ ENTITY = "|".join(f"(?:{p})" for k, p in PATTERNS if k != "card") + r"|(?<!\d)(?
 HINT = rf"[\d@]|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
 #: Put around matches; a text that holds it is taken apart in two passes.
 FENCE = "\uf8ff"
-#: A name beside a title must have so many letters to be replaced elsewhere in the text.
-BARE_NAME = 3
 KEY_SETTING = "spark.veilmark.surrogateKey"
 NUMBERS = ["phone", "ssn", "card"]
 
@@ -161,12 +160,16 @@ def _lay(form: Column, surface: Column, kind: Column) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    cased = (
+    return F.when(kind.isin(*NUMBERS, "iban"), laid).otherwise(_cased(form, surface))
+
+
+def _cased(form: Column, surface: Column) -> Column:
+    """``form`` in capitals, with one, or as it is, like ``surface``."""
+    return (
         F.when((surface == F.upper(surface)) & (surface != F.lower(surface)), F.upper(form))
         .when(F.substring(surface, 1, 1) != F.lower(F.substring(surface, 1, 1)), F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2))))
         .otherwise(form)
     )
-    return F.when(kind.isin(*NUMBERS, "iban"), laid).otherwise(cased)
 
 
 def _parts(match: Column) -> Column:
@@ -189,12 +192,17 @@ def _parts(match: Column) -> Column:
     # In Cyrillic a surname has a form for each gender; elsewhere it is shared.
     surname_kind = F.when(script == "cyrillic", F.concat_ws("-", F.lit("surname"), gender, script)).otherwise("surname-latin")
     given = F.concat_ws("-", F.lit("given"), gender, script)
-    surname = one(last, surname_kind, F.lower(last))
+
+    def named(word: Column, k: Column) -> Column:
+        """The names in a word between hyphens and apostrophes; single letters aren't names."""
+        pieces = F.regexp_extract_all(word, F.lit(r"['’]s?$|[-'’]|[^-'’]+"), F.lit(0))
+        return F.transform(pieces, lambda p: F.when(p.rlike(r"^['’-]") | (F.length(p) < 2), one(p, F.lit(None), F.lit(None))).otherwise(one(p, k, F.lower(p))))
+
     head = one(F.concat(F.get(words, 0), F.lit(" ")), F.lit(None), F.lit(None))
     gap = one(F.lit(" "), F.lit(None), F.lit(None))
     person = F.when(
-        F.size(words) > 2, F.array(head, one(F.get(words, 1), given, F.lower(F.get(words, 1))), gap, surname)
-    ).otherwise(F.array(head, surname))
+        F.size(words) > 2, F.concat(F.array(head), named(F.get(words, 1), given), F.array(gap), named(last, surname_kind))
+    ).otherwise(F.concat(F.array(head), named(last, surname_kind)))
     return F.when(kind == "person", person).otherwise(F.array(one(match, kind, canon)))
 
 
@@ -264,20 +272,21 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, text: str = "text", d
     laid = F.when(F.col("form").isNull(), F.col("surface")).otherwise(_lay(F.col("form"), F.col("surface"), F.col("kind")))
     new = parts.join(forms, ["kind", "canon"], "left").withColumn("new", laid)
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), "").alias(c)
-    is_name = F.col("kind").rlike("^(given|surname)") & (F.length("surface") >= BARE_NAME)
-    name = F.collect_set(F.when(is_name, F.struct("surface", "new"))).alias("names")
+    is_name = F.col("kind").rlike("^(given|surname)")
+    name = F.collect_set(F.when(is_name, F.struct(F.col("canon").alias("surface"), F.col("form").alias("new")))).alias("names")
     by_match = new.groupBy("row", "i").agg(joined("new"), name)
     by_row = by_match.groupBy(F.col("row").alias(row)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias(new_),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(named_),
     )
-    # Of a surface with two surrogates the first one counts.
+    # Of a name with two surrogates (given and family name) the first one counts.
     first = F.aggregate(named_, F.create_map().cast("map<string,string>"), lambda acc, x: F.when(F.map_contains_key(acc, x["surface"]), acc).otherwise(F.map_concat(acc, F.create_map(x["surface"], x["new"]))))
     word_edge = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
     names = _free(columns, "entity_map")
 
     def plain(gap: Column) -> Column:
-        words = F.transform(F.split(gap, word_edge), lambda w: F.coalesce(F.try_element_at(F.col(names), w), w))
+        found = lambda w: F.transform(F.array(F.try_element_at(F.col(names), F.lower(w))), lambda f: F.coalesce(_cased(f, w), w))
+        words = F.transform(F.split(gap, word_edge), lambda w: F.element_at(found(w), 1))
         return F.when(F.size(named_) == 0, gap).otherwise(F.array_join(words, ""))
 
     even = F.filter(F.transform(held, lambda m, k: F.when(k % 2 == 0, m)), lambda m: m.isNotNull())

@@ -210,6 +210,42 @@ def test_packages_hold_no_hidden_text(spark, tmp_path):
             assert [n for n in z.namelist() if b"mail.example" in z.read(n) or b"x.y" in z.read(n)] == []
 
 
+MAIL = "x.y@mail.example.com"
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+S_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+SAFE_PARTS = {
+    "deleted text": ("word/footnotes.xml", f"<w:x {W_NS}><w:p><w:r><w:delText>{MAIL}</w:delText></w:r></w:p></w:x>"),
+    "field": ("word/footnotes.xml", f'<w:x {W_NS}><w:p><w:r><w:instrText>HYPERLINK "mailto:{MAIL}"</w:instrText></w:r></w:p></w:x>'),
+    "alias": ("word/footnotes.xml", f'<w:x {W_NS}><w:sdt><w:sdtPr><w:alias w:val="{MAIL}"/><w:tag w:val="{MAIL}"/></w:sdtPr></w:sdt></w:x>'),
+    "odd name": ("word/mystyles.xml", f"<w:x {W_NS}><w:p><w:r><w:t>{MAIL}</w:t></w:r></w:p></w:x>"),
+}
+REFUSED_PARTS = {
+    "simple field": ("word/footnotes.xml", f'<w:x {W_NS}><w:fldSimple w:instr="mailto:{MAIL}"/></w:x>'),
+    "style": ("word/styles.xml", f'<w:x {W_NS}><w:name w:val="{MAIL}"/></w:x>'),
+    "table": ("xl/tables/table1.xml", f'<table {S_NS} name="T" displayName="{MAIL}"/>'),
+    "column": ("xl/tables/table1.xml", f'<table {S_NS} name="T"><tableColumns><tableColumn name="{MAIL}"/></tableColumns></table>'),
+    "link": ("xl/worksheets/sheet2.xml", f'<worksheet {S_NS}><hyperlinks><hyperlink display="{MAIL}" location="S!A1"/></hyperlinks></worksheet>'),
+    "place": ("xl/worksheets/sheet2.xml", f'<worksheet {S_NS}><hyperlinks><hyperlink display="x" location="{MAIL}"/></hyperlinks></worksheet>'),
+    "prompt": ("xl/worksheets/sheet2.xml", f'<worksheet {S_NS}><dataValidations><dataValidation prompt="write to {MAIL}" error="{MAIL}"/></dataValidations></worksheet>'),
+    "stray text": ("xl/worksheets/sheet2.xml", f"<worksheet {S_NS}><extLst>{MAIL}</extLst></worksheet>"),
+}
+
+
+def test_every_part_of_a_package_is_read(spark, tmp_path):
+    """Texts are rewritten or cleared wherever they stand; what can't be changed fails the file."""
+    for name, (part, body) in (SAFE_PARTS | REFUSED_PARTS).items():
+        docx_part = part.startswith("word/")
+        raw = io.BytesIO(docx([["чисто"]]) if docx_part else xlsx(["чисто"]))
+        with zipfile.ZipFile(raw, "a") as z:
+            z.writestr(part, body)
+        (tmp_path / f"{name}.{'docx' if docx_part else 'xlsx'}").write_bytes(raw.getvalue())
+    got = {r.rel_path.rsplit(".", 1)[0]: r for r in packages.anonymize_packages(files.scan(spark, f"file://{tmp_path}"), Rules()).collect()}
+    assert {k for k, r in got.items() if r.error} == set(REFUSED_PARTS) and len(got) == len(SAFE_PARTS) + len(REFUSED_PARTS)
+    for name in SAFE_PARTS:
+        with zipfile.ZipFile(io.BytesIO(got[name].content)) as z:
+            assert [n for n in z.namelist() if MAIL.encode() in z.read(n)] == [], name
+
+
 def test_no_text_is_too_long(spark):
     rows = [("x@" + "a." * 100_000 + "com",), ("7" * 100_000,), ("x" * 1_000_000,), ("+1" + " 22" * 50_000,)]
     out = anonymize_text(spark.createDataFrame(rows, "text string")).collect()

@@ -35,6 +35,11 @@ DESCRIPTIONS = {"descr", "title", "tooltip"}
 #: Headers and footers of sheets (fixed values).
 MARGINS = {"oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter"}
 HIDDEN_NAME = "anonymized"
+#: Parts of these names hold formats only; any other part of the document holds texts.
+FORMATS = {"styles", "stylesWithEffects", "settings", "webSettings", "fontTable", "numbering", "workbook"}
+#: Attributes with texts that can't be changed without harm: names of tables and columns, what a
+#: link shows and where it leads, prompts of cells, instructions of fields.
+NAMES = {"name", "displayName", "display", "location", "prompt", "promptTitle", "error", "errorTitle", "instr", "alt", "ref", "anchor"}
 PICTURE = re.compile(r"(?i)/media/")
 
 
@@ -92,7 +97,8 @@ def close_package(parts: dict[str, bytes]) -> bytes:
 def _texts(kind: str, part: str, root: ElementTree.Element) -> list[list[ElementTree.Element]]:
     """Text elements of a part, grouped as they are read."""
     if kind == "docx" and "/charts/" not in part and "/diagrams/" not in part:
-        return [list(p.iter(f"{W}t")) for p in root.iter(f"{W}p")]
+        # What is shown, what was deleted but tracked, and the instructions of fields, each on its own.
+        return [list(p.iter(f"{W}{tag}")) for p in root.iter(f"{W}p") for tag in ("t", "delText", "instrText", "delInstrText")]
     if kind == "docx" or "/charts/" in part or "/drawings/" in part or "/diagrams/" in part:
         paragraphs = [[t for t in p.iter() if _local(t.tag) == "t"] for p in root.iter() if _local(p.tag) == "p"]
         return paragraphs + [[e] for e in root.iter() if _local(e.tag) in {"v", "f"}]  # what a chart repeats of its cells
@@ -104,15 +110,34 @@ def _texts(kind: str, part: str, root: ElementTree.Element) -> list[list[Element
 
 
 def _is_text_part(kind: str, part: str) -> bool:
-    prefix = "word/" if kind == "docx" else "xl/"
-    return part.startswith(prefix) and part.endswith(".xml") and "/_rels/" not in part and not re.search(r"(styles|settings|fontTable|theme|numbering|workbook)", part)
+    top, _, rest = part.partition("/")
+    folder, _, name = rest.rpartition("/")
+    formats = (folder == "" and name.removesuffix(".xml") in FORMATS) or folder == "theme"
+    return top == ("word" if kind == "docx" else "xl") and part.endswith(".xml") and "_rels" not in folder.split("/") and not formats
+
+
+def _hidden(root: ElementTree.Element, groups: list[list[ElementTree.Element]]) -> list[str]:
+    """Texts of a part that are neither rewritten nor cleared: other nodes, and attributes that may hold words."""
+    seen = {id(e) for g in groups for e in g}
+    out = {e.text.strip() for e in root.iter() if id(e) not in seen and e.text and _local(e.tag) != "v" and re.search(r"[^\W\d_]", e.text)}
+    for e in root.iter():
+        for a, v in e.attrib.items():
+            name = _local(a)
+            if name not in AUTHORS | DESCRIPTIONS and not _is_label(e, name) and (name in NAMES or "@" in v or " " in v.strip()):
+                out.add(v)
+    return sorted(out)
+
+
+def _is_label(e: ElementTree.Element, attribute: str) -> bool:
+    """Whether an attribute labels a content control, and is cleared."""
+    return attribute == "val" and _local(e.tag) in {"alias", "tag", "placeholder"}
 
 
 def unpack(files: DataFrame) -> DataFrame:
     """(rel_path, part, unit, runs, text, sensitive, error) of DOCX and XLSX files.
 
-    ``sensitive`` units (formulas, names of sheets and areas) can't be changed: an
-    entity in one fails the file.
+    ``sensitive`` units (formulas, names of sheets, areas, tables and columns, any other
+    text or attribute that isn't rewritten) can't be changed: an entity in one fails the file.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,10 +155,12 @@ def unpack(files: DataFrame) -> DataFrame:
                             root = ElementTree.fromstring(data)
                             fixed = [e.get("name") or "" for e in root.iter(f"{S}sheet")] + [(e.get("name") or "") + " " + (e.text or "") for e in root.iter(f"{S}definedName")]
                             own += [(rel, part, k, [t], t, True, None) for k, t in enumerate(fixed)]
-                        if not _is_text_part(kind, part):
+                        if not part.endswith(".xml") or not part.startswith(("word/", "xl/")):
                             continue
                         root = ElementTree.fromstring(data)
-                        for k, group in enumerate(_texts(kind, part, root)):
+                        groups = _texts(kind, part, root) if _is_text_part(kind, part) else []
+                        own += [(rel, part, 2_000_000 + k, [t], t, True, None) for k, t in enumerate(_hidden(root, groups))]
+                        for k, group in enumerate(groups):
                             runs = [e.text or "" for e in group]
                             own.append((rel, part, k, runs, "".join(runs), False, None))
                         fixed = [e for e in root.iter() if _local(e.tag) in {"formula1", "formula2"} or e.tag == f"{S}f"]
@@ -192,7 +219,7 @@ def anonymize_packages(files: DataFrame, rules: Rules | None = None) -> DataFram
                         for a in list(e.attrib):
                             if _local(a) in AUTHORS:
                                 e.set(a, HIDDEN_NAME)
-                            elif _local(a) in DESCRIPTIONS:
+                            elif _local(a) in DESCRIPTIONS or _is_label(e, _local(a)):
                                 e.set(a, "")
                     if part.startswith("docProps/"):
                         for e in root.iter():

@@ -282,10 +282,11 @@ _LINES_SQL = """lines AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DE
   CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)), 2) AS DECIMAL(18,2)) AS tax, CASE WHEN l_orderkey % 7 = 0 THEN 0.05 ELSE 0.00 END AS off FROM lineitem)"""
 
 
-@query(f"""WITH {_LINES_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN off > 0 THEN '{purchases.TOTAL_WARNING}' ELSE '' END AS warnings FROM lines""")
+@query(f"""WITH {_LINES_SQL}, c AS (SELECT *, CAST(net * 100 AS BIGINT) AS cents, CAST(quantity AS BIGINT) AS q FROM lines)
+SELECT l_orderkey, l_linenumber, concat_ws('; ', CASE WHEN abs(q * ((2 * cents + q) // (2 * q)) - cents) > 2 THEN '{purchases.PRICE_WARNING}' END, CASE WHEN off > 0 THEN '{purchases.TOTAL_WARNING}' END) AS warnings FROM c""")
 def line_total_warnings(spark, d):
-    none = F.lit(None).cast("decimal(18,2)")
-    w = purchases.item_warnings(none, none, F.col("net"), F.col("tax"), F.col("total"))
+    """Prices are rounded to cents, so many quantities times them miss the amount."""
+    w = purchases.item_warnings(*[F.col(c) for c in ("quantity", "price", "net", "tax", "total")])
     return _lines(spark, d).select("l_orderkey", "l_linenumber", F.array_join(w, "; ").alias("warnings"))
 
 
@@ -359,13 +360,13 @@ def task_ids(spark, d):
     return t(spark, d, "documents").select("doc_id", planning.task_id(path, F.col("text")).alias("task_id"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS receipt_number FROM pages WHERE regexp_matches(url, '/[^/?#%+]+$')""")
+@query("""SELECT page_id, nullif(CASE WHEN regexp_matches(url, '/[^/?#%+]+$') THEN regexp_extract(url, '([^/]*)$', 1) END, '') AS receipt_number FROM pages""")
 def receipt_links(spark, d):
     """Addresses of receipts with the last part of a page's address as number."""
     last = F.regexp_extract("url", "([^/]*)$", 1)
     address = F.concat(F.lit("https://LKNPD.nalog.ru:443/api/v1/receipt/123456789012/"), last, F.lit("/print/"))
-    x = t(spark, d, "pages").where(F.col("url").rlike("/[^/?#%+]+$")).select("page_id", receipt_link(address).alias("r"))
-    return x.where("r is not null").select("page_id", F.col("r.receipt_number").alias("receipt_number"))
+    x = t(spark, d, "pages").select("page_id", receipt_link(address).alias("r"))
+    return x.select("page_id", F.col("r.receipt_number").alias("receipt_number"))
 
 
 def _orders(spark, d):

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from veilmark.operators import readings
 from veilmark.operators.anonymize import anonymize_text
-from veilmark.operators.headings import best_heading
+from veilmark.operators.headings import Heading, Words, best_heading, fuzzy_heading_end
 from veilmark.operators.rules import Rules
 from veilmark.plans import paths
 
@@ -39,6 +43,49 @@ def test_fuzzy_headings(spark):
     assert a.masked.endswith("сторон\n█████") and a.entity_count == 1 and b.masked is None
 
 
+def plain_heading(text, headings):
+    """The best window by comparing each with each heading."""
+    words = [(m.start(), m.end(), m.group().casefold().replace("ё", "е")) for m in re.finditer(r"[^\W_]+", text)]
+    best = None
+    for h in headings:
+        aim = [m.group().casefold().replace("ё", "е") for m in re.finditer(r"[^\W_]+", h)]
+        for size in range(max(1, len(aim) - 1), len(aim) + 2) if aim else []:
+            for i in range(len(words) - size + 1):
+                part = [w for _, _, w in words[i : i + size]]
+                score = 1.0 if part == aim else 0 if len(aim) < 3 else SequenceMatcher(None, " ".join(part), " ".join(aim)).ratio()
+                if score >= 0.84:
+                    best = max(best or (0, 0, 0), (score, -words[i][0], words[i + size - 1][1]))
+    return best and (best[0], -best[1], best[2])
+
+
+def test_bounded_headings_equal_plain_scoring():
+    rng = random.Random(8)
+    letters = "абвге ё-.x1"
+    for _ in range(400):
+        heading = "".join(rng.choice(letters) for _ in range(rng.randint(0, 16)))
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        spoilt = "".join(c if rng.random() > 0.1 else rng.choice(letters) for c in heading)
+        text += rng.choice(["", " " + spoilt + " ", " " + heading + "\n"]) + text[::-1]
+        other = text[3:12]
+        assert best_heading(text, heading, other) == plain_heading(text, [heading, other]), (heading, text)
+
+
+def test_few_windows_of_documents_are_scored(spark):
+    """Over all documents: the plain result, and below one per cent of windows compared in full."""
+    headings = ("Licensed under the Apache License", "GNU General Public License", "9. Реквизиты и подписи сторон")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", fuzzy_heading_end(F.col("text"), headings).alias("end")).collect()
+    every = scored = 0
+    for r in docs:
+        words = Words(r.text)
+        for h in map(Heading, headings):
+            every += sum(max(0, len(words.words) - n + 1) for n in h.sizes)
+            scored += sum(len(h.likely(words, n)) for n in h.sizes)
+    assert scored < 0.01 * every
+    for r in docs[::20]:
+        found = plain_heading(r.text, headings)
+        assert r.end == (found and found[2])
+
+
 def test_paths(tmp_path):
     (tmp_path / "f").write_text("x")
     assert paths.path_issues("", " ") == ["source_empty", "output_empty"]

@@ -1,43 +1,93 @@
-"""Headings found in spite of reading errors."""
+"""Headings found in spite of reading errors.
+
+A window of words is like a heading if twice the characters that a longest-match comparison
+pairs, over the characters of both, reaches the least similarity.  That can't exceed what the
+two have in common as bags of characters.  So the bags of all windows of a text are compared
+first: the count of each of the heading's characters up to each word is a running sum,
+a window's count the difference of two, and a few array operations give the bound of every
+window.  Only windows whose bound reaches the least similarity are compared in full.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Headings of fewer words are matched exactly; the least similarity of others (fixed values).
 FUZZY_WORDS, SIMILARITY = 3, 0.84
+_WORD = re.compile(r"[^\W_]+")
 
 
-def best_heading(text: str, heading: str) -> tuple[float, int, int] | None:
-    """(score, start, end) of the window of words most like the heading."""
-    fold = lambda s: re.sub(r"[\W_]", "", s.casefold().replace("ё", "е"))
-    words = [fold(w) for w in re.findall(r"[^\W_]+", heading)]
-    places = [(m.start(), m.end(), fold(m.group())) for m in re.finditer(r"[^\W_]+", text)]
-    n, target, best = len(words), " ".join(words), None
-    sizes = [n] if n < FUZZY_WORDS else [n, n - 1, n + 1]
-    for size in sizes:
-        for i in range(len(places) - size + 1):
-            part = places[i : i + size]
-            shown = " ".join(p[2] for p in part)
-            if shown == target:
-                score = 1.0
-            elif n < FUZZY_WORDS:
-                continue
-            else:
-                match = SequenceMatcher(None, shown, target, autojunk=False)
-                if match.real_quick_ratio() < SIMILARITY or match.quick_ratio() < SIMILARITY:
-                    continue
-                score = match.ratio()
-                if score < SIMILARITY:
+def folded(word: str) -> str:
+    """A word's letters and digits with case and ё folded."""
+    return "".join(filter(str.isalnum, word.casefold().replace("ё", "е")))
+
+
+class Words:
+    """The words of a text, joined by blanks, and where they stand."""
+
+    def __init__(self, text: str) -> None:
+        found = [(m.start(), m.end(), w) for m in _WORD.finditer(text) if (w := folded(m.group()))]
+        self.starts, self.ends, self.words = zip(*found, strict=True) if found else ((), (), ())
+        self.line = " ".join(self.words)
+        self.at = np.cumsum([0, *[len(w) + 1 for w in self.words]])  # of each word in the line
+        self.codes = np.frombuffer(self.line.encode("utf-32-le"), dtype=np.uint32)
+
+    def window(self, i: int, size: int) -> str:
+        return self.line[self.at[i] : self.at[i + size] - 1]
+
+
+class Heading:
+    """A heading's words and its bag of characters."""
+
+    def __init__(self, heading: str) -> None:
+        self.words = [w for m in _WORD.finditer(heading) if (w := folded(m.group()))]
+        self.target = " ".join(self.words)
+        n = len(self.words)
+        self.sizes = [n] if n < FUZZY_WORDS else [n - 1, n, n + 1]
+        self.bag = Counter(self.target)
+
+    def likely(self, text: Words, size: int) -> np.ndarray:
+        """First words of the windows of ``size`` words whose bound reaches the least similarity."""
+        n = len(text.words) - size + 1
+        if n <= 0 or not self.words:
+            return np.empty(0, dtype=np.int64)
+        first, last = text.at[:n], text.at[size : size + n] - 1
+        common = np.zeros(n, dtype=np.int64)
+        for ch, count in self.bag.items():
+            upto = np.append(0, np.cumsum(text.codes == ord(ch)))
+            common += np.minimum(upto[last] - upto[first], count)
+        # Rounded up a little, so that no window is lost.
+        return np.flatnonzero(2.0 * common >= (SIMILARITY - 1e-9) * (last - first + len(self.target)))
+
+    def matches(self, text: Words) -> Iterator[tuple[float, int, int]]:
+        """(similarity, -start, end) of the windows that are like the heading."""
+        compare = SequenceMatcher(None, "", self.target) if len(self.words) >= FUZZY_WORDS else None
+        for size in self.sizes:
+            for i in self.likely(text, size).tolist():
+                if list(text.words[i : i + size]) == self.words:
+                    score = 1.0
+                elif compare is None:
                     continue
-            found = (score, -part[0][0], part[-1][1])
-            best = max(best, found) if best else found
-    return (best[0], -best[1], best[2]) if best else None
+                else:
+                    compare.set_seq1(text.window(i, size))
+                    score = compare.ratio()
+                if score >= SIMILARITY:
+                    yield score, -text.starts[i], text.ends[i + size - 1]
+
+
+def best_heading(text: str, *headings: str) -> tuple[float, int, int] | None:
+    """(score, start, end) of the window most like a heading: the first, then the longer one of equals."""
+    words = Words(text)
+    found = max((m for h in headings for m in Heading(h).matches(words)), default=None)
+    return (found[0], -found[1], found[2]) if found else None
 
 
 def fuzzy_heading_end(text: Column, headings: tuple[str, ...]) -> Column:
@@ -45,10 +95,12 @@ def fuzzy_heading_end(text: Column, headings: tuple[str, ...]) -> Column:
 
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
+        own = [Heading(h) for h in headings]
         out = []
         for t in texts:
-            hits = [h for h in (best_heading(t, x) for x in headings) if h] if isinstance(t, str) else []
-            out.append(max(hits, key=lambda h: (h[0], -h[1], h[2]))[2] if hits else None)
+            words = Words(t) if isinstance(t, str) else None
+            found = max((m for h in own for m in h.matches(words)), default=None) if words else None
+            out.append(found[2] if found else None)
         return pd.Series(out, dtype="Int64")
 
     return run(text)

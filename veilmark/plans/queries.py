@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import dates, money, recognizers, spans, text
 from veilmark.operators import anonymize, invoices, layout, literals, ordered, planning, purchases, registry, rules
+from veilmark.operators.headings import fuzzy_heading_end
 from veilmark.sources.files import receipt_link
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,6 +221,13 @@ def heading_mask(spark, d):
     return anonymize.anonymize_text(t(spark, d, "documents"), _HEADING).select("doc_id", "masked")
 
 
+@query()
+def fuzzy_headings(spark, d):
+    """Where a heading ends in whole documents, in spite of errors; compared with plain scoring in the tests."""
+    end = fuzzy_heading_end(F.col("text"), ("Licensed under the Apache License", "GNU General Public License"))
+    return t(spark, d, "documents").select("doc_id", end.alias("heading_end"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn > first THEN regexp_replace(text, '\\S', '█', 'g') ELSE text END AS masked, coalesce(turn > first, false) AS fully_redacted
 FROM conversations LEFT JOIN (SELECT conv_id, min(turn) AS first FROM conversations WHERE contains(text, 'the') GROUP BY 1) USING (conv_id)""")
 def later_page_redaction(spark, d):

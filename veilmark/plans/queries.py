@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import dates, money, recognizers, spans, text
-from veilmark.operators import anonymize, invoices, layout, literals, ordered, planning, purchases, registry, rules
+from veilmark.operators import anonymize, invoices, layout, literals, ordered, planning, purchases, registry, rules, settling
 from veilmark.operators.headings import fuzzy_heading_end
 from veilmark.sources.files import receipt_link
 
@@ -255,6 +255,18 @@ def best_variant(spark, d):
     return layout.best_text(x, ["doc_id"]).select("doc_id", "variant", F.col("confidence").cast("double").alias("confidence"))
 
 
+@query("""WITH v AS (SELECT doc_id, turn, (doc_id * turn + length(text)) % 5 = 0 AS complete, length(text) * turn % 7 AS score FROM documents, (VALUES (1), (2), (3), (4)) v(turn)),
+m AS (SELECT doc_id, min(turn) FILTER (complete) AS first FROM v GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY complete DESC, score DESC, turn) AS place FROM v JOIN m USING (doc_id) WHERE first IS NULL OR turn <= first)
+SELECT doc_id, CAST(turn AS INTEGER) AS turn, complete, CAST(coalesce(first, 4) AS BIGINT) AS readings FROM r WHERE place = 1""")
+def settled_readings(spark, d):
+    """Four turns of readings; what one settles the next ones leave out."""
+    def read(pages, turn):
+        return pages.select("doc_id", ((F.col("doc_id") * turn + F.length("text")) % 5 == 0).alias("full"), (F.length("text") * turn % 7).alias("points"))
+
+    out = settling.settle(t(spark, d, "documents").select("doc_id", "text"), ["doc_id"], [1, 2, 3, 4], read, F.col("full"), F.col("points"))
+    return out.select("doc_id", "turn", "complete", "readings")
+
+
 @query("""SELECT o_orderkey, angle FROM (SELECT o_orderkey, angle, row_number() OVER (PARTITION BY o_orderkey ORDER BY (o_orderkey + angle) % 7 DESC, CASE angle WHEN 0 THEN 1 WHEN 90 THEN 2 WHEN 270 THEN 3 ELSE 4 END) AS r
 FROM orders, (VALUES (0), (90), (180), (270)) a(angle)) WHERE r = 1""")
 def best_orientation(spark, d):
@@ -344,6 +356,21 @@ def flat_folder_runs(spark, d):
     return x.select("event_id", "run_no", "attached", F.coalesce("page_number", F.lit(0)).alias("page_number"), "document_number")
 
 
+def _other_as(sql: str) -> str:
+    return _RUNS_SQL.replace("ELSE 'unrecognized' END AS kind", f"{sql} ELSE 'unrecognized' END AS kind")
+
+
+@query(f"""WITH second AS (WITH {_other_as("WHEN event_id % 2 = 0 THEN 'continuation'")} SELECT * FROM x), reached AS (WITH {_other_as("WHEN true THEN 'continuation'")} SELECT * FROM x)
+SELECT s.event_id, CASE WHEN s.event_type IN ('signup', 'purchase', 'view', 'click', 'error') THEN s.kind WHEN s.kind = 'continuation' AND s.head = 'primary' THEN 'continuation' ELSE 'unrecognized' END AS kind,
+  s.kind = 'continuation' AND s.head = 'primary' AS attached, s.event_type NOT IN ('signup', 'purchase', 'view', 'click', 'error') AND r.head = 'primary' AS re_read,
+  CAST(CASE WHEN s.kind = 'continuation' AND s.head = 'primary' THEN s.place WHEN s.kind = 'primary' THEN 1 ELSE 0 END AS INTEGER) AS page_number FROM second s JOIN reached r USING (event_id)""")
+def reread_pages(spark, d):
+    """Unrecognised events behind an open run are read again; those with even numbers turn out to continue it."""
+    pages = _pages(spark, d).select("event_id", "user_id", "kind")
+    out = settling.reread_continuations(pages, ["event_id"], ["user_id"], ["event_id"], lambda p: p.select("event_id", (F.col("event_id") % 2 == 0).alias("is_continuation")))
+    return out.select("event_id", "kind", "attached", "re_read", F.coalesce("page_number", F.lit(0)).alias("page_number"))
+
+
 @query("""SELECT doc_id, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.txt$', '') || '_' || n || '.txt' END AS destination FROM (
   SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS n FROM (SELECT doc_id, source, lang || '.txt' AS name FROM documents))""")
 def collision_names(spark, d):

@@ -95,12 +95,3 @@ def run_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"),
         F.coalesce(F.sum(F.when(~failed, F.col("entity_count"))), F.lit(0)).alias("entities"),
     )
-
-
-def destination_names(files: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """The first file of a name keeps it, others get ``_2``, ``_3`` before the suffix."""
-    place = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(order))
-    stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn(
-        "destination", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), place.cast("string"), suffix))
-    )

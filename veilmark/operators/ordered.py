@@ -74,11 +74,3 @@ def later_flag(pages: DataFrame, file: str, page: str, hit: str, name: str = "af
     """Whether an earlier page of the file had a hit."""
     w = Window.partitionBy(file).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     return pages.withColumn(name, F.coalesce(F.max(F.col(hit).cast("int")).over(w) == 1, F.lit(False)))
-
-
-def best_of(rows: DataFrame, by: list[str], complete: Column, score: Column, order: Column) -> DataFrame:
-    """One row per group: the first complete one, else the best score, the first on ties."""
-    best = F.row_number().over(
-        Window.partitionBy(*by).orderBy(complete.cast("int").desc(), F.when(complete, order).asc_nulls_last(), score.desc(), order)
-    )
-    return rows.withColumn("_best", best).where("_best = 1").drop("_best")

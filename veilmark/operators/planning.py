@@ -27,18 +27,28 @@ def hashed_task_id(rel_path: Column, content_hash: Column) -> Column:
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-def invoice_stem(prefix: str, number: Column, date: Column, page: Column) -> Column:
-    """prefix_number_date with a page suffix from the second page on."""
-    base = F.concat_ws("_", F.lit(prefix), F.coalesce(number, F.lit("unknown")), date)
-    return safe_filename(F.when(page > 1, F.concat_ws("_", base, F.concat(F.lit("page"), page.cast("string")))).otherwise(base))
+#: Words of file names where a value is missing (fixed values).
+MISSING = {"number": "без_номера", "date": "без_даты", "amount": "без_суммы", "name": "без_фио"}
 
 
-def receipt_stem(date: Column, amount: Column, name: Column, number: Column) -> Column:
-    """date_amount_name_number; the name holds no underscores."""
+def generic_stem(kind: Column, number: Column, date: Column, page: Column) -> Column:
+    """type_number_date of a copy, with a page suffix from the second page on."""
     given = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
-    return safe_filename(
-        F.concat_ws("_", given(date, "no-date"), given(amount, "no-amount"), F.replace(given(name, "no-name"), F.lit("_"), F.lit(" ")), given(number, "no-number"))
-    )
+    base = F.concat_ws("_", given(kind, "document"), given(number, "without_number"), F.nullif(date, F.lit("")))
+    return F.when(page > 1, F.concat(base, F.lit("_page_"), page.cast("string"))).otherwise(base)
+
+
+def invoice_stem(number: Column, date: Column, page: Column) -> Column:
+    """The name of an invoice's page: its number and date, then the page's number from the second on."""
+    base = F.concat(F.lit("УПД_"), F.coalesce(F.nullif(number, F.lit("")), F.lit(MISSING["number"])))
+    dated = F.when(F.coalesce(date, F.lit("")) != "", F.concat(base, F.lit("_от_"), date)).otherwise(base)
+    return F.when(page > 1, F.concat(dated, F.lit("_"), page.cast("string"), F.lit("_страница"))).otherwise(dated)
+
+
+def receipt_stem(date: Column, amount: Column, name: Column, number: Column) -> Column:
+    """date_amount_name_number, each made a safe name; the name has no blanks or underscores."""
+    given = lambda c, key: safe_filename(F.coalesce(F.nullif(c, F.lit("")), F.lit(MISSING[key])))
+    return F.concat_ws("_", given(date, "date"), given(amount, "amount"), F.replace(given(name, "name"), F.lit("_"), F.lit("")), given(number, "number"))
 
 
 def _split(name: Column) -> tuple[Column, Column]:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.functions import dates
+from veilmark.functions import dates, recognizers
+from veilmark.operators import planning, readings
 from veilmark.operators.invoices import SUSPICIOUS_ENDS, extract_invoices
 from veilmark.operators.purchases import NO_ITEMS, PRICE_WARNING, TOTAL_WARNING, extract_items, extract_purchases
 from veilmark.operators.receipts import extract_receipts
@@ -197,3 +198,97 @@ def purchase_items(spark, d):
     """The lines of these documents' tables, with the warnings of their arithmetic."""
     items, _ = extract_items(purchase_sources(spark, d))
     return items.select("rel_path", "line_number", "name", F.coalesce("unit", F.lit("-")).alias("unit"), "quantity", "amount_without_tax", "total_amount", F.array_join("warnings", "|").alias("warnings"))
+
+
+def _digits(key: Column, size: int, first: str = "") -> Column:
+    return F.concat(F.lit(first), F.lpad((key % 10**size).cast("string"), size, "0"))
+
+
+def _entities(k: Column) -> dict[str, Column]:
+    """A value of each kind of entity, by a key."""
+    return {
+        "RU_ORGANIZATION": _text("ООО «Ромашка ", k.cast("string"), "»"), "PERSON": _text("Директор: ", _pick(SURNAMES, k), " ", _pick(NAMES, k), " ", _pick(PATRONYMICS, k)),
+        "RU_INN": _digits(k, 8, "77"), "RU_KPP": _text(_digits(k, 4), "01123"), "RU_OGRN": _digits(k, 12, "1"), "RU_SNILS": _digits(k, 2, "112-233-445 "),
+        "RU_PASSPORT": _digits(k, 6, "45 12 "), "RU_BANK_ACCOUNT": _digits(k, 12, "40702810"), "RU_BIK": _digits(k, 5, "0445"), "RU_PHONE_NUMBER": _digits(k, 2, "+7 (495) 123-45-"),
+        "EMAIL_ADDRESS": _text("u", k.cast("string"), "@mail.example.com"), "IP_ADDRESS": _text("10.0.", (k % 250).cast("string"), ".7"), "VEHICLE_REGISTRATION": _text(_digits(k, 3, "А"), "ВС77"),
+        "VIN": _digits(k, 8, "WVWZZZ1KZ"), "DOCUMENT_NUMBER": _text("договор № АБ-", k.cast("string")), "INTERNATIONAL_PHONE_NUMBER": _digits(k, 4, "+44 20 7946 "),
+    }
+
+
+def _sql_digits(size: int, first: str = "") -> str:
+    return f"'{first}' || lpad(CAST(k % {10**size} AS VARCHAR), {size}, '0')"
+
+
+_ENTITY_SQL = {
+    "RU_ORGANIZATION": "'ООО «Ромашка ' || k || '»'", "PERSON": f"'Директор: ' || {_sql_pick(SURNAMES, 'k')} || ' ' || {_sql_pick(NAMES, 'k')} || ' ' || {_sql_pick(PATRONYMICS, 'k')}",
+    "RU_INN": _sql_digits(8, "77"), "RU_KPP": _sql_digits(4) + " || '01123'", "RU_OGRN": _sql_digits(12, "1"), "RU_SNILS": _sql_digits(2, "112-233-445 "),
+    "RU_PASSPORT": _sql_digits(6, "45 12 "), "RU_BANK_ACCOUNT": _sql_digits(12, "40702810"), "RU_BIK": _sql_digits(5, "0445"), "RU_PHONE_NUMBER": _sql_digits(2, "+7 (495) 123-45-"),
+    "EMAIL_ADDRESS": "'u' || k || '@mail.example.com'", "IP_ADDRESS": "'10.0.' || k % 250 || '.7'", "VEHICLE_REGISTRATION": _sql_digits(3, "А") + " || 'ВС77'",
+    "VIN": _sql_digits(8, "WVWZZZ1KZ"), "DOCUMENT_NUMBER": "'договор № АБ-' || k", "INTERNATIONAL_PHONE_NUMBER": _sql_digits(4, "+44 20 7946 "),
+}
+
+
+@query("WITH c AS (SELECT c_custkey AS k FROM customer) " + " UNION ALL ".join(f"SELECT k, '{kind}' AS kind, {value} AS found, {r.score} AS score FROM c" for (kind, value), r in ((i, recognizers.BY_KIND[i[0]]) for i in _ENTITY_SQL.items())))
+def recognized_entities(spark, d):
+    """An entity of each kind in a text for each customer is found by its recognizer."""
+    k = F.col("k")
+    x = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    own = [F.struct(F.lit(kind).alias("kind"), _text("до ", value, ", конец").alias("text")) for kind, value in _entities(k).items()]
+    x = stash(x.select("k", F.inline(F.array(*own))), "entity-texts")
+    found = F.coalesce(*[F.when(F.col("kind") == kind, recognizers.recognize(F.col("text"), [kind])) for kind in _ENTITY_SQL])
+    x = x.select("k", "kind", "text", F.explode(found).alias("s"))
+    return x.select("k", "kind", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"), F.col("s.score").alias("score"))
+
+
+@query("""SELECT o_orderkey, strftime(d, '%d-%m-%Y') AS mixed, strftime(d, '%d-%m-%Y') AS textual, strftime(d, '%d-%m-%Y') AS padded, o_orderkey % 3 = 0 AS of_form
+FROM (SELECT o_orderkey, o_orderdate + INTERVAL 300 MONTH AS d FROM orders)""")
+def dates_of_forms(spark, d):
+    """Dates in scattered lines, as words, in short, and those of a printed form."""
+    day = F.to_date(F.add_months("o_orderdate", 300))
+    part = lambda f: F.date_format(day, f)
+    month = _pick(dates.MONTHS, F.month(day) - 1)
+    value = F.when(F.col("o_orderkey") % 3 == 0, "26-12-2011").otherwise("27-12-2011")
+    return spark.read.parquet(f"{d}/orders.parquet").select(
+        "o_orderkey", dates.mixed_text_date(_text("дата\n", part("d"), "\n", month, "\n", part("yyyy"))).alias("mixed"), dates.purchase_date(_text(part("d"), " ", month, " ", part("yyyy"))).alias("textual"),
+        dates.padded_date(part("d/M/yy")).alias("padded"), dates.template_date(value, F.lit("Приложение к постановлению 1137"), "26-12-2011", ["1137"]).alias("of_form"),
+    )
+
+
+@query("""SELECT o_orderkey, substr(k, 1, 6) AS value, CAST(CASE WHEN n = 1 THEN 10 WHEN n < 5 THEN 100 + n WHEN n = 5 THEN 95 ELSE 20 END AS INTEGER) AS score,
+  CASE WHEN n < 3 OR n > 5 THEN k || '23' ELSE k END AS shorter, CASE WHEN n < 4 OR n > 5 THEN k || '23' ELSE k END AS crop, CASE o_orderkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '1' END AS status
+FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, length(CAST(o_orderkey AS VARCHAR)) AS n FROM orders)""")
+def number_readings(spark, d):
+    """Readings of a number spoilt by its neighbours, and votes on a status."""
+    k, form = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    some = lambda n, v: F.when(form == n, F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    vote = readings.status_vote(some(0, "1 2"), some(1, "2"), F.array().cast("array<string>"), F.when(form == 2, "статус: 1").otherwise("-"))
+    crop = readings.crop_number(F.array(F.concat(k, F.lit("23"))), F.array(k))
+    x = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", readings.digit_score(k).alias("s"), readings.prefer_shorter(F.array(F.concat(k, F.lit("23")), k)).alias("shorter"), crop.alias("crop"), vote.alias("status"))
+    return x.select("o_orderkey", "s.value", "s.score", "shorter", "crop", "status")
+
+
+@query(f"""WITH x AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS k, strftime(o_orderdate, '%d-%m-%Y') AS day, o_orderkey % 3 + 1 AS page, {_sql_pick(SURNAMES, "o_orderkey")} AS name FROM orders)
+SELECT o_orderkey, 'УПД_' || CASE WHEN o_orderkey % 7 = 0 THEN 'без_номера' ELSE k END || '_от_' || day || CASE WHEN page > 1 THEN '_' || page || '_страница' ELSE '' END AS invoice,
+  'act_' || CASE WHEN o_orderkey % 7 = 0 THEN 'without_number' ELSE k END || CASE WHEN o_orderkey % 2 = 0 THEN '_' || day ELSE '' END || CASE WHEN page > 1 THEN '_page_' || page ELSE '' END AS other,
+  day || '_' || CASE WHEN o_orderkey % 5 = 0 THEN 'без_суммы' ELSE k || '.00' END || '_' || name || 'Олег_' || CASE WHEN o_orderkey % 4 = 0 THEN 'без_номера' ELSE 'N' || k END AS receipt,
+  'out/' || o_orderpriority || '/' || o_orderstatus AS folder, o_orderstatus = 'F' AS inside FROM x""")
+def output_names(spark, d):
+    """Stems of copies, folders that mirror the source's, and containment of paths."""
+    key = F.col("o_orderkey")
+    k, day = key.cast("string"), F.date_format("o_orderdate", "dd-MM-yyyy")
+    receipt = planning.receipt_stem(day, F.when(key % 5 != 0, F.concat(k, F.lit(".00"))), F.concat(_pick(SURNAMES, key), F.lit(" Олег")), F.when(key % 4 != 0, F.concat(F.lit("N"), k)))
+    path = F.concat_ws("/", "o_orderpriority", "o_orderstatus", k)
+    return spark.read.parquet(f"{d}/orders.parquet").select(
+        "o_orderkey", planning.invoice_stem(F.when(key % 7 != 0, k), day, key % 3 + 1).alias("invoice"),
+        planning.generic_stem(F.lit("act"), F.when(key % 7 != 0, k), F.when(key % 2 == 0, day), key % 3 + 1).alias("other"), receipt.alias("receipt"), planning.mirrored(path, "out").alias("folder"),
+        planning.contains_path(F.concat(F.col("o_orderpriority"), F.lit("/F/")), path).alias("inside"),
+    )
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS rel_path, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS succeeded, CAST(greatest(doc_id % 11, doc_id % 13) AS BIGINT) AS entity_count, CAST(2 AS BIGINT) AS jobs FROM documents""")
+def dual_output_jobs(spark, d):
+    """Two jobs for each document; a failed one fails the file."""
+    k = F.col("doc_id")
+    job = lambda n, m: F.struct(F.when(k % n == 0, "broken").alias("error"), (k % m).alias("entity_count"))
+    x = spark.read.parquet(f"{d}/documents.parquet").select(k.cast("string").alias("rel_path"), F.inline(F.array(job(7, 11), job(5, 13))))
+    return planning.dual_outputs(x)

@@ -497,6 +497,15 @@ def entity_boxes(spark, d):
     return layout.entity_boxes(w, e, ["doc_id"]).select("doc_id", "left", "top", "right", "bottom")
 
 
+@query(f"""WITH {_WORDS_SQL} SELECT doc_id, idx, CASE WHEN start < 40 AND start + length(text) > 10
+  THEN substr(text, 1, CAST(greatest(10 - start, 0) AS BIGINT)) || repeat('█', CAST(least(40 - start, length(text)) - greatest(10 - start, 0) AS BIGINT)) || substr(text, CAST(least(40 - start, length(text)) AS BIGINT) + 1) ELSE text END AS masked FROM o""")
+def masked_words(spark, d):
+    """Words with their parts in characters 10 to 40 of the page masked."""
+    w = layout.words_with_offsets(_words(spark, d), ["doc_id"])
+    e = t(spark, d, "documents").select("doc_id", spans.span(F.lit(10), F.lit(40), "X", 1.0).alias("s")).select("doc_id", "s.*")
+    return layout.mask_words(w, e, ["doc_id"]).select("doc_id", "idx", "masked")
+
+
 @query("""SELECT x AS lo, CASE WHEN status IS NULL THEN 'all' ELSE status END AS status, n FROM (SELECT o_orderpriority AS x, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)) WHERE x IS NOT NULL""")
 def type_status_rollup(spark, d):
     """Counts by type and status with subtotals."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import random
 import uuid
 import zipfile
+from statistics import median
 from xml.etree import ElementTree
 
 import pytest
@@ -246,6 +248,30 @@ def test_every_part_of_a_package_is_read(spark, tmp_path):
             assert [n for n in z.namelist() if MAIL.encode() in z.read(n)] == [], name
 
 
+def test_median_lines_equal_a_loop(spark):
+    """Words with any centres: the nearest line by median, the first of equals, a new one beyond the tolerance."""
+    rng = random.Random(7)
+    rows = [(p, i, rng.choice(["a", "b c", " "]), rng.randint(0, 90), rng.randint(0, 60), 5, rng.choice([4, 8, 8, 20])) for p in range(6) for i in range(rng.randint(0, 60))]
+    df = spark.createDataFrame(rows, "p int, idx int, text string, left int, top int, width int, height int")
+    got = {}
+    for r in layout.lines_by_medians(df, ["p"]).orderBy("p", "line_no").collect():
+        got.setdefault(r.p, []).append((r.top, r.left, r.right, r.bottom, r.text))
+    for p in range(6):
+        lines = []
+        for w in sorted((r for r in rows if r[0] == p and r[2].strip()), key=lambda r: (r[4], r[3], r[1])):
+            centre, best, near = w[4] + w[6] / 2, None, None
+            for line in lines:
+                d = abs(centre - median(x[4] + x[6] / 2 for x in line))
+                if d <= max(5.0, median(x[6] for x in line) * 0.65, w[6] * 0.65) and (near is None or d < near):
+                    best, near = line, d
+            if best is None:
+                lines.append([w])
+            else:
+                best.append(w)
+        want = [(min(x[4] for x in line), min(x[3] for x in line), max(x[3] + 5 for x in line), max(x[4] + x[6] for x in line), " ".join(x[2] for x in sorted(line, key=lambda x: (x[3], x[1])))) for line in lines]
+        assert sorted(got.get(p, [])) == sorted(want) and [g[:2] for g in got.get(p, [])] == sorted(w[:2] for w in want)
+
+
 def test_no_text_is_too_long(spark):
     rows = [("x@" + "a." * 100_000 + "com",), ("7" * 100_000,), ("x" * 1_000_000,), ("+1" + " 22" * 50_000,)]
     out = anonymize_text(spark.createDataFrame(rows, "text string")).collect()

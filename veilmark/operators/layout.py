@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,6 +63,67 @@ def lines_by_geometry(words: DataFrame, page: list[str], factor: float = 0.65, f
     return words.select(*page, "idx", "text", "left", "top", "height").groupBy(*page).applyInPandas(run, f"{kinds}, line_no int, text string")
 
 
+def upright(words: DataFrame) -> DataFrame:
+    """Boxes in the upright layout where a provider gives these (``layout_left`` and so on), else as they are."""
+    names = [c for c in ("left", "top", "width", "height") if f"layout_{c}" in words.columns]
+    return words.withColumns({c: F.coalesce(f"layout_{c}", c) for c in names})
+
+
+class MedianLines:
+    """Lines whose place is the median centre of their words; each keeps its values sorted."""
+
+    def __init__(self, factor: float, floor: float) -> None:
+        self.factor, self.floor = factor, floor
+        self.words: list[list[int]] = []
+        self.sorted: list[tuple[list[float], list[float]]] = []
+        self.centre, self.room = np.empty(16), np.empty(16)
+
+    def add(self, word: int, centre: float, height: float) -> None:
+        """Puts a word into the nearest line within its tolerance, the first of equals, or a new one."""
+        n = len(self.words)
+        far = np.abs(self.centre[:n] - centre)
+        far[far > np.maximum(self.room[:n], max(self.floor, height * self.factor))] = np.inf
+        k = int(far.argmin()) if n else 0
+        if not n or far[k] == np.inf:
+            k = n
+            self.words.append([])
+            self.sorted.append(([], []))
+            if n == len(self.centre):
+                self.centre, self.room = np.resize(self.centre, 2 * n), np.resize(self.room, 2 * n)
+        self.words[k].append(word)
+        for held, value in zip(self.sorted[k], (centre, height), strict=True):
+            insort(held, value)
+        middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+        self.centre[k], self.room[k] = middle(self.sorted[k][0]), middle(self.sorted[k][1]) * self.factor
+
+
+def lines_by_medians(words: DataFrame, page: list[str], factor: float = 0.65, floor: float = 5.0) -> DataFrame:
+    """Lines by position for text that is laid out anew: a word joins the nearest line by its median centre.
+
+    Words (idx, text, left, top, width, height; page numbers must not be null) come from the
+    top and left; blank ones are left out.  Rows: page, line_no (from the top and left), left,
+    top, right, bottom, text.  The pass depends on its own results, so a page runs in one task.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["top", "left", "idx"], kind="stable").reset_index(drop=True)
+        lines = MedianLines(factor, floor)
+        left, top, width, height, idx, text = (rows[c].tolist() for c in ("left", "top", "width", "height", "idx", "text"))
+        for k in range(len(rows)):
+            lines.add(k, top[k] + height[k] / 2, float(height[k]))
+        out = []
+        for own in lines.words:
+            box = min(left[k] for k in own), min(top[k] for k in own), max(left[k] + width[k] for k in own), max(top[k] + height[k] for k in own)
+            out.append((*box, " ".join(text[k] for k in sorted(own, key=lambda k: (left[k], idx[k])))))
+        out.sort(key=lambda x: (x[1], x[0]))
+        keys = [rows[c].iloc[0] for c in page]
+        return pd.DataFrame([(*keys, n, *x) for n, x in enumerate(out, 1)], columns=[*page, "line_no", "left", "top", "right", "bottom", "text"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema if f.name in page)
+    seen = words.where(F.trim("text") != "").select(*page, "idx", "text", "left", "top", "width", "height")
+    return seen.groupBy(*page).applyInPandas(run, f"{kinds}, line_no int, left int, top int, right int, bottom int, text string")
+
+
 def entity_boxes(words: DataFrame, entities: DataFrame, page: list[str], padding: int = 3) -> DataFrame:
     """A padded box around the words that an entity overlaps, within the page.
 

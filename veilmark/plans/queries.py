@@ -488,6 +488,14 @@ def line_grouping_geometry(spark, d):
     return layout.lines_by_geometry(_words(spark, d), ["doc_id"])
 
 
+@query(f"""WITH {_WORDS_SQL} SELECT doc_id, CAST(idx // 8 + 1 AS INTEGER) AS line_no, string_agg(text, ' ' ORDER BY idx) AS text, CAST(min(30 * (idx // 8) + (idx * 7 + doc_id) % 5) AS INTEGER) AS top FROM w GROUP BY doc_id, idx // 8""")
+def line_grouping_medians(spark, d):
+    """Lines of words that stand up to four places too low, by their median centres."""
+    jitter = ((F.col("idx") * 7 + F.col("doc_id")) % 5).cast("int")
+    words = _words(spark, d).withColumns({"layout_top": F.col("top") + jitter, "top": F.lit(0)})
+    return layout.lines_by_medians(layout.upright(words), ["doc_id"]).select("doc_id", "line_no", "text", "top")
+
+
 @query(f"""WITH {_WORDS_SQL} SELECT doc_id, greatest(min(idx % 8) * 100 - 3, 0) AS "left", greatest(min(idx // 8) * 30 - 3, 0) AS top, least(max(idx % 8) * 100 + 93, 800) AS "right", max(idx // 8) * 30 + 23 AS bottom
 FROM o WHERE start < 40 AND start + length(text) > 10 GROUP BY doc_id""")
 def entity_boxes(spark, d):

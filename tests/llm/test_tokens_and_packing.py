@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import json
 import random
 import types
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -29,6 +31,24 @@ def test_encoder_equals_library(name, drops):
     assert len(enc.encode([])[0]) == 0
 
 
+@pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_other_cuts_go_to_the_library(tmp_path, name, drops):
+    """Known files are cut here; one with another pre-tokenizer or normalizer gets whole texts."""
+    spec = json.loads(Path(vocabulary(name)).read_text())
+    assert Encoder(vocabulary(name), drops).known
+    changed = spec | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}}
+    lowered = spec | {"normalizer": {"type": "Lowercase"}}
+    for k, other in enumerate([changed, lowered]):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(other))
+        tok, enc = Tokenizer.from_file(str(path)), Encoder(str(path), drops)
+        texts = [t for t in ODD if "<|" not in t] + ["One two  THREE"]
+        ids, counts = enc.encode(texts)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        assert not enc.known
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def thue_morse(n):
     return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
 

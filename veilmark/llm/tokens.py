@@ -13,6 +13,7 @@ a worker's memory at any input size.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Sequence
 from itertools import repeat
@@ -48,6 +49,18 @@ _CLASS = np.array(
     dtype=np.uint8,
 )
 _LOWER = np.array([ord(x) if len(x := chr(b).lower()) == 1 and ord(x) < 256 else b for b in range(256)], dtype=np.uint8)
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+#: Normalizer and pre-tokenizer whose cuts are known here, by ``drops_space`` (fixed values).
+_KNOWN = {
+    False: (None, _BYTE_LEVEL | {"use_regex": True}),
+    True: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            _BYTE_LEVEL | {"use_regex": False},
+        ]},
+    ),
+}
 #: Texts with these go to the library: contractions, and blanks beyond the usual.
 _WHOLE = regex.compile("['\x00-\x08\x1c-\x1f\x85\xa0]")
 
@@ -57,7 +70,8 @@ class Encoder:
 
     ``drops_space``: the vocabulary lower-cases and drops white space;
     otherwise it is byte-level and keeps every character.  ``plain``: strings of
-    special tokens in texts are ordinary text.
+    special tokens in texts are ordinary text.  A file with another normalizer or
+    pre-tokenizer than is known here gets whole texts.
     """
 
     def __init__(self, path: str, drops_space: bool, plain: bool = False) -> None:
@@ -65,6 +79,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known = (spec.get("normalizer"), spec.get("pre_tokenizer")) == _KNOWN[drops_space]
         self.model = self.tok.model
         self.tok.encode_special_tokens = plain
         self.special = [] if plain else [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -181,7 +198,7 @@ class Encoder:
                     raw = t.encode("latin-1")
                 except UnicodeEncodeError:
                     raw = None
-                if raw is None or _WHOLE.search(t) or any(s in t for s in self.special):
+                if raw is None or not self.known or _WHOLE.search(t) or any(s in t for s in self.special):
                     whole[k], raw = self.whole(t), b""
                 block.append(raw)
             ids, count, odd = self._block(block)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.shared import crc_bucket, in_batches, table
+from veilmark.llm.shared import crc_bucket, held, in_batches, table
 
 #: Labelled text learnt from: characters a language, and of one document.
 TRAIN_CHARS = 30_000
@@ -176,15 +176,9 @@ class Model:
         return phrases
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _model(texts: dict[str, str]) -> Model:
     key = hashlib.md5(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(texts)
-    return _MODELS[key]
+    return held(("language", key), lambda: Model(texts))
 
 
 def learn(labelled: DataFrame, chars: int = TRAIN_CHARS, doc_chars: int = TRAIN_DOC_CHARS) -> dict[str, str]:

@@ -90,6 +90,22 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives for ``key``, kept for this process's next tasks.
+
+    Workers outlive their stages, so one thing is kept only: a large table of an earlier
+    stage makes room for the next one's.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``PART_BYTES``."""
     if len(batch):

@@ -21,6 +21,7 @@ from itertools import repeat
 import numpy as np
 import regex
 
+from veilmark.llm.shared import held
 from veilmark.llm.texthash import blocks, same_slices, slice_hashes
 
 MEMO_WORDS = 250_000
@@ -220,12 +221,6 @@ def _gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
     return pool[np.repeat(shift, count) + np.arange(int(count.sum()))]
 
 
-_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
-
-
 def encoder(path: str, drops_space: bool, plain: bool = False) -> Encoder:
     """This process's encoder of a vocabulary file."""
-    key = (path, drops_space, plain)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, drops_space, plain)
-    return _ENCODERS[key]
+    return held(("tokens", path, drops_space, plain), lambda: Encoder(path, drops_space, plain))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilmark.functions.spans import let
+
 
 def _bare(c: Column | str) -> Column:
     x = F.col(c) if isinstance(c, str) else c
@@ -13,8 +15,7 @@ def _bare(c: Column | str) -> Column:
 
 def strict_money(c: Column | str) -> Column:
     """Digits with one or two decimals at most, the scale kept; else null."""
-    x = _bare(c)
-    return F.when(x.rlike(r"^[0-9]+(?:\.[0-9]{1,2})?$"), x)
+    return let(_bare(c), lambda x: F.when(x.rlike(r"^[0-9]+(?:\.[0-9]{1,2})?$"), x))
 
 
 def parse_decimal(c: Column | str, first_number: bool = False, scale: int = 6) -> Column:
@@ -36,8 +37,8 @@ def last_three_amounts(text: Column) -> Column:
     """Net, tax and gross: the last three amounts with two decimals of a text."""
     found = F.regexp_extract_all(text, F.lit(r"((?<![0-9,.])[0-9]{1,3}(?:[  ]?[0-9]{3})*,[0-9]{2}(?![0-9]))"), F.lit(1))
     amounts = F.filter(F.transform(found, strict_money), lambda x: x.isNotNull())
-    at = lambda k: F.when(F.size(amounts) >= 3, F.try_element_at(amounts, F.lit(k)))
-    return F.struct(at(-3).alias("net"), at(-2).alias("tax"), at(-1).alias("gross"))
+    at = lambda x, k: F.when(F.size(x) >= 3, F.try_element_at(x, F.lit(k)))
+    return let(amounts, lambda x: F.struct(at(x, -3).alias("net"), at(x, -2).alias("tax"), at(x, -1).alias("gross")))
 
 
 def two_decimals(c: Column | str) -> Column:

@@ -42,6 +42,11 @@ def _sql_pick(values: list[str], key: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST({key} % {len(values)} AS INTEGER) + 1]"
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores: a small table is one piece of a file, but its pages take long to read."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -90,7 +95,8 @@ def receipt_documents(spark, d):
 
 def invoice_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page for each order: an invoice, a continuation, or one whose number was misread."""
-    x = spark.read.parquet(f"{d}/orders.parquet")
+    x = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    x = _spread(x, "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     day = F.to_date(F.add_months("o_orderdate", 300))
     word = F.concat_ws(" ", F.date_format(day, "d"), _pick(dates.MONTHS, F.month(day) - 1), F.date_format(day, "yyyy"), F.lit("г."))

@@ -272,6 +272,33 @@ def test_median_lines_equal_a_loop(spark):
         assert sorted(got.get(p, [])) == sorted(want) and [g[:2] for g in got.get(p, [])] == sorted(w[:2] for w in want)
 
 
+@pytest.mark.parametrize("name", ["lines_by_ids", "lines_by_geometry", "lines_by_medians"])
+def test_lines_of_pages_need_no_shuffle(spark, name):
+    rng = random.Random(5)
+    rows = [(p, i, rng.choice(["a", "bc", "d"]), rng.randint(0, 90), rng.randint(0, 60), 5, rng.choice([4, 8, 8, 20]), rng.choice([1, None]), 1, rng.randint(0, 3)) for p in range(6) for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "p int, idx int, text string, left int, top int, width int, height int, block int, par int, line int")
+    pages = df.groupBy("p").agg(F.collect_list(F.struct(*df.columns[1:])).alias("words")).localCheckpoint()
+    lines = getattr(layout, name)
+    got = lines(pages, ["p"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, lines(df, ["p"]).collect()))
+    if name == "lines_by_geometry":
+        for p in range(6):
+            words, made = sorted((r for r in rows if r[0] == p), key=lambda r: (r[4], r[3], r[1])), []
+            for w in words:
+                centre = w[4] + w[6] / 2
+                near = [x for x in made if abs(sum(v[4] + v[6] / 2 for v in x) / len(x) - centre) <= max(6.0, w[6] * 0.65, max(v[6] for v in x) * 0.65)]
+                (near[-1] if near else made.append([]) or made[-1]).append(w)
+            assert [r.text for r in got.where(F.col("p") == p).orderBy("line_no").collect()] == [" ".join(w[2] for w in sorted(x, key=lambda w: (w[3], w[1]))) for x in made]
+    if name == "lines_by_ids":
+        for p in range(6):
+            made = {}
+            for w in sorted((r for r in rows if r[0] == p), key=lambda r: (r[3], r[1])):
+                made.setdefault(w[7:], []).append(w)
+            want = sorted((min(w[4] for w in x), x[0][3], (k[0] or 0), k[2], " ".join(w[2] for w in x)) for k, x in made.items())
+            assert [(r.top, r.left, r.block or 0, r.line, r.text) for r in got.where(F.col("p") == p).orderBy("line_no").collect()] == want
+
+
 def test_no_text_is_too_long(spark):
     rows = [("x@" + "a." * 100_000 + "com",), ("7" * 100_000,), ("x" * 1_000_000,), ("+1" + " 22" * 50_000,)]
     out = anonymize_text(spark.createDataFrame(rows, "text string")).collect()

@@ -1,14 +1,22 @@
-"""Recognised words on a page: text with offsets, lines, boxes, orientation."""
+"""Recognised words on a page: text with offsets, lines, boxes, orientation.
+
+Lines are found within a page, so words come as an array of each page (a row) where a
+recogniser gives them so, and nothing is shuffled; words that are rows are gathered by page first.
+"""
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.sources.shared import in_arrow
+
 
 def map_box(left: Column, top: Column, width: Column, height: Column, angle: Column, page_w: Column, page_h: Column) -> Column:
     """A box on a page turned clockwise, on the page as it was (its own size)."""
@@ -29,43 +37,191 @@ def words_with_offsets(words: DataFrame, page: list[str]) -> DataFrame:
     return placed.withColumn("end", F.col("start") + F.length("text"))
 
 
+def in_pages(words: DataFrame, page: list[str], fields: list[str]) -> DataFrame:
+    """Pages with their ``words``, an array of ``fields``; pages that are given so stay in their place."""
+    if "words" in words.columns:
+        return words.select(*page, F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in fields])).alias("words"))
+    return words.groupBy(*page).agg(F.collect_list(F.struct(*fields)).alias("words"))
+
+
 def lines_by_ids(words: DataFrame, page: list[str]) -> DataFrame:
-    """Lines by the recogniser's block, paragraph and line, from the top and left."""
-    lines = words.groupBy(*page, "block", "par", "line").agg(
-        F.min("top").alias("top"), F.min("left").alias("left"), F.max(F.col("left") + F.col("width")).alias("right"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "idx", "text"))), lambda w: w["text"]), " ").alias("text"),
-    )
-    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy(*page).orderBy("top", "left", "block", "par", "line")))
+    """Lines by the recogniser's block, paragraph and line, from the top and left.
+
+    ``words``: rows, or pages with an array of that name; rows: page, block, par, line, top, left, right, text, line_no.
+    """
+    ids = ["block", "par", "line"]
+    pages = in_pages(words, page, ["idx", "text", "left", "top", "width", *ids])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for x in (pages.schema, pages.schema["words"].dataType.elementType) for f in x if f.name in [*page, *ids])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            page_no, flat = _flat(b.column(len(page)))
+            if not len(page_no):
+                continue
+            idx, left, top, width = (flat[k].to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
+            own = [pc.rank(x, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) for x in flat[5:]]
+            place = np.lexsort((idx, left, *own[::-1], page_no))
+            at = _begins(page_no[place], *(x[place] for x in own))
+            least = lambda x: np.minimum.reduceat(x[place], at)
+            box = [least(top), least(left), np.maximum.reduceat((left + width)[place], at)]
+            again = np.lexsort((*(x[place][at] for x in own[::-1]), box[1], box[0], page_no[place][at]))
+            of, named = page_no[place][at][again], pa.array(place[at][again])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k).take(pa.array(of)) for k in range(len(page))), *(x.take(named) for x in flat[5:]), *(pa.array(x[again].astype(np.int32)) for x in box),
+                 _joined(flat[1], place, at).take(pa.array(again)), pa.array(_numbers(of))],
+                [*page, *ids, "top", "left", "right", "text", "line_no"],
+            )
+
+    return in_arrow(pages.select(*page, "words"), run, f"{kinds}, top int, left int, right int, text string, line_no int")
+
+
+def _flat(words: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The page of each word in a batch, and the fields of all words."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(words)), sizes), words.flatten().flatten()
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
+
+def _numbers(of: np.ndarray) -> np.ndarray:
+    """Numbers from 1 within runs."""
+    first = _begins(of)
+    return (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) + 1).astype(np.int32)
+
+
+def _joined(text: pa.Array, place: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The texts of words in order, joined by blanks in runs that begin ``at``; nulls are left out."""
+    kept = text.is_valid().to_numpy(zero_copy_only=False)[place]
+    ends = np.append(0, np.cumsum(np.add.reduceat(kept.astype(np.int64), at)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text.take(pa.array(place[kept]))), " ")
+
+
+def line_keys(page_no: np.ndarray, centre: np.ndarray, height: np.ndarray, factor: float, floor: float, made: Callable[[float, float], MeanLines | MedianLines]) -> np.ndarray:
+    """The first word of each word's line; words come in the order in which a page's pass takes them.
+
+    Between centres that are farther apart than any tolerance of the page nothing is decided, so
+    the words on either side are passes of their own.  Those that lie within the least tolerance are one line in
+    any pass; only others take a pass word by word.
+    """
+    n = len(centre)
+    key = np.arange(n)
+    if not n:
+        return key
+    turns = page_no[1:] != page_no[:-1]
+    begins = _begins(page_no)
+    sizes = np.diff(np.append(begins, n))
+    most = np.repeat(np.maximum(floor, np.maximum.reduceat(height, begins) * factor), sizes) * (1 + 1e-9) + 1e-9
+    least = np.repeat(np.maximum(floor, np.minimum.reduceat(height, begins) * factor), sizes) * (1 - 1e-9)
+    by = np.lexsort((centre, page_no))
+    sorted_centre = centre[by]
+    new = np.append(True, turns | (np.diff(sorted_centre) > most[1:]))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], n)
+    key[by] = np.minimum.reduceat(by, starts)[np.cumsum(new) - 1]
+    for g in np.flatnonzero(sorted_centre[ends - 1] - sorted_centre[starts] > least[starts]).tolist():
+        own = np.sort(by[starts[g] : ends[g]])
+        lines = made(factor, floor)
+        for k, a, h in zip(own.tolist(), centre[own].tolist(), height[own].tolist(), strict=True):
+            lines.add(k, a, h)
+        for words in lines.words:
+            key[words] = words[0]
+    return key
+
+
+def _by_place(words: DataFrame, page: list[str], factor: float, floor: float, made: Callable[[float, float], MeanLines | MedianLines]) -> DataFrame:
+    """Rows (page, line_no, left, top, right, bottom, text): lines of ``made``, numbered as they are begun."""
+    pages = in_pages(words, page, ["idx", "text", "left", "top", "width", "height"])
+    if made is MedianLines:
+        pages = pages.withColumn("words", F.filter("words", lambda w: F.trim(w["text"]) != ""))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in page)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            page_no, flat = _flat(b.column(len(page)))
+            if not len(page_no):
+                continue
+            idx, left, top, width, height = (flat[k].to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5))
+            order = np.lexsort((idx, left, top, page_no))  # the pages stay in their order
+            key = line_keys(page_no, (top + height / 2)[order], height[order].astype(float), factor, floor, made)
+            within = np.lexsort((np.arange(len(key)), idx[order], left[order], key))
+            place, key = order[within], key[within]
+            at = _begins(key)
+            low, high = (lambda x: np.minimum.reduceat(x[place], at)), (lambda x: np.maximum.reduceat(x[place], at))
+            text = _joined(flat[1], place, at)
+            of = page_no[place][at]
+            box = [low(left), low(top), high(left + width), high(top + height)]
+            if made is MedianLines:  # from the top and left, else in the order of their first words
+                again = np.lexsort((np.arange(len(of)), box[0], box[1], of))
+                text, box, of = text.take(pa.array(again)), [x[again] for x in box], of[again]
+            columns = [pa.array(x.astype(np.int32)) for x in (_numbers(of), *box)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(of)) for k in range(len(page))), *columns, text], [*page, "line_no", "left", "top", "right", "bottom", "text"])
+
+    return in_arrow(pages.select(*page, "words"), run, f"{kinds}, line_no int, left int, top int, right int, bottom int, text string")
+
+
+class MeanLines:
+    """Lines whose place is the mean centre of their words."""
+
+    def __init__(self, factor: float, floor: float) -> None:
+        self.factor, self.floor, self.widest = factor, floor, 0.0
+        self.words: list[list[int]] = []
+        self.total: list[float] = []
+        self.room: list[float] = []
+        self.centre: list[float] = []
+        self.placed: list[tuple[float, int]] = []
+
+    def _near(self, centre: float, reach: float) -> int:
+        """The last line that is near, or -1; only those around the place are looked at."""
+        if self.words and abs(self.centre[-1] - centre) <= max(reach, self.room[-1]):
+            return len(self.words) - 1
+        far = max(reach, self.widest) * (1 + 1e-9) + 1e-9
+        some = self.placed[bisect_left(self.placed, (centre - far, -1)) : bisect_right(self.placed, (centre + far, len(self.words)))]
+        return max((k for at, k in some if abs(at - centre) <= max(reach, self.room[k])), default=-1)
+
+    def add(self, word: int, centre: float, height: float) -> None:
+        k = self._near(centre, max(self.floor, height * self.factor))
+        if k < 0:
+            k = len(self.words)
+            self.words.append([])
+            self.total.append(0.0)
+            self.room.append(0.0)
+            self.centre.append(centre)
+            self.placed.insert(bisect_left(self.placed, (centre, k)), (centre, k))
+        self.words[k].append(word)
+        self.total[k] += centre
+        self.room[k] = max(self.room[k], height * self.factor)
+        self.widest = max(self.widest, self.room[k])
+        _move(self.placed, self.centre, k, self.total[k] / len(self.words[k]))
+
+
+def _move(placed: list[tuple[float, int]], centre: list[float], k: int, to: float) -> None:
+    """Puts line ``k`` into its new place."""
+    if to != centre[k]:
+        del placed[bisect_left(placed, (centre[k], k))]
+        insort(placed, (to, k))
+        centre[k] = to
 
 
 def lines_by_geometry(words: DataFrame, page: list[str], factor: float = 0.65, floor: float = 6.0) -> DataFrame:
     """Lines by position: a word joins the last line whose mean centre is near.
 
-    The greedy pass depends on its own results, so each page runs in one task.
+    ``words``: rows, or pages with an array of that name.  The greedy pass depends on its own
+    results, so each page runs in one task.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        words: list[list[tuple]] = []
-        total, count, tallest = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
-        for w in rows.sort_values(["top", "left", "idx"]).itertuples():
-            centre, n = w.top + w.height / 2, len(words)
-            room = np.maximum(max(floor, w.height * factor), tallest[:n] * factor)
-            near = np.flatnonzero(np.abs(total[:n] / np.maximum(count[:n], 1) - centre) <= room)
-            k = int(near[-1]) if len(near) else n
-            if k == n:
-                words.append([])
-            words[k].append((w.left, w.idx, w.text))
-            total[k], count[k], tallest[k] = total[k] + centre, count[k] + 1, max(tallest[k], w.height)
-        keys = {k: rows[k].iloc[0] for k in page}
-        return pd.DataFrame([keys | {"line_no": n + 1, "text": " ".join(t for _, _, t in sorted(x))} for n, x in enumerate(words)])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema if f.name in page)
-    return words.select(*page, "idx", "text", "left", "top", "height").groupBy(*page).applyInPandas(run, f"{kinds}, line_no int, text string")
+    return _by_place(words, page, factor, floor, MeanLines).select(*page, "line_no", "text")
 
 
 def upright(words: DataFrame) -> DataFrame:
     """Boxes in the upright layout where a provider gives these (``layout_left`` and so on), else as they are."""
-    names = [c for c in ("left", "top", "width", "height") if f"layout_{c}" in words.columns]
+    sides = ("left", "top", "width", "height")
+    if "words" in words.columns:
+        own = words.schema["words"].dataType.elementType.names
+        at = lambda w, c: F.coalesce(w[f"layout_{c}"], w[c]) if c in sides and f"layout_{c}" in own else w[c]
+        return words.withColumn("words", F.transform("words", lambda w: F.struct(*[at(w, c).alias(c) for c in own])))
+    names = [c for c in sides if f"layout_{c}" in words.columns]
     return words.withColumns({c: F.coalesce(f"layout_{c}", c) for c in names})
 
 
@@ -73,55 +229,56 @@ class MedianLines:
     """Lines whose place is the median centre of their words; each keeps its values sorted."""
 
     def __init__(self, factor: float, floor: float) -> None:
-        self.factor, self.floor = factor, floor
+        self.factor, self.floor, self.widest = factor, floor, 0.0
         self.words: list[list[int]] = []
         self.sorted: list[tuple[list[float], list[float]]] = []
-        self.centre, self.room = np.empty(16), np.empty(16)
+        self.centre: list[float] = []
+        self.room: list[float] = []
+        self.placed: list[tuple[float, int]] = []
+
+    def _near(self, centre: float, reach: float) -> int:
+        """The nearest line within its tolerance, the first of equals, or -1; lines are tried from the place outwards."""
+        far, placed, room = max(reach, self.widest), self.placed, self.room
+        best, found = far, -1
+        begin = bisect_left(placed, (centre, -1))
+        for way in (range(begin, len(placed)), range(begin - 1, -1, -1)):
+            for j in way:
+                at, k = placed[j]
+                d = abs(at - centre)
+                if d > best:
+                    break
+                if d <= max(reach, room[k]) and (d < best or found < 0 or k < found):
+                    best, found = d, k
+        return found
 
     def add(self, word: int, centre: float, height: float) -> None:
         """Puts a word into the nearest line within its tolerance, the first of equals, or a new one."""
-        n = len(self.words)
-        far = np.abs(self.centre[:n] - centre)
-        far[far > np.maximum(self.room[:n], max(self.floor, height * self.factor))] = np.inf
-        k = int(far.argmin()) if n else 0
-        if not n or far[k] == np.inf:
-            k = n
+        k = self._near(centre, max(self.floor, height * self.factor))
+        if k < 0:
+            k = len(self.words)
             self.words.append([])
             self.sorted.append(([], []))
-            if n == len(self.centre):
-                self.centre, self.room = np.resize(self.centre, 2 * n), np.resize(self.room, 2 * n)
+            self.room.append(0.0)
+            self.centre.append(centre)
+            insort(self.placed, (centre, k))
         self.words[k].append(word)
         for held, value in zip(self.sorted[k], (centre, height), strict=True):
             insort(held, value)
         middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
-        self.centre[k], self.room[k] = middle(self.sorted[k][0]), middle(self.sorted[k][1]) * self.factor
+        self.room[k] = middle(self.sorted[k][1]) * self.factor
+        self.widest = max(self.widest, self.room[k])
+        _move(self.placed, self.centre, k, middle(self.sorted[k][0]))
 
 
 def lines_by_medians(words: DataFrame, page: list[str], factor: float = 0.65, floor: float = 5.0) -> DataFrame:
     """Lines by position for text that is laid out anew: a word joins the nearest line by its median centre.
 
-    Words (idx, text, left, top, width, height; page numbers must not be null) come from the
-    top and left; blank ones are left out.  Rows: page, line_no (from the top and left), left,
-    top, right, bottom, text.  The pass depends on its own results, so a page runs in one task.
+    Words (idx, text, left, top, width, height; page numbers must not be null; rows, or pages with
+    an array ``words``) come from the top and left; blank ones are left out.  Rows: page, line_no
+    (from the top and left), left, top, right, bottom, text.  The pass depends on its own results,
+    so a page runs in one task.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["top", "left", "idx"], kind="stable").reset_index(drop=True)
-        lines = MedianLines(factor, floor)
-        left, top, width, height, idx, text = (rows[c].tolist() for c in ("left", "top", "width", "height", "idx", "text"))
-        for k in range(len(rows)):
-            lines.add(k, top[k] + height[k] / 2, float(height[k]))
-        out = []
-        for own in lines.words:
-            box = min(left[k] for k in own), min(top[k] for k in own), max(left[k] + width[k] for k in own), max(top[k] + height[k] for k in own)
-            out.append((*box, " ".join(text[k] for k in sorted(own, key=lambda k: (left[k], idx[k])))))
-        out.sort(key=lambda x: (x[1], x[0]))
-        keys = [rows[c].iloc[0] for c in page]
-        return pd.DataFrame([(*keys, n, *x) for n, x in enumerate(out, 1)], columns=[*page, "line_no", "left", "top", "right", "bottom", "text"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema if f.name in page)
-    seen = words.where(F.trim("text") != "").select(*page, "idx", "text", "left", "top", "width", "height")
-    return seen.groupBy(*page).applyInPandas(run, f"{kinds}, line_no int, left int, top int, right int, bottom int, text string")
+    return _by_place(words, page, factor, floor, MedianLines)
 
 
 def entity_boxes(words: DataFrame, entities: DataFrame, page: list[str], padding: int = 3) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilmark.functions import dates, money, text
 from veilmark.operators import invoices, layout, ordered, planning, registry
 from veilmark.operators.rules import Rules
-from veilmark.plans import api
+from veilmark.plans import api, documents
 from veilmark.operators.anonymize import anonymize_text
 from veilmark.sources import files, packages, sinks
 
@@ -326,3 +326,8 @@ def test_no_expression_of_an_invoice_holds_copies_of_another(spark):
     pages = spark.createDataFrame([("a", "Счет-фактура № 12 от 2 мая 2023 г.", "", {}, "1")], "rel_path string, text string, header_text string, targeted map<string,string>, status string")
     plan = invoices.extract_invoices(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") + plan.count("RLIKE") < 300
+
+
+@pytest.mark.parametrize("pages", [documents.receipt_pages, documents.invoice_pages])
+def test_pages_of_a_small_table_are_read_by_many_tasks(spark, pages):
+    assert pages(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 4

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilmark.functions.spans import let
+
 #: Latin letters that look like Cyrillic ones, and those (fixed values).
 LOOK_ALIKE_LATIN = "abcehkmoptxy"
 LOOK_ALIKE_CYRILLIC = "авсенкмортху"
@@ -88,8 +90,8 @@ def inn(c: Column | str) -> Column:
 def receipt_number(c: Column | str, stop_words: list[str]) -> Column:
     """A receipt's number without blanks and edge punctuation, if it looks like one."""
     bare = F.regexp_replace(F.regexp_replace(_col(c), r"(?U)\s+", ""), r"^[\p{Punct}№]+|[\p{Punct}№]+$", "")
-    good = (F.length(bare) >= 3) & bare.rlike("[0-9]") & ~F.lower(bare).isin(*stop_words)
-    return F.when(good, bare)
+    good = lambda x: (F.length(x) >= 3) & x.rlike("[0-9]") & ~F.lower(x).isin(*stop_words)
+    return let(bare, lambda x: F.when(good(x), x))
 
 
 def unit(c: Column | str) -> Column:

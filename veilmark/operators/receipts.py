@@ -51,8 +51,14 @@ def name_words(line: Column) -> Column:
     bare = F.regexp_replace(line, r"^[\s:;|—–-]+|[\s:;|—–-]+$", "")
     bare = F.regexp_replace(bare, _NAME_LABEL, "")
     bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[()\[\]{}<>]", " "), " +", " "))
-    words = F.split(bare, " ")
-    low = F.lower(bare)
+    return spans.let(bare, _name_words)
+
+
+def _name_words(bare: Column) -> Column:
+    return spans.let(F.struct(bare.alias("bare"), F.split(bare, " ").alias("words"), F.lower(bare).alias("low")), lambda x: _all_names(x["bare"], x["words"], x["low"]))
+
+
+def _all_names(bare: Column, words: Column, low: Column) -> Column:
     organised = F.lit(False)
     for m in ORGANISATION:
         organised = organised | low.contains(m)
@@ -148,8 +154,19 @@ def _recipient(text: Column, second: Column) -> Column:
     return F.when(second.isNotNull(), F.substring(F.get(fit, 0), 1, 160))
 
 
+def flat(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", " ")
+
+
+def _given(c: Column) -> Column:
+    return spans.let(c, lambda x: F.when(x != "", x))
+
+
 def number(text: Column) -> Column:
-    x = F.regexp_replace(text, r"(?U)\s+", " ")
+    return spans.let(flat(text), _number)
+
+
+def _number(x: Column) -> Column:
     value = r"([A-ZА-ЯЁ0-9][A-ZА-ЯЁ0-9\-/ ]{2,80})"
     labels = [r"\bчек\s*(?:№|N(?:o)?\.?)[\s:：-]*", r"(?:\bномер\s+чека|№\s*чека)\s*[:：-]?\s*", r"\bквитанц(?:ия|ии)\s*(?:№|N(?:o)?\.?)[\s:：-]*"]
     stop = r"(?iuU)\s+(?:от|дата|инн|покупатель|заказчик|сумма|итого|наименование)\b.*$"
@@ -157,14 +174,20 @@ def number(text: Column) -> Column:
 
 
 def date(text: Column) -> Column:
-    x = F.regexp_replace(text, r"(?U)\s+", " ")
+    return spans.let(flat(text), _date)
+
+
+def _date(x: Column) -> Column:
     patterns = [rf"(?iu)(?:дата|дата\s+чека|чек[^\n]{{0,80}}?от)\s*[:：-]?\s*{_DATE}", rf"(?iu){_DATE}\s*(?:г\.?|в\s+[0-9]{{1,2}}[:.][0-9]{{2}})", _DATE]
-    return padded_date(F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in patterns]))
+    return padded_date(F.coalesce(*[_given(F.regexp_extract(x, p, 1)) for p in patterns]))
 
 
 def total(text: Column) -> Column:
     """The last labelled amount, else the last with a currency, else the last."""
-    x = F.regexp_replace(text, r"(?U)\s+", " ")
+    return spans.let(flat(text), _total)
+
+
+def _total(x: Column) -> Column:
     patterns = [rf"(?iu)(?:итого|всего|сумма\s+чека|к\s+оплате)\s*[:：-]?\s*{_MONEY}", rf"(?iuU){_MONEY}\s*(?:₽|руб\.?|RUB)\b", _MONEY]
     return two_decimals(F.coalesce(*[F.try_element_at(F.regexp_extract_all(x, F.lit(p), F.lit(1)), F.lit(-1)) for p in patterns]))
 
@@ -174,9 +197,8 @@ def service(text: Column) -> Column:
     label = r"(?iu)(?:наименование\s+(?:предмета\s+расч[её]та|услуги)|описание\s+услуги|предмет\s+расч[её]та|услуга)\s*[:：-]?\s*(.*)$"
     # Words that end a description (fixed values).
     stop = r"(?iuU)^(?:количество|цена|стоимость|сумма|итого|всего|инн|покупатель|заказчик|дата|чек)\b"
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
 
-    def at_line(line: Column, i: Column) -> Column:
+    def at_line(lines: Column, line: Column, i: Column) -> Column:
         own = F.regexp_replace(F.regexp_extract(line, label, 1), r"^[ :;|—–-]+|[ :;|—–-]+$", "")
         nexts = F.slice(lines, i + 2, F.lit(3))
         taken = F.aggregate(
@@ -187,18 +209,28 @@ def service(text: Column) -> Column:
             ),
             lambda acc: F.nullif(F.array_join(acc["out"], " "), F.lit("")),
         )
-        return F.when(line.rlike(label), F.when((own != "") & ~own.rlike(stop), own).otherwise(taken))
+        return F.when(line.rlike(label), spans.let(own, lambda o: F.when((o != "") & ~o.rlike(stop), o).otherwise(taken)))
 
-    return F.substring(F.get(F.filter(F.transform(lines, at_line), lambda v: v.isNotNull()), 0), 1, 300)
+    every = F.transform(F.split(text, "\n"), lambda x: F.trim(flat(x)))
+    found = spans.let(every, lambda lines: F.filter(F.transform(lines, lambda line, i: at_line(lines, line, i)), lambda v: v.isNotNull()))
+    return F.substring(F.get(found, 0), 1, 300)
 
 
 def score(text: Column, inns: Column | None = None) -> Column:
-    x = F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
-    inns, p = inn_candidates(text) if inns is None else inns, RECEIPT_POINTS
+    found = inn_candidates(text) if inns is None else inns
+    return spans.let(flat(text), lambda x: spans.let(found, lambda n: _score(F.lower(x), n, _total(x), _date(x))))
+
+
+def _score(low: Column, inns: Column, amount: Column, day: Column) -> Column:
+    return spans.let(low, lambda x: _points(x, inns, amount, day))
+
+
+def _points(x: Column, inns: Column, amount: Column, day: Column) -> Column:
+    p = RECEIPT_POINTS
     marks = [
         (x.rlike(r"(?U)\bчек\b"), "receipt"), (x.contains("налог на профессиональный доход"), "tax_phrase"), (x.rlike(r"(?U)\bнпд\b"), "tax_short"),
         (x.contains("мой налог"), "app"), (x.contains("самозан") | x.contains("налогоплательщик"), "self_employed"), (F.size(inns) > 0, "inn"),
-        (F.length(F.get(inns, 0)["value"]) == 12, "inn_12"), (total(text).isNotNull(), "total"), (date(text).isNotNull(), "date"),
+        (F.length(F.get(inns, 0)["value"]) == 12, "inn_12"), (amount.isNotNull(), "total"), (day.isNotNull(), "date"),
     ]
     out = F.lit(0)
     for test, name in marks:
@@ -209,13 +241,14 @@ def score(text: Column, inns: Column | None = None) -> Column:
 def extract_receipts(pages: DataFrame) -> DataFrame:
     """Pages (rel_path, text, header_text, targeted_text, rotation) to receipt rows."""
     t = line_whitespace(F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in ("header_text", "targeted_text", "text")]))
-    x = pages.withColumn("all", t).withColumn("inns", inn_candidates(F.col("all")))
-    a, inns = F.col("all"), F.col("inns")
+    x = pages.withColumn("all", t).withColumns({"inns": inn_candidates(F.col("all")), "line": flat(F.col("all"))})
+    a, inns, line = F.col("all"), F.col("inns"), F.col("line")
+    x = x.withColumns({"document_date": _date(line), "total_amount": _total(line)})  # the score asks for them too
     x = x.withColumns(
         {
-            "score": score(a, inns), "document_number": number(a), "document_date": date(a), "issuer_name": issuer_name(a, inns),
+            "score": _score(F.lower(line), inns, F.col("total_amount"), F.col("document_date")), "document_number": _number(line), "issuer_name": issuer_name(a, inns),
             "issuer_inn": F.get(inns, 0)["value"], "recipient_name": recipient_name(a, inns),
-            "recipient_inn": F.get(inns, 1)["value"], "total_amount": total(a), "description": service(a),
+            "recipient_inn": F.get(inns, 1)["value"], "description": service(a),
         }
     )
     ok = F.col("score") >= RECOGNISED_AT

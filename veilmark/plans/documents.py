@@ -57,7 +57,7 @@ def _inn(first: str, key: Column, size: int) -> Column:
 
 def receipt_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page for each part: a receipt in one of three layouts, or no receipt."""
-    x = spark.read.parquet(f"{d}/part.parquet")
+    x = _spread(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice", "p_name"), "p_partkey")
     k = F.col("p_partkey")
     day = F.date_add(F.lit("2020-01-01").cast("date"), (k % 1500).cast("int"))
     amount = F.translate(F.format_number(F.col("p_retailprice").cast("decimal(18,2)"), 2), ",.", " ,")
@@ -238,7 +238,7 @@ _ENTITY_SQL = {
 def recognized_entities(spark, d):
     """An entity of each kind in a text for each customer is found by its recognizer."""
     k = F.col("k")
-    x = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    x = _spread(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k")), "k")
     own = [F.struct(F.lit(kind).alias("kind"), _text("до ", value, ", конец").alias("text")) for kind, value in _entities(k).items()]
     x = stash(x.select("k", F.inline(F.array(*own))), "entity-texts")
     found = F.coalesce(*[F.when(F.col("kind") == kind, recognizers.recognize(F.col("text"), [kind])) for kind in _ENTITY_SQL])

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import dates, money, text
-from veilmark.operators import invoices, layout, ordered, planning, registry
+from veilmark.operators import invoices, layout, ordered, planning, purchases, registry
 from veilmark.operators.rules import Rules
 from veilmark.plans import api, documents
 from veilmark.operators.anonymize import anonymize_text
@@ -331,3 +331,10 @@ def test_no_expression_of_an_invoice_holds_copies_of_another(spark):
 @pytest.mark.parametrize("pages", [documents.receipt_pages, documents.invoice_pages])
 def test_pages_of_a_small_table_are_read_by_many_tasks(spark, pages):
     assert pages(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 4
+
+
+def test_cells_of_tables_are_shuffled_once(spark):
+    sources = spark.createDataFrame([("a", [[["x", "y"], ["1", "2"]]])], "rel_path string, tables array<array<array<string>>>")
+    items, _ = purchases.extract_items(sources)
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4

@@ -67,25 +67,26 @@ def is_summary(name: Column) -> Column:
 
 
 def cells(sources: DataFrame) -> DataFrame:
-    """(rel_path, t, r, c, value) of all tables."""
+    """(rel_path, t, last, r, c, value) of all tables; ``last`` is a table's last row with cells."""
+    last = F.array_max(F.transform("table", lambda row, r: F.when(F.size(row) > 0, r))).alias("last")
     rows = sources.select("rel_path", F.posexplode("tables").alias("t", "table")).select(
-        "rel_path", "t", F.posexplode("table").alias("r", "row")
+        "rel_path", "t", last, F.posexplode("table").alias("r", "row")
     )
-    return rows.select("rel_path", "t", "r", F.posexplode("row").alias("c", "value")).withColumn("value", cell("value"))
+    return rows.select("rel_path", "t", "last", "r", F.posexplode("row").alias("c", "value")).withColumn("value", cell("value"))
 
 
 def header_maps(grid: DataFrame) -> DataFrame:
     """(rel_path, t, header_row, mapping): the span of rows that names most fields.
 
     Spans of one to four rows within the first twelve; the earliest and shortest of
-    the best.  The name and four fields at least are needed.
+    the best.  The name and four fields at least are needed.  The cells of a table are
+    brought together before they are repeated for the spans, so all steps share one shuffle.
     """
-    top = grid.where(F.col("r") < HEADER_ROWS + HEADER_SPAN - 1)
-    size = grid.groupBy("rel_path", "t").agg(F.max("r").alias("last"))
+    top = grid.where(F.col("r") < HEADER_ROWS + HEADER_SPAN - 1).repartition("rel_path", "t")
     starts = F.explode(F.sequence(F.greatest(F.col("r") - HEADER_SPAN + 1, F.lit(0)), F.least(F.col("r"), F.lit(HEADER_ROWS - 1)))).alias("start")
     spanned = top.select("*", starts).withColumn(
         "span", F.explode(F.sequence(F.col("r") - F.col("start") + 1, F.lit(HEADER_SPAN)))
-    ).join(size, ["rel_path", "t"]).where(F.col("start") + F.col("span") - 1 <= F.col("last"))
+    ).where(F.col("start") + F.col("span") - 1 <= F.col("last"))
     merged = spanned.groupBy("rel_path", "t", "start", "span", "c").agg(
         F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct("r", "value")))).alias("parts")
     ).withColumn("key", column_key(F.array_join(F.transform("parts", lambda p: p["value"]), " "))).where("key is not null")
@@ -112,12 +113,13 @@ def item_warnings(quantity: Column, price: Column, net: Column, tax: Column, tot
 def extract_items(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, totals) of documents from their tables."""
     grid = cells(sources)
-    rows = grid.groupBy("rel_path", "t", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("row"))
+    rows = sources.select("rel_path", F.posexplode("tables").alias("t", "table")).select("rel_path", "t", F.posexplode("table").alias("r", "row"))
+    rows = rows.withColumn("row", F.transform("row", cell))  # as they stand in the table; cells are not shuffled
     x = rows.join(header_maps(grid), ["rel_path", "t"]).where(F.col("r") > F.col("header_row"))
-    filled = F.filter(F.map_values("row"), lambda v: v != "")
+    filled = F.filter("row", lambda v: v != "")
     marks = F.size(F.filter(filled, _is_marker))
     designators = (F.size(filled) >= 3) & (marks >= 3) & (marks * 10 >= F.size(filled) * 7)
-    at = lambda k: F.nullif(F.col("row")[F.col("mapping")[k]], F.lit(""))
+    at = lambda k: F.nullif(F.get("row", F.col("mapping")[k]), F.lit(""))
     x = x.where(~designators).withColumns({k: at(k) for k in KEYS}).where("name is not null")
     money = ["quantity", "unit_price", "amount_without_tax", "tax_amount", "total_amount"]
     x = x.withColumns({k: rounded_money(k).cast("string") for k in money}).withColumn("summary", is_summary(F.col("name")))

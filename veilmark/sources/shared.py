@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: list[str] = []
 #: Bytes of a batch that a function in a worker gets at once.
@@ -45,6 +46,6 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, step)
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose function gets batches of about ``PART_BYTES`` at any length of texts."""
     return df.mapInArrow(lambda batches: run(part for b in batches for part in _parts(b)), schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators import readings
 from veilmark.operators.anonymize import anonymize_text
-from veilmark.operators.headings import Heading, Words, best_heading, fuzzy_heading_end
+from veilmark.operators.headings import Heading, Words, best_heading, best_of_texts, fuzzy_heading_end
 from veilmark.operators.rules import Rules
 from veilmark.plans import paths
 
@@ -70,6 +70,32 @@ def test_bounded_headings_equal_plain_scoring():
         assert best_heading(text, heading, other) == plain_heading(text, [heading, other]), (heading, text)
 
 
+def test_headings_of_many_texts_are_found_at_once(monkeypatch):
+    """Texts are compared together, in a few array operations for all; no window crosses texts, odd letters keep their places."""
+    rng, letters, heading = random.Random(3), "абвг ё_ŉßǰİ\u0345ﬁ😀²\n.", "подписи İ ǰсторон"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(100)] + ["", " ", "Подписи İ", "ǰсторон"]
+    texts += [t + rng.choice([" ", "ǰ\n"]) + h + t for t in texts for h in ("пoдписи i сторон", heading.upper(), "подпись\u0345İ.ǰстрон")]
+    calls, likely = [], Heading.likely
+    monkeypatch.setattr(Heading, "likely", lambda *a: calls.append(a) or likely(*a))
+    got = best_of_texts(texts, [Heading(heading), Heading("вг аб")])
+    assert len(calls) == 4  # three sizes of windows and one
+
+    def plain_words(text):
+        return [(m.start(), m.end(), "".join(filter(str.isalnum, m.group().casefold().replace("ё", "е")))) for m in re.finditer(r"[^\W_]+", text)]
+
+    for k, t in enumerate(texts):
+        words, best = plain_words(t), None
+        for aim in ([w for *_, w in plain_words(heading)], ["вг", "аб"]):
+            for size in range(len(aim) - 1, len(aim) + 2) if len(aim) > 2 else [len(aim)]:
+                for i in range(len(words) - size + 1):
+                    part = [w for *_, w in words[i : i + size]]
+                    score = 1.0 if part == aim else 0 if len(aim) < 3 else SequenceMatcher(None, " ".join(part), " ".join(aim)).ratio()
+                    if score >= 0.84:
+                        best = max(best or (0, 0, 0), (score, -words[i][0], words[i + size - 1][1]))
+        assert got.get(k) == best, t
+    assert len(got) > 100
+
+
 def test_few_windows_of_documents_are_scored(spark):
     """Over all documents: the plain result, and below one per cent of windows compared in full."""
     headings = ("Licensed under the Apache License", "GNU General Public License", "9. Реквизиты и подписи сторон")

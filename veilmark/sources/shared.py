@@ -39,13 +39,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, part_bytes: int) -> Iterator[pa.RecordBatch]:
     if len(batch):
-        step = max(1, len(batch) * PART_BYTES // max(batch.nbytes, 1))
+        step = max(1, len(batch) * part_bytes // max(batch.nbytes, 1))
         for k in range(0, len(batch), step):
             yield batch.slice(k, step)
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` whose function gets batches of about ``PART_BYTES`` at any length of texts."""
-    return df.mapInArrow(lambda batches: run(part for b in batches for part in _parts(b)), schema)
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``mapInArrow`` whose function gets batches of about ``part_bytes`` at any length of texts."""
+    return df.mapInArrow(lambda batches: run(part for b in batches for part in _parts(b, part_bytes)), schema)

@@ -338,3 +338,32 @@ def test_cells_of_tables_are_shuffled_once(spark):
     items, _ = purchases.extract_items(sources)
     plan = items._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+_PURCHASE_HEADER = ["Наименование товара", "Количество (объём)", "Цена за единицу", "Сумма налога"]
+
+
+def test_tables_of_documents_are_read_where_they_stand(spark):
+    """Neither cells nor items are shuffled, and the documents lie in many pieces."""
+    sources = documents.purchase_sources(spark, "/root/testdata/sf0.001")
+    for x in (purchases.extract_items(sources)[0], purchases.extract_purchases(sources)):
+        assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_of_many_rows(spark):
+    line = ["Перо", "2", "1,50", "0,60"]
+    tables = {
+        "one row": [_PURCHASE_HEADER, line],
+        "two rows": [["Наименование", "Коли-", "Цена за", "Сумма"], ["работ", "количество", "единицу", "налога"], line],
+        "a bracket over two rows": [["Наименование (", "Объём", "Цена (x", "Сумма налога"], ["без скобок) услуг", "", "y) за единицу", ""], line],
+        "row 12": [*[["x"]] * 11, _PURCHASE_HEADER, line],
+        "row 16": [*[["x"]] * 15, _PURCHASE_HEADER, line],
+        "three fields": [_PURCHASE_HEADER[:3], line],
+        "no name": [["x", *_PURCHASE_HEADER[1:], "Налоговая ставка"], line],
+        "marks and blank rows": [[], _PURCHASE_HEADER, ["1", "(2)", "3 а", "№ 4."], None, [], line],
+    }
+    df = spark.createDataFrame([(k, [v]) for k, v in tables.items()] + [("none", None), ("no table", [])], "rel_path string, tables array<array<array<string>>>")
+    items, totals = purchases.extract_items(df)
+    got = {(r.rel_path, r.line_number, r.name, r.quantity, r.unit_price, r.tax_amount, r.confidence) for r in items.collect()}
+    assert got == {(k, 1, "Перо", "2.00", "1.50", "0.60", 73) for k in tables if k not in {"row 16", "three fields", "no name"}}
+    assert totals.count() == 0

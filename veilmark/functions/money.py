@@ -48,7 +48,7 @@ def two_decimals(c: Column | str) -> Column:
 
 def rounded_money(c: Column | str) -> Column:
     """Anything but digits, signs and separators dropped; two places, halves to even."""
-    x = F.regexp_replace(_bare(c), r"[^0-9.\-]", "")
+    x = F.regexp_replace(F.translate(F.col(c) if isinstance(c, str) else c, ",", "."), r"[^0-9.\-]", "")
     return F.bround(x.try_cast("decimal(38,10)"), 2).cast("decimal(38,2)")
 
 

@@ -40,9 +40,13 @@ def cell(c: Column | str) -> Column:
 
 def table_header(c: Column | str) -> Column:
     """A header cell as lower-case words without parenthesised parts."""
-    low = F.translate(F.lower(cell(c)), "ё", "е")
-    bare = F.regexp_replace(low, r"\([^)]*\)", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), " +", " "))
+    return bare_header(cell(c))
+
+
+def bare_header(x: Column) -> Column:
+    """:func:`table_header` of a text that is a cell already."""
+    bare = F.regexp_replace(F.translate(F.lower(x), "ё", "е"), r"\([^)]*\)", " ")
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
 def token(c: Column | str) -> Column:

@@ -1,19 +1,24 @@
 """Electronic transfer documents: tables to items, totals, checks.
 
-Cells are exploded to rows (document, table, row, column) and regrouped; a document's
-tables are small, and nothing is collected over documents.
+A document's tables are small and stand in its row: headers, lines and totals are found by
+functions on arrays there, and nothing is shuffled or collected over documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.dates import purchase_date
 from veilmark.functions.money import labelled_totals, rounded_money
-from veilmark.functions.text import cell, preview, table_header, unit
+from veilmark.functions.spans import let
+from veilmark.functions.text import bare_header, cell, preview, table_header, unit
 
 KEYS = ["name", "quantity", "unit_price", "tax_rate", "tax_amount", "amount_without_tax", "total_amount", "unit_code", "unit"]
+#: Each field's rule asks for a word that begins with one of these; cells are joined by blanks, so one cell holds it.
+HEADER_STEMS = ["наименование", "количество", "объем", "цена", "налоговая", "сумма", "стоимость", "единица", "океи", "условное"]
 SUMMARY_MARKS = ["всего к оплате", "всего по документу", "итого", "всего"]
 TOLERANCE = "0.02"
 HEADER_ROWS, HEADER_SPAN, HEADER_KEYS = 12, 4, 4
@@ -33,72 +38,99 @@ NOT_ONE = "The file was not recognized as an UPD status 1 document"
 
 def column_key(header: Column) -> Column:
     """The item field that a header cell names, or null; rules in order."""
-    h = table_header(header)
-    has = lambda *words: [h.contains(w) for w in words]
+    return _key(table_header(header))
+
+
+def _key(header: Column) -> Column:
+    return let(header, lambda h: F.coalesce(*[F.when(rule, key) for key, rule in _rules(h).items()]))
+
+
+def _rules(h: Column) -> dict[str, Column]:
+    """Whether a header, as :func:`table_header` gives it, meets the rule of each field."""
 
     def any_of(*words: str) -> Column:
-        out = F.lit(False)
-        for c in has(*words):
-            out = out | c
-        return out
-
-    return (
-        F.when(h.contains("наименование") & any_of("товар", "работ", "услуг", "имуществен"), "name")
-        .when(any_of("количество", "объем"), "quantity")
-        .when(h.contains("цена") & h.contains("единиц"), "unit_price")
-        .when(h.contains("налоговая ставка"), "tax_rate")
-        .when(h.contains("сумма налога"), "tax_amount")
-        .when(h.contains("стоимость") & h.contains("без налога"), "amount_without_tax")
-        .when(h.contains("стоимость") & any_of("с налогом", "всего"), "total_amount")
-        .when((h.contains("единица измерения") & h.contains("код")) | h.contains("океи"), "unit_code")
-        .when(h.contains("условное обозначение") | h.contains("единица измерения"), "unit")
-    )
+        return functools.reduce(lambda a, b: a | b, [h.contains(w) for w in words])
+
+    return {
+        "name": h.contains("наименование") & any_of("товар", "работ", "услуг", "имуществен"),
+        "quantity": any_of("количество", "объем"),
+        "unit_price": h.contains("цена") & h.contains("единиц"),
+        "tax_rate": h.contains("налоговая ставка"),
+        "tax_amount": h.contains("сумма налога"),
+        "amount_without_tax": h.contains("стоимость") & h.contains("без налога"),
+        "total_amount": h.contains("стоимость") & any_of("с налогом", "всего"),
+        "unit_code": (h.contains("единица измерения") & h.contains("код")) | h.contains("океи"),
+        "unit": h.contains("условное обозначение") | h.contains("единица измерения"),
+    }
+
+
+def _names_goods(value: Column) -> Column:
+    """Whether a cell is the header of the name itself."""
+    return header_hint(value) & let(bare_header(value), lambda h: _rules(h)["name"])
+
+
+#: Signs that a column's mark is written with.
+_SIGNS = r"[\s№().:-]*"
 
 
 def _is_marker(value: Column) -> Column:
-    return F.lower(F.regexp_replace(value, r"(?U)[\s№().:-]+", "")).rlike(r"^[0-9]{1,2}[а-яa-z]?$")
+    """One or two digits and perhaps a letter (the last is the sign of Kelvin, in lower case a k), among signs."""
+    return value.rlike(rf"(?U)^{_SIGNS}[0-9](?:{_SIGNS}[0-9])?(?:{_SIGNS}[а-яА-Яa-zA-Z\u212a])?{_SIGNS}$")
 
 
 def is_summary(name: Column) -> Column:
-    low, out = F.lower(name), F.lit(False)
-    for m in SUMMARY_MARKS:
-        out = out | low.contains(m)
-    return out
+    return let(F.lower(name), lambda low: functools.reduce(lambda a, b: a | b, [low.contains(m) for m in SUMMARY_MARKS]))
 
 
-def cells(sources: DataFrame) -> DataFrame:
-    """(rel_path, t, last, r, c, value) of all tables; ``last`` is a table's last row with cells."""
-    last = F.array_max(F.transform("table", lambda row, r: F.when(F.size(row) > 0, r))).alias("last")
-    rows = sources.select("rel_path", F.posexplode("tables").alias("t", "table")).select(
-        "rel_path", "t", last, F.posexplode("table").alias("r", "row")
-    )
-    return rows.select("rel_path", "t", "last", "r", F.posexplode("row").alias("c", "value")).withColumn("value", cell("value"))
+def _hinted(low: Column) -> Column:
+    return functools.reduce(lambda a, b: a | b, [low.contains(s) for s in HEADER_STEMS])
+
+
+def header_hint(value: Column) -> Column:
+    """Whether a cell may be part of a header that names a field; no header without such a cell does."""
+    return let(F.replace(F.lower(value), F.lit("ё"), F.lit("е")), _hinted)
 
 
-def header_maps(grid: DataFrame) -> DataFrame:
-    """(rel_path, t, header_row, mapping): the span of rows that names most fields.
+def header_of(table: Column) -> Column:
+    """struct(n, row, at) of a table of cells, or null: the span of rows that names most fields.
 
     Spans of one to four rows within the first twelve; the earliest and shortest of
-    the best.  The name and four fields at least are needed.  The cells of a table are
-    brought together before they are repeated for the spans, so all steps share one shuffle.
+    the best.  The name and four fields at least are needed.  ``row`` is the span's last
+    row, ``at`` the column of each field.  A span is read if more of its columns hold
+    a hint than fields were found before, which is as many as it can name.
     """
-    top = grid.where(F.col("r") < HEADER_ROWS + HEADER_SPAN - 1).repartition("rel_path", "t")
-    starts = F.explode(F.sequence(F.greatest(F.col("r") - HEADER_SPAN + 1, F.lit(0)), F.least(F.col("r"), F.lit(HEADER_ROWS - 1)))).alias("start")
-    spanned = top.select("*", starts).withColumn(
-        "span", F.explode(F.sequence(F.col("r") - F.col("start") + 1, F.lit(HEADER_SPAN)))
-    ).where(F.col("start") + F.col("span") - 1 <= F.col("last"))
-    merged = spanned.groupBy("rel_path", "t", "start", "span", "c").agg(
-        F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct("r", "value")))).alias("parts")
-    ).withColumn("key", column_key(F.array_join(F.transform("parts", lambda p: p["value"]), " "))).where("key is not null")
-    firsts = merged.groupBy("rel_path", "t", "start", "span", "key").agg(F.min("c").alias("c"))
-    maps = firsts.groupBy("rel_path", "t", "start", "span").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "c"))).alias("mapping"), F.count(F.lit(1)).alias("n"),
-        F.bool_or(F.col("key") == "name").alias("named"),
-    ).where(F.col("named") & (F.col("n") >= HEADER_KEYS))
-    best = F.row_number().over(Window.partitionBy("rel_path", "t").orderBy(F.desc("n"), "start", "span"))
-    return maps.withColumn("best", best).where("best = 1").select(
-        "rel_path", "t", (F.col("start") + F.col("span") - 1).alias("header_row"), "mapping"
-    )
+    top = F.slice(table, 1, HEADER_ROWS + HEADER_SPAN - 1)
+    last = F.array_max(F.transform(table, lambda row, r: F.when(F.size(row) > 0, r)))
+    # A row's cells are looked at one by one only if the row as a whole holds a hint.
+    hints = F.transform(top, lambda row: F.when(header_hint(F.array_join(row, " ")), F.transform(row, header_hint)))
+    wide = F.sequence(F.lit(0), F.array_max(F.transform(top, F.size)) - 1)
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(n).alias("span")) for a in range(HEADER_ROWS) for n in range(1, HEADER_SPAN + 1)])
+    merged = lambda rows, c: F.array_join(F.filter(F.transform(rows, lambda row: F.get(row, c)), lambda v: v != ""), " ")
+    none = F.lit(None).cast("struct<n:int,row:int,keys:array<string>>")
+
+    def named(s: Column, columns: Column, x: Column, best: Column) -> Column:
+        """The fields of a span's columns, if these are more than those of the best before."""
+        key = lambda c: F.when(F.array_contains(columns, c), _key(bare_header(merged(F.slice(top, s["start"] + 1, s["span"]), c))))
+        n = lambda k: F.size(F.array_distinct(F.array_compact(k)))
+        better = lambda k: F.array_contains(F.array_compact(k), "name") & (n(k) >= HEADER_KEYS) & (n(k) > F.coalesce(best["n"], F.lit(0)))
+        found = lambda k: F.struct(n(k).alias("n"), (s["start"] + s["span"] - 1).alias("row"), k.alias("keys"))
+        return let(F.transform(x["wide"], key), lambda k: F.when(better(k), found(k)).otherwise(best))
+
+    def search(x: Column) -> Column:
+        def step(best: Column, s: Column) -> Column:
+            here = F.slice(x["hints"], s["start"] + 1, s["span"])
+            columns = F.filter(x["wide"], lambda c: F.exists(here, lambda h: F.get(h, c)))
+            return let(columns, lambda cs: F.when(F.size(cs) > F.coalesce(best["n"], F.lit(HEADER_KEYS - 1)), named(s, cs, x, best)).otherwise(best))
+
+        hinted = lambda s: F.exists(F.slice(x["hints"], s["start"] + 1, s["span"]), lambda h: h.isNotNull())
+        return F.aggregate(F.filter(spans, lambda s: (s["start"] + s["span"] - 1 <= x["last"]) & hinted(s)), none, step)
+
+    def found(x: Column) -> Column:
+        at = F.struct(*[(F.nullif(F.array_position(x["keys"], k), F.lit(0)) - 1).cast("int").alias(k) for k in KEYS])
+        return F.when(x.isNotNull(), F.struct(x["n"].alias("n"), x["row"].alias("row"), at.alias("at")))
+
+    seen = F.struct(hints.alias("hints"), last.alias("last"), wide.alias("wide"))
+    return let(let(seen, lambda x: F.when(F.exists(x["hints"], lambda h: h.isNotNull()), search(x))), found)
 
 
 def item_warnings(quantity: Column, price: Column, net: Column, tax: Column, total: Column) -> Column:
@@ -110,33 +142,67 @@ def item_warnings(quantity: Column, price: Column, net: Column, tax: Column, tot
     )
 
 
+MONEY = ["quantity", "unit_price", "amount_without_tax", "tax_amount", "total_amount"]
+
+
+def _designators(row: Column) -> Column:
+    """Whether a row only holds the marks of its columns."""
+
+    def many(filled: Column) -> Column:
+        marks = lambda m: (m >= 3) & (m * 10 >= F.size(filled) * 7)
+        return (F.size(filled) >= 3) & let(F.size(F.filter(filled, _is_marker)), marks)
+
+    return let(F.filter(row, lambda v: v != ""), many)
+
+
+def _line(row: Column, head: Column) -> Column:
+    """The fields of a row below a header, or null if it has no name or is none of the lines."""
+    at = lambda k: F.nullif(F.get(row, head["at"][k]), F.lit(""))
+    value = lambda k: rounded_money(at(k)).cast("string") if k in MONEY else at(k)
+    fields = lambda: F.struct(*[value(k).alias(k) for k in KEYS], is_summary(at("name")).alias("summary"), head["n"].alias("n"))
+    return F.when(at("name").isNotNull() & ~_designators(row), fields())
+
+
+def _is_item(x: Column) -> Column:
+    named = ~x["summary"] & ~_names_goods(x["name"]) & ~_is_marker(x["name"]) & x["name"].rlike(r"\p{L}")
+    return named & F.coalesce(*[x[k] for k in [*MONEY, "tax_rate"]]).isNotNull()
+
+
+def _item(x: Column, place: Column) -> Column:
+    def checked(known: Column) -> Column:
+        no_unit = F.when(known.isNull() & F.coalesce(x["unit"], x["unit_code"]).isNotNull(), UNIT_WARNING)
+        return F.struct(
+            (place + 1).alias("line_number"), x["name"].alias("name"), known.alias("unit"),
+            *[x[k].alias(k) for k in ("quantity", "unit_price", "amount_without_tax", "tax_rate", "tax_amount", "total_amount")],
+            F.least(F.lit(100), 45 + x["n"] * 7).alias("confidence"),
+            F.concat(F.array_compact(F.array(no_unit)), item_warnings(*[x[k] for k in MONEY])).alias("warnings"),
+        )
+
+    return let(unit(x["unit"]), checked)
+
+
+def with_items(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``items``, an array, and ``totals``, a struct that is null without a summary line.
+
+    A document's tables stand in its row and are read there: no cell is shuffled.
+    """
+    clean = F.transform("tables", lambda table: F.transform(table, lambda row: F.transform(row, cell)))
+    lines = lambda table, head: F.transform(F.slice(table, head["row"] + 2, F.size(table)), lambda row: _line(row, head))
+    read = F.transform("_grid", lambda table: let(header_of(table), lambda head: F.when(head.isNotNull(), lines(table, head))))
+    rows = F.filter(F.flatten(F.filter(read, lambda x: x.isNotNull())), lambda x: x.isNotNull())
+    items = F.transform(F.filter("_lines", _is_item), _item)
+    ends = F.filter("_lines", lambda x: x["summary"])
+    total = lambda x, k: F.try_element_at(F.filter(x[k], lambda v: v.isNotNull()), F.lit(-1)).alias(k)
+    totals = let(ends, lambda x: F.when(F.size(x) > 0, F.struct(*[total(x, k) for k in COMPARED])))
+    return sources.withColumn("_grid", clean).withColumn("_lines", rows).withColumns({"items": items, "totals": totals}).drop("_grid", "_lines")
+
+
 def extract_items(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, totals) of documents from their tables."""
-    grid = cells(sources)
-    rows = sources.select("rel_path", F.posexplode("tables").alias("t", "table")).select("rel_path", "t", F.posexplode("table").alias("r", "row"))
-    rows = rows.withColumn("row", F.transform("row", cell))  # as they stand in the table; cells are not shuffled
-    x = rows.join(header_maps(grid), ["rel_path", "t"]).where(F.col("r") > F.col("header_row"))
-    filled = F.filter("row", lambda v: v != "")
-    marks = F.size(F.filter(filled, _is_marker))
-    designators = (F.size(filled) >= 3) & (marks >= 3) & (marks * 10 >= F.size(filled) * 7)
-    at = lambda k: F.nullif(F.get("row", F.col("mapping")[k]), F.lit(""))
-    x = x.where(~designators).withColumns({k: at(k) for k in KEYS}).where("name is not null")
-    money = ["quantity", "unit_price", "amount_without_tax", "tax_amount", "total_amount"]
-    x = x.withColumns({k: rounded_money(k).cast("string") for k in money}).withColumn("summary", is_summary(F.col("name")))
-    place = Window.partitionBy("rel_path").orderBy("t", "r")
-    totals = x.where("summary").groupBy("rel_path").agg(
-        *[F.max_by(k, F.when(F.col(k).isNotNull(), F.struct("t", "r"))).alias(k) for k in ("amount_without_tax", "tax_amount", "total_amount")]
-    )
-    named = ~F.col("summary") & ~column_key(F.col("name")).eqNullSafe("name") & ~_is_marker(F.col("name")) & F.col("name").rlike(r"\p{L}")
-    valued = F.coalesce(*money, "tax_rate").isNotNull()
-    items = x.where(named & valued).withColumns({"raw_unit": F.col("unit"), "unit": unit("unit"), "line_number": F.row_number().over(place)})
-    no_unit = F.when(F.col("unit").isNull() & F.coalesce("raw_unit", "unit_code").isNotNull(), UNIT_WARNING)
-    items = items.select(
-        "rel_path", "line_number", "name", "unit", "quantity", "unit_price", "amount_without_tax", "tax_rate", "tax_amount", "total_amount",
-        F.least(F.lit(100), 45 + F.size("mapping") * 7).alias("confidence"),
-        F.concat(F.array_compact(F.array(no_unit)), item_warnings(*[F.col(k) for k in money])).alias("warnings"),
-    )
-    return items, totals
+    read = with_items(sources.select("rel_path", "tables"))
+    # Outer: Spark would read the tables once more, to leave out documents without items.
+    items = read.select("rel_path", F.explode_outer("items").alias("i")).where("i is not null").select("rel_path", "i.*")
+    return items, read.where("totals is not null").select("rel_path", "totals.*")
 
 
 def document_warnings(doc: dict[str, Column], items: Column, sums: dict[str, Column]) -> Column:
@@ -183,20 +249,22 @@ def party(text: Column, label: str, stem: str) -> Column:
 
 def extract_purchases(sources: DataFrame) -> DataFrame:
     """Sources (rel_path, text, tables, page_count, used_ocr, warnings) to documents with their items."""
-    items, totals = extract_items(sources)
-    d = lambda k: F.col(k).cast("decimal(38,2)")
-    own = items.groupBy("rel_path").agg(
-        F.array_sort(F.collect_list(F.struct("line_number", *[c for c in items.columns if c not in ("rel_path", "line_number")]))).alias("items"),
-        *[F.sum(d(k)).cast("string").alias(f"sum_{k}") for k in COMPARED],
-    )
+    def total(k: str) -> Column:
+        """The sum of what the items hold of a field, null if none does."""
+        given = F.filter(F.transform("items", lambda i: i[k].cast("decimal(38,2)")), lambda v: v.isNotNull())
+        zero = F.lit(0).cast("decimal(38,2)")
+        return let(given, lambda x: F.when(F.size(x) > 0, F.aggregate(x, zero, lambda a, v: (a + v).cast("decimal(38,2)")))).cast("string")
+
     t = F.col("text")
-    x = sources.withColumns(
+    x = with_items(sources).withColumn("items", F.coalesce("items", F.array()))
+    x = x.withColumns(
         {"status": status(t), "nd": number_and_date(t), "s": party(t, "Продавец", "продав"), "b": party(t, "Покупатель", "покупател"),
          "tt": labelled_totals(t, r"всего\s+к\s+оплате"), "low": F.lower(F.regexp_replace(t, r"(?U)\s+", " "))}
-    ).join(own, "rel_path", "left").join(totals.select("rel_path", *[F.col(k).alias(f"tab_{k}") for k in COMPARED]), "rel_path", "left")
+        | {f"sum_{k}": total(k) for k in COMPARED} | {f"tab_{k}": F.col("totals")[k] for k in COMPARED}
+    )
     text_total = {"amount_without_tax": "tt.net", "tax_amount": "tt.tax", "total_amount": "tt.total"}
     x = x.withColumns({k: F.coalesce(f"tab_{k}", text_total[k], f"sum_{k}") for k in COMPARED})
-    x = x.withColumns({"document_number": F.col("nd.number"), "document_date": F.col("nd.date"), "issuer_inn": F.col("s.inn"), "n_items": F.coalesce(F.size("items"), F.lit(0))})
+    x = x.withColumns({"document_number": F.col("nd.number"), "document_date": F.col("nd.date"), "issuer_inn": F.col("s.inn"), "n_items": F.size("items")})
     invoice = F.col("low").rlike(r"сч[её]т\s*[-–—]?\s*фактур")
     transfer = F.col("low").contains("универсальн") & F.col("low").contains("передаточ")
     two = F.coalesce(F.col("status") == "2", F.lit(False))
@@ -211,12 +279,12 @@ def extract_purchases(sources: DataFrame) -> DataFrame:
     checks = document_warnings({k: F.col(k) for k in [*REQUIRED, *COMPARED]}, F.col("n_items"), {k: F.col(f"sum_{k}") for k in COMPARED})
     extra = F.array_compact(F.array(F.when(two, STATUS_TWO), F.when(recognized & F.col("status").isNull(), INFERRED), F.when(~recognized & ~two, NOT_ONE)))
     warnings = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), extra, checks)
-    names = F.array_join(F.transform(F.slice("items", 1, 5), lambda i: i["name"]), "; ")
+    names = F.when(F.col("n_items") > 0, F.array_join(F.transform(F.slice("items", 1, 5), lambda i: i["name"]), "; "))
     out = x.select(
         "rel_path", recognized.alias("is_recognized"), "status", "document_number", "document_date", F.col("s.name").alias("issuer_name"), "issuer_inn",
         F.col("s.kpp").alias("issuer_kpp"), F.col("b.name").alias("recipient_name"), F.col("b.inn").alias("recipient_inn"), F.col("b.kpp").alias("recipient_kpp"),
         *COMPARED, F.lit("RUB").alias("currency"), names.alias("description"), F.least(points, F.lit(100)).alias("confidence"), "page_count", "used_ocr",
-        preview("text").alias("text_preview"), F.coalesce("items", F.array().cast(own.schema["items"].dataType)).alias("items"), warnings.alias("warnings"),
+        preview("text").alias("text_preview"), "items", warnings.alias("warnings"),
     )
     review = (F.size("warnings") > 0) | ~F.col("is_recognized") | F.exists("items", lambda i: F.size(i["warnings"]) > 0)
     return out.withColumn("requires_review", review)

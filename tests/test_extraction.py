@@ -346,6 +346,7 @@ _PURCHASE_HEADER = ["Наименование товара", "Количеств
 def test_tables_of_documents_are_read_where_they_stand(spark):
     """Neither cells nor items are shuffled, and the documents lie in many pieces."""
     sources = documents.purchase_sources(spark, "/root/testdata/sf0.001")
+    assert sources.rdd.getNumPartitions() >= 4
     for x in (purchases.extract_items(sources)[0], purchases.extract_purchases(sources)):
         assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilmark.llm import ngram_join
 from veilmark.llm.ann import ListBlock, lay_shards, lifted, measured_probes, nearest
 from veilmark.llm.embedding_dedup import decode, embedding_near_duplicates, encode, lay_cells
 from veilmark.llm.ngram_join import index_entries, ngram_jaccard_join
@@ -346,3 +347,19 @@ def test_shards_hold_all_lists():
     place, blocks = lay_shards({-2: (3, 1), 0: (30_000, 600), 1: (30_000, 10), 2: (5_000, 0), 3: (130_000, 1)})
     assert place[3][1] == 4 and place[1][0] == place[2][0] and place[-2][0] != place[0][0]
     assert len(blocks) == max(f + n for f, n in place.values())
+
+
+def test_slices_of_the_join_lose_no_link(spark, monkeypatch):
+    """Shuffles in slices give what one shuffle gives, and a slice holds a part of the rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120")
+    show = lambda: sorted(map(tuple, ngram_join.ngram_jaccard_join(docs, frequent=3, per_posting=0).collect()))
+    whole, real, parts = show(), ngram_join.in_slices, []
+
+    def three(spark, rows, at_once, make, name):
+        out = real(spark, 2, 1, make, name)
+        parts.append((name, len(out.inputFiles()) > 1, rows))
+        return out
+
+    monkeypatch.setattr(ngram_join, "in_slices", three)
+    assert show() == whole
+    assert {"members", "likely-pairs", "links"} <= {name for name, split, _ in parts if split}

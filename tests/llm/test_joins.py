@@ -349,17 +349,11 @@ def test_shards_hold_all_lists():
     assert len(blocks) == max(f + n for f, n in place.values())
 
 
-def test_slices_of_the_join_lose_no_link(spark, monkeypatch):
-    """Shuffles in slices give what one shuffle gives, and a slice holds a part of the rows."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120")
-    show = lambda: sorted(map(tuple, ngram_join.ngram_jaccard_join(docs, frequent=3, per_posting=0).collect()))
-    whole, real, parts = show(), ngram_join.in_slices, []
-
-    def three(spark, rows, at_once, make, name):
-        out = real(spark, 2, 1, make, name)
-        parts.append((name, len(out.inputFiles()) > 1, rows))
-        return out
-
-    monkeypatch.setattr(ngram_join, "in_slices", three)
-    assert show() == whole
-    assert {"members", "likely-pairs", "links"} <= {name for name, split, _ in parts if split}
+def test_slices_lose_no_pair(spark, monkeypatch):
+    """Pairs with leaders, counted in slices: those that share enough entries, each once."""
+    monkeypatch.setattr(ngram_join, "LEADERS_AT_ONCE", 2)
+    rows = [(2 * e, d, 8, 2, False) for d in range(4) for e in range(6 if d < 3 else 1)]
+    members = spark.createDataFrame(rows, "entry long, doc_id long, n int, rest int, mixed boolean")
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(a + 1, 4)], "src long, dst long")
+    got = ngram_join.likely_pairs(pairs, members, (75, 100))
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (0, 2), (1, 2)]
